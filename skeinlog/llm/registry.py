@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, sentencepiece_codec
+from . import line_dedup, ngram_join, sentencepiece_codec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
+        "op10_ngram_join": ngram_join.op10_ngram_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.OP7_SQL}
+    return {"op7_line_dedup": line_dedup.OP7_SQL, "op10_ngram_join": ngram_join.OP10_SQL}
