@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, ngram_join, sentencepiece_codec
+from . import chat_format, line_dedup, mixing, ngram_join, sentencepiece_codec, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mixing": mixing.op2_mixing,
+        "op4_chat_format": chat_format.op4_chat_format,
+        "op6_sharding": sharding.op6_sharding,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
         "op10_ngram_join": ngram_join.op10_ngram_join,
@@ -18,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.OP7_SQL, "op10_ngram_join": ngram_join.OP10_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op4_chat_format": chat_format.OP4_SQL, "op7_line_dedup": line_dedup.OP7_SQL, "op10_ngram_join": ngram_join.OP10_SQL}
