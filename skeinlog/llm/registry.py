@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, line_dedup, mixing, ngram_join, sentencepiece_codec, sharding
+from . import chat_format, line_dedup, mixing, ngram_join, sentencepiece_codec, sharding, telephony
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": mixing.op2_mixing,
         "op4_chat_format": chat_format.op4_chat_format,
+        "op5_telephony": telephony.op5_telephony,
         "op6_sharding": sharding.op6_sharding,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
