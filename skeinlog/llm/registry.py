@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, line_dedup, mixing, ngram_join, sentencepiece_codec, sharding, telephony
+from . import bradley_terry, chat_format, language_id, line_dedup, mixing, ngram_join, sentencepiece_codec, sharding, telephony, weak_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bradley_terry": bradley_terry.op1_bradley_terry,
         "op2_mixing": mixing.op2_mixing,
+        "op3_weak_rules": weak_rules.op3_weak_rules,
         "op4_chat_format": chat_format.op4_chat_format,
         "op5_telephony": telephony.op5_telephony,
         "op6_sharding": sharding.op6_sharding,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
+        "op9_language_id": language_id.op9_language_id,
         "op10_ngram_join": ngram_join.op10_ngram_join,
     }
 
