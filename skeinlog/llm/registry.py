@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import bradley_terry, chat_format, language_id, line_dedup, mixing, ngram_join, sentencepiece_codec, sharding, telephony, weak_rules
 
 
@@ -21,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
         "op9_language_id": language_id.op9_language_id,
         "op10_ngram_join": ngram_join.op10_ngram_join,
+        "pipeline": corpus_pipeline.run,
     }
 
 
