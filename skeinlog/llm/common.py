@@ -77,3 +77,20 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+MASK_BITS = 24
+
+
+def likely_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits: int = MASK_BITS) -> DataFrame:
+    """df without most rows whose key is not among keys, before a join that would shuffle them all.
+
+    A mask of 2 ** bits bits is filled with the hashes of keys; it has 2 ** (bits - 6) rows of 64 bits at
+    most, whatever the number of keys, and so is broadcast. A full mask lets every row pass."""
+    def place(key: Column) -> Column:
+        return F.pmod(key, F.lit(1 << bits))
+
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_at").bitwiseAND(F.lit(63)).cast("int"))
+    mask = keys.select(place(keys_key).alias("_at")).select(F.shiftright("_at", 6).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_mask"))
+    rows = df.withColumn("_at", place(key)).join(F.broadcast(mask), F.shiftright("_at", 6) == F.col("_word"))
+    return rows.filter(F.col("_mask").bitwiseAND(bit) != 0).drop("_at", "_word", "_mask")

@@ -256,6 +256,7 @@ def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda x: x != own)
     near = near.withColumn("pairs", F.when(F.col("blocks") == 1, F.array(F.struct(own.alias("i"), own.alias("j")))).otherwise(F.transform(others, lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))))
+    rows = common.likely_in(rows, F.xxhash64("doc_id", "row_key"), near, F.xxhash64("rep_id", "rep_key"))
     texts = rows.join(near, rows["doc_id"].eqNullSafe(near["rep_id"]) & (rows["row_key"] == near["rep_key"]))
     texts = texts.select("component", F.explode("pairs").alias("at"), "text").select("component", "at.i", "at.j", "text")
     texts = texts.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
