@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows that Spark puts in one Arrow batch at most while texts are sent to Python.
 #: It bounds a Python worker's memory: rows of a batch times the longest text.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 #: Bytes of variable-length output after which an operator closes an Arrow batch.
 BATCH_BYTES = 8 << 20

@@ -42,7 +42,7 @@ from .trie_join import components
 
 COUNTER_BITS = 22
 SLICES = 256
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 BLOCK = 1_000_000
 
 

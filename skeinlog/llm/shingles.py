@@ -17,7 +17,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash; emptied at limit words, so that it stays small."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         import xxhash
 
         self.digest, self.limit = xxhash.xxh3_64_intdigest, limit
