@@ -15,7 +15,7 @@ MAX_READ_MORE, MAX_READ_MORE_CHARS, MAX_FACTS, MAX_FACT_CHARS = 5, 200, 8, 150
 
 def _plain(value: Column) -> Column:
     """A scalar without its quotes."""
-    v = F.trim(value)
+    v = trim_space(value)
     return F.when(v.rlike('^".*"$'), F.replace(F.replace(F.substr(v, F.lit(2), F.length(v) - 2), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))).when(v.rlike("^'.*'$"), F.replace(F.substr(v, F.lit(2), F.length(v) - 2), F.lit("''"), F.lit("'"))).otherwise(v)
 
 
