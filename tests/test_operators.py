@@ -83,10 +83,10 @@ def test_names_one_at_a_time():
 
 
 def test_closest(spark):
-    names = spark.createDataFrame(list(enumerate(["neything", "portfolio", "xney"])), "position int, name string")
-    asked = spark.createDataFrame([("neyth",), ("portfolo",), ("NEY",)], "query string")
+    names = spark.createDataFrame(list(enumerate(["bluebird", "portfolio", "xblue"])), "position int, name string")
+    asked = spark.createDataFrame([("bluebrd",), ("portfolo",), ("BLUE",)], "query string")
     got = {(r["query"], r["n"]): r["name"] for r in registry.closest(names, asked, 2).collect()}
-    assert got[("neyth", 1)] == "neything" and got[("portfolo", 1)] == "portfolio" and (got[("NEY", 1)], got[("NEY", 2)]) == ("neything", "xney")
+    assert got[("bluebrd", 1)] == "bluebird" and got[("portfolo", 1)] == "portfolio" and (got[("BLUE", 1)], got[("BLUE", 2)]) == ("bluebird", "xblue")
 
 
 @pytest.mark.parametrize(("days", "commits", "changed", "known", "want"), [
