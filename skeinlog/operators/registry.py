@@ -64,12 +64,17 @@ def find(registry: DataFrame, name_or_path: str) -> DataFrame:
 
 def closest(names: DataFrame, queries: DataFrame, n: int = 3) -> DataFrame:
     """For each query the n names most like it: those that begin with it, then those that hold it, then by
-    edit distance; names has position. Queries are few (what a person typed), so each meets every name."""
+    edit distance; names has position. Queries are what persons typed, a few hundred at most; each meets
+    every name."""
     low, q = F.lower("name"), F.lower("query")
     rank = F.when(F.startswith(low, q), 0).when(F.contains(low, q), 1).otherwise(2)
-    rows = names.join(queries, how="cross").withColumn("rank", rank).withColumn("distance", F.levenshtein(low, q))
-    w = Window.partitionBy("query").orderBy("rank", "distance", "position", "name")
-    return rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= n).select("query", "n", "name", "rank", "distance")
+    rows = names.join(F.broadcast(queries), how="cross").withColumn("rank", rank).withColumn("distance", F.levenshtein(low, q))
+    order = ("rank", "distance", "position", "name")
+    # first the best of each partition, so that no task sorts all names
+    part = rows.withColumn("_part", F.spark_partition_id())
+    part = part.withColumn("n", F.row_number().over(Window.partitionBy("query", "_part").orderBy(*order))).filter(F.col("n") <= n)
+    best = part.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("n") <= n)
+    return best.select("query", "n", "name", "rank", "distance")
 
 
 def drift(cards: DataFrame, commits: DataFrame, changes: DataFrame) -> DataFrame:
