@@ -82,15 +82,17 @@ def partitions(spark: SparkSession) -> int:
 MASK_BITS = 24
 
 
-def likely_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits: int = MASK_BITS) -> DataFrame:
-    """df without most rows whose key is not among keys, before a join that would shuffle them all.
+def flag_likely(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, flag: str, bits: int = MASK_BITS) -> DataFrame:
+    """df with flag: false only where key is surely not among keys, and true for few other rows.
 
     A mask of 2 ** bits bits is filled with the hashes of keys; it has 2 ** (bits - 6) rows of 64 bits at
-    most, whatever the number of keys, and so is broadcast. A full mask lets every row pass."""
-    def place(key: Column) -> Column:
-        return F.pmod(key, F.lit(1 << bits))
-
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_at").bitwiseAND(F.lit(63)).cast("int"))
-    mask = keys.select(place(keys_key).alias("_at")).select(F.shiftright("_at", 6).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_mask"))
-    rows = df.withColumn("_at", place(key)).join(F.broadcast(mask), F.shiftright("_at", 6) == F.col("_word"))
-    return rows.filter(F.col("_mask").bitwiseAND(bit) != 0).drop("_at", "_word", "_mask")
+    most, whatever the number of keys, and so is broadcast. A full mask flags every row. It spares rows
+    that a join would drop, or leave as they are, from being shuffled for it."""
+    at, word, mask = (fresh(df, c) for c in ("_at", "_word", "_mask"))
+
+    def bit(at: str) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(at).bitwiseAND(F.lit(63)).cast("int"))
+
+    filled = keys.select(F.pmod(keys_key, F.lit(1 << bits)).alias(at)).select(F.shiftright(at, 6).alias(word), bit(at).alias("bit")).groupBy(word).agg(F.bit_or("bit").alias(mask))
+    rows = df.withColumn(at, F.pmod(key, F.lit(1 << bits))).join(F.broadcast(filled), F.shiftright(at, 6) == F.col(word), "left")
+    return rows.withColumn(flag, F.coalesce(F.col(mask), F.lit(0)).bitwiseAND(bit(at)) != 0).drop(at, word, mask)

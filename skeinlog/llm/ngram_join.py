@@ -256,7 +256,7 @@ def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda x: x != own)
     near = near.withColumn("pairs", F.when(F.col("blocks") == 1, F.array(F.struct(own.alias("i"), own.alias("j")))).otherwise(F.transform(others, lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))))
-    rows = common.likely_in(rows, F.xxhash64("doc_id", "row_key"), near, F.xxhash64("rep_id", "rep_key"))
+    rows = common.flag_likely(rows, F.xxhash64("doc_id", "row_key"), near, F.xxhash64("rep_id", "rep_key"), "likely").filter("likely")
     texts = rows.join(near, rows["doc_id"].eqNullSafe(near["rep_id"]) & (rows["row_key"] == near["rep_key"]))
     texts = texts.select("component", F.explode("pairs").alias("at"), "text").select("component", "at.i", "at.j", "text")
     texts = texts.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
@@ -274,17 +274,19 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: i
     """df with one row of each group of linked rows: that of the smallest doc_id (of the smallest hash of
     its text where an id has several). Rows without a word are linked with nothing and all stay; so do
     groups without any doc_id."""
-    key, k = common.fresh(df, "row_key"), common.fresh(df, "kept")
+    key, k, likely = common.fresh(df, "row_key"), common.fresh(df, "kept"), common.fresh(df, "likely")
     groups = similar_groups(df, text, doc_id, width, p, q, block).filter("n_shingles > 0 and component_id is not null")
-    kept = groups.filter("doc_id = component_id and row_key = keeper_key").select(F.col("doc_id").alias(f"{k}_id"), F.col("row_key").alias(f"{k}_key")).distinct()
-    gone = groups.select(F.col("doc_id").alias(f"{k}_gone_id"), F.col("row_key").alias(f"{k}_gone_key")).distinct()
+    keeps = F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("row_key") == F.col("keeper_key")), F.lit(False))
+    rows = groups.groupBy("doc_id", "row_key").agg(F.count("*").alias("n"), F.bool_or(keeps).alias("keeps"))
+    # rows that go, or that stay once of several: only these, and few others by chance, are shuffled with their texts
+    rows = common.store(rows.filter("n > 1 or not keeps").select(F.col("doc_id").alias(f"{k}_id"), F.col("row_key").alias(f"{k}_key"), F.col("keeps").alias(k)))
     df = df.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    rest = gone.join(kept, gone[f"{k}_gone_id"].eqNullSafe(kept[f"{k}_id"]) & (gone[f"{k}_gone_key"] == kept[f"{k}_key"]), "left").select(f"{k}_gone_id", f"{k}_gone_key", F.col(f"{k}_id").isNotNull().alias(k))
-    out = df.join(rest, F.col(doc_id).cast("bigint").eqNullSafe(F.col(f"{k}_gone_id")) & (F.col(key) == F.col(f"{k}_gone_key")), "left").filter(F.coalesce(F.col(k), F.lit(True)))
-    # of rows with one id and one text, one stays
-    alone = out.filter(F.col(k).isNull()).drop(key, k, f"{k}_gone_id", f"{k}_gone_key")
-    once = out.filter(F.col(k).isNotNull()).dropDuplicates([doc_id, key]).drop(key, k, f"{k}_gone_id", f"{k}_gone_key")
-    return once.unionByName(alone)
+    own = F.col(doc_id).cast("bigint")
+    df = common.flag_likely(df, F.xxhash64(own, F.col(key)), rows, F.xxhash64(f"{k}_id", f"{k}_key"), likely)
+    asked = df.filter(F.col(likely)).join(rows, own.eqNullSafe(F.col(f"{k}_id")) & (F.col(key) == F.col(f"{k}_key")), "left").drop(f"{k}_id", f"{k}_key")
+    once = asked.filter(F.col(k)).dropDuplicates([doc_id, key]).drop(k)
+    rest = df.filter(~F.col(likely)).unionByName(asked.filter(F.col(k).isNull()).drop(k)).unionByName(once)
+    return rest.drop(key, likely)
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
