@@ -68,10 +68,11 @@ def dropped_positions(rows: DataFrame, min_chars: int = MIN_CHARS, min_documents
     """doc_id, row_key and the array of line positions that go, for the rows that lose any."""
     lines = explode_lines(rows, min_chars)
     often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents).select("h1", "h2")
+    often = common.store(often)  # a plain shuffle on either side of a join lets AQE split a heavy hash
     lines = common.store(lines.join(often, ["h1", "h2"]))
     shared = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
     shared = shared.groupBy("h1", "h2").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_documents).drop("n")
-    shared = common.store(shared)  # a plain shuffle on either side of the join lets AQE split a heavy hash
+    shared = common.store(shared)
     gone = lines.join(shared, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return gone.groupBy("doc_id", "row_key").agg(F.collect_set("pos").alias("gone"))
 
