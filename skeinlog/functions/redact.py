@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import trim_bytes
+from .text import let, trim_bytes
 
 MARK = "[redacted]"
 FIELD_BEFORE, FIELD_AFTER = 16 << 10, 8 << 10
@@ -29,22 +29,42 @@ TOKEN_SHAPES = (
     rf"{_L}AIza[0-9A-Za-z_-]{{30,}}",
     rf"{_L}npm_[A-Za-z0-9]{{30,}}",
 )
+TOKEN_NEEDLES = (("gh",), ("github_pat_",), ("xox",), ("AKIA", "ASIA"), ("eyJ",), ("_live_", "_test_"), ("AIza",), ("npm_",))
 KEY_VALUE = (
-    r"(?iu)([A-Za-z0-9_.-]*(?:secret|password|passwd|token|api[_-]?key|private[_-]?key|credential|auth)"
+    r"(?iu)((?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]*(?:secret|password|passwd|token|api[_-]?key|private[_-]?key|credential|auth)"
     rf"[A-Za-z0-9_.-]*[\"']?{_S}*[:=]{_S}*[\"']?)[^\t\n\f\r \",']+"
 )
 
 
+KEY_WORDS = ("secret", "password", "passwd", "token", "api", "private", "credential", "auth")
+#: Letters that fold to ASCII ones without regard to case.
+FOLDED = ("\u017f", "\u212a")
+
+
+def _step(s: Column, pattern: str, to: str, *needles: str, fold: bool = False) -> Column:
+    """Replaces the pattern where the text has one of the needles, without which it cannot match: a plain
+    search for them is much cheaper than the pattern."""
+    def run(s: Column) -> Column:
+        low, found = (F.lower(s) if fold else s), F.lit(False)
+        for n in needles:
+            found = found | F.contains(low, F.lit(n))
+        for n in FOLDED if fold else ():
+            found = found | F.contains(s, F.lit(n))
+        return F.when(found, F.regexp_replace(s, pattern, to)).otherwise(s)
+
+    return let(s, run)
+
+
 def redact(s: Column) -> Column:
-    s = F.regexp_replace(s, PEM_BLOCK, MARK)
-    s = F.regexp_replace(s, PEM_OPEN, MARK)
-    s = F.regexp_replace(s, SK_KEY, f"$1{MARK}")
-    s = F.regexp_replace(s, URL_PASSWORD, f"$1{MARK}@")
-    s = F.regexp_replace(s, CLI_FLAG, f"$1{MARK}")
-    s = F.regexp_replace(s, AUTH_VALUE, f"$1$2{MARK}")
-    for shape in TOKEN_SHAPES:
-        s = F.regexp_replace(s, shape, MARK)
-    return F.regexp_replace(s, KEY_VALUE, f"$1{MARK}")
+    s = _step(s, PEM_BLOCK, MARK, "-----BEGIN")
+    s = _step(s, PEM_OPEN, MARK, "-----BEGIN")
+    s = _step(s, SK_KEY, f"$1{MARK}", "sk-")
+    s = _step(s, URL_PASSWORD, f"$1{MARK}@", "://")
+    s = _step(s, CLI_FLAG, f"$1{MARK}", "--")
+    s = _step(s, AUTH_VALUE, f"$1$2{MARK}", "Basic", "Token", "Bearer")
+    for shape, needles in zip(TOKEN_SHAPES, TOKEN_NEEDLES, strict=True):
+        s = _step(s, shape, MARK, *needles)
+    return _step(s, KEY_VALUE, f"$1{MARK}", *KEY_WORDS, fold=True)
 
 
 def scrub(s: Column) -> Column:
