@@ -123,15 +123,17 @@ def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str =
 def curriculum(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The mix itself: df's columns, a row for each copy taken, range-sorted by training position."""
     key, begins, at = (common.fresh(df, c) for c in ("row_key", "begins", "position"))
-    df = df.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    # plain join keys: numbering repeated rows and joining the plan then share one shuffle of the texts
+    keys = [f"{at}_known", f"{at}_id", key]
+    zero = F.lit(0).cast(df.schema[doc_id].dataType)
+    df = df.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn(keys[0], F.col(doc_id).isNotNull()).withColumn(keys[1], F.coalesce(F.col(doc_id), zero))
     plan_ = mix(df, text, doc_id, source, **options).filter("copies > 0")
-    turn = Window.partitionBy(doc_id, key).orderBy(F.lit(0))
-    # repeated rows: the n-th of a (doc_id, text) takes the n-th plan
-    plan_ = plan_.select(F.col("doc_id").alias(f"{at}_id"), F.col("row_key").alias(f"{at}_key"), F.col("begins").alias(begins))
-    plan_ = plan_.groupBy(f"{at}_id", f"{at}_key").agg(F.sort_array(F.collect_list(begins)).alias(begins))
-    df = df.withColumn(f"{at}_n", F.row_number().over(turn))
-    out = df.join(plan_, F.col(doc_id).eqNullSafe(F.col(f"{at}_id")) & (F.col(key) == F.col(f"{at}_key"))).withColumn(begins, F.get(begins, F.col(f"{at}_n") - 1))
-    return out.drop(f"{at}_id", f"{at}_key", f"{at}_n", key).withColumn(at, F.explode(begins)).drop(begins).orderBy(at, doc_id).drop(at)
+    plan_ = plan_.select(F.col("doc_id").isNotNull().alias(keys[0]), F.coalesce("doc_id", zero).alias(keys[1]), F.col("row_key").alias(key), F.col("begins").alias(begins))
+    plan_ = plan_.groupBy(*keys).agg(F.sort_array(F.collect_list(begins)).alias(begins))
+    # of repeated rows, the n-th takes the n-th plan
+    df = df.withColumn(f"{at}_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+    out = df.join(plan_, keys).withColumn(at, F.explode(F.get(begins, F.col(f"{at}_n") - 1)))
+    return out.orderBy(at, doc_id).drop(*keys, f"{at}_n", begins, at)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
