@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.redact import redact
-from ..operators import cards, digest, notes, registry, select
+from ..operators import cards, digest, manifest, notes, registry, select
 from ..sources import transcripts
 from . import brief
 
@@ -441,10 +441,8 @@ FROM a FULL JOIN b ON a.file = b.file
 """)
 def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").withColumn("file", F.concat(F.lit("p"), F.col("p_partkey")))
-    a = p.filter("p_partkey % 7 <> 0").select(F.col("file").alias("a"), F.sha2("p_name", 256).alias("ha"))
-    b = p.filter("p_partkey % 11 <> 0").select(F.col("file").alias("b"), F.sha2(F.when(F.col("p_partkey") % 5 == 0, F.col("p_brand")).otherwise(F.col("p_name")), 256).alias("hb"))
-    state = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(F.col("ha") != F.col("hb"), "modified").otherwise("same")
-    return a.join(b, F.col("a") == F.col("b"), "full").select(F.coalesce("a", "b").alias("file"), state.alias("state"))
+    changed = F.when(F.col("p_partkey") % 5 == 0, F.col("p_brand")).otherwise(F.col("p_name"))
+    return manifest.diff(manifest.digests(p.filter("p_partkey % 7 <> 0"), content="p_name"), manifest.digests(p.filter("p_partkey % 11 <> 0").withColumn("now", changed), content="now"))
 
 
 @query("""

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from skeinlog.operators import cards, notes, registry, select
+from skeinlog.operators import cards, manifest, notes, registry, select
 from skeinlog.plans import api
 
 T0 = datetime(2026, 11, 1, 12, tzinfo=timezone.utc)
@@ -196,3 +196,12 @@ def test_requests(spark):
     got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "p string").select(api.request(F.col("p"))).collect()]
     assert tuple(got[0]) == ("s", "/r", "startup") and got[1] is None and got[2] is None
     assert spark.range(1).select(api.envelope(F.lit('a"b'))).first()[0] == '{"hookSpecificOutput":{"hookEventName":"SessionStart","additionalContext":"a\\"b"}}'
+
+
+def test_manifest(spark):
+    a = spark.createDataFrame([("x", "1"), ("y", "2"), ("z", "3")], "file string, content string")
+    b = spark.createDataFrame([("x", "1"), ("y", "other"), ("w", "")], "file string, content string")
+    got = {r["file"]: r["state"] for r in manifest.diff(manifest.digests(a), manifest.digests(b)).collect()}
+    assert got == {"x": "same", "y": "modified", "z": "missing", "w": "extra"}
+    lines = spark.createDataFrame([("/a/1.jsonl", 0), ("/a/1.jsonl", 1), ("/a/2.jsonl", 0), ("/b/1.jsonl", 0)], "path string, line_no int")
+    assert {r["folder"]: r["files"] for r in manifest.count_files(lines).collect()} == {"/a": 2, "/b": 1}
