@@ -104,13 +104,13 @@ def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str =
     rows = rows.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
     start = F.col("before") + F.col("inside")
     # copy c of a document begins at c * source_size + start; it is taken where its middle is within the target
-    fits = (F.col("target") - start - F.col("size") / 2) / F.col("source_size")
+    fits = F.try_divide(F.col("target") - start - F.col("size") / 2, F.col("source_size"))
     copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.greatest(F.floor(fits) + 1, F.lit(0)), F.lit(max_repeats))).cast("int")
     rows = rows.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
     pieces = [demand(shape) for shape in shapes]
 
     def begins(c: Column) -> Column:
-        share = (c * F.col("source_size") + start) / F.col("target")
+        share = F.try_divide(c * F.col("source_size") + start, F.col("target"))
         out = time_of(share, pieces[-1])
         for i in range(len(pieces) - 1):
             out = F.when(F.col("k") % len(pieces) == i, time_of(share, pieces[i])).otherwise(out)

@@ -88,3 +88,11 @@ def test_words_in(spark, texts):
 def test_empty_table(no_docs):
     assert m.mix(no_docs).collect() == []
     assert m.curriculum(no_docs).collect() == []
+
+
+def test_sources_without_words(spark):
+    df = spark.createDataFrame([(1, " ", "a"), (2, None, "a"), (3, "one two", "b"), (None, "", None)], "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: (r["size"], r["target"], r["taken"]) for r in m.mix(df).collect()}
+    assert got == {1: (0, 0.0, 0), 2: (0, 0.0, 0), 3: (2, 2.0, 2), None: (0, 0.0, 0)}
+    assert [r["doc_id"] for r in m.curriculum(df).collect()] == [3]
+    assert {r["taken"] for r in m.mix(df.filter("doc_id <> 3")).collect()} == {0}
