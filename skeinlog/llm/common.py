@@ -6,15 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that Spark puts in one Arrow batch at most while texts are sent to Python.
-#: It bounds a Python worker's memory: rows of a batch times the longest text.
+#: Rows, and bytes of strings and binaries, that an operator works on at a time in Python. Spark bounds what
+#: it sends at once by spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set), so a worker's memory
+#: is bounded by that, by these, and by the longest text.
 BATCH_ROWS = 500
-
-#: Bytes of variable-length output after which an operator closes an Arrow batch.
 BATCH_BYTES = 8 << 20
 
 
@@ -22,30 +23,52 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most rows rows and, but for single longer rows, size bytes of text."""
+    for batch in batches:
+        total = np.zeros(batch.num_rows, np.int64)
+        for col in batch.columns:
+            if pa.types.is_string(col.type) or pa.types.is_binary(col.type):
+                total += pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(total), 0
+        while at < batch.num_rows:
+            most = (ends[at - 1] if at else 0) + size
+            end = min(at + rows, max(at + 1, int(np.searchsorted(ends, most, side="right"))))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches small enough for long texts."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(conf.get(key, "10000"))
-    if not 0 < rows <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    """mapInArrow in pieces small enough for long texts; no setting of the session is touched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(pieces(batches))
+
+    return df.mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one of our own on
+    a local master, as in tests; on a cluster that is an error, since executors could not see it."""
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if not at.isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skeinlog-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skeinlog-"))
         at = sc._jsc.sc().getCheckpointDir()
     return at.get()
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and reads it again."""
+def store(df: DataFrame, **options: str | int) -> DataFrame:
+    """Cuts lineage: writes df as Parquet in the shared folder and reads it again. The table is deleted by
+    drop_stored(), or else when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skeinlog-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
