@@ -2,15 +2,21 @@
 
 Coded bytes are stored as they are in a WAVE file, so storing is lossless. Decoding expands mu-law and
 A-law by tables of 256 entries, and ADPCM blocks with numpy across blocks: all blocks of a batch take
-the same step at once. Decoded 8 kHz PCM is resampled to 16 kHz by linear interpolation in integers
-and can be stored too.
+the same step at once. Decoded 8 kHz PCM is resampled to 16 kHz by linear interpolation in integers.
+
+Media and PCM are stored as a table, and all that is reported is read back from it. PCM is stored
+losslessly in its predicted form: every second sample as its difference from the mean of its
+neighbours, the others as they are (mu-law, A-law) or as differences (ADPCM), whichever compresses.
 
 An ADPCM block is 64 bytes: a predictor (int16), a step index (taken modulo 89), a reserved byte, and
 120 codes of 4 bits, low half first; it decodes to 121 samples, the predictor first.
 
 Defined results: a null text is empty, an empty text is 64 zero bytes; a payload is the UTF-8 bytes
 and zero bytes up to a positive multiple of 64; its codec is chosen by its crc32, so equal texts have
-equal media; null ids and repeated rows are rows like others; an empty table gives an empty table.
+equal media; null ids and repeated rows are rows like others, and ties in anything do not matter, since a
+row depends on its own text only; a text of any length is one payload, one file and one cell, and works
+alone in memory if it is longer than a piece; extra columns are left out, whatever their names; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -38,6 +44,9 @@ IMA_STEPS = (
     7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767,
 )
 IMA_CHANGES = (-1, -1, -1, -1, 2, 4, 6, 8)
+#: Bytes of payload decoded at a time (samples take some fifteen times that), and how the table is written.
+PIECE = common.BATCH_BYTES // 4
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": 9, "parquet.page.size": 8 << 20}
 
 
 def mulaw_table() -> np.ndarray:
@@ -83,6 +92,25 @@ def resample(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
+def pack_pcm(up: np.ndarray, codec: str) -> bytes:
+    """The predicted form of resampled PCM: an order (0 or 1), the even samples in that order of difference, and
+    the odd samples less the mean of their neighbours. All modulo 2 ** 16, so it is lossless for any PCM."""
+    even, odd = up[::2], up[1::2]
+    order = 1 if codec == "ima_adpcm" else 0
+    first = np.diff(even, prepend=np.int16(0)) if order else even
+    return bytes([order]) + first.astype("<i2").tobytes() + (odd - resample(even)[1::2][: len(odd)]).astype("<i2").tobytes()
+
+
+def unpack_pcm(packed: bytes) -> np.ndarray:
+    """The inverse of pack_pcm: 16 kHz samples."""
+    both = np.frombuffer(packed, "<i2", offset=1).astype(np.int16)
+    half = (len(both) + 1) // 2
+    even = np.cumsum(both[:half], dtype=np.int16) if packed[0] else both[:half]
+    up = resample(even)[: len(both)]
+    up[1::2] += both[half:]
+    return up
+
+
 def payload(text: bytes) -> bytes:
     return text + bytes(-len(text) % BLOCK if text else BLOCK)
 
@@ -134,53 +162,46 @@ def feature(codec: str, pcm: np.ndarray, up: np.ndarray) -> str:
     return f"{codec};{len(pcm)};{int(np.abs(wide).max(initial=0))};{int(np.abs(wide).sum())};{crossings};{zlib.crc32(up.astype('<i2').tobytes())}"
 
 
-def encode_media(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes and media, the WAVE file that holds the text's payload."""
+def encode_media(df: DataFrame, text: str = "text", doc_id: str = "doc_id", codecs: tuple[str, ...] = CODECS) -> DataFrame:
+    """doc_id, n_bytes, media (the WAVE file that holds the text's payload) and pcm (its 16 kHz samples, packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.pieces(batches, size=PIECE):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            at = 0
-            while at < len(texts):
-                end, files, size = at, [], 0
-                while end < len(texts) and size < common.BATCH_BYTES:
-                    data = payload(texts[end])
-                    files.append(wave(data, CODECS[zlib.crc32(data) % len(CODECS)]))
-                    size += len(data)
-                    end += 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array([len(t) for t in texts[at:end]], pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
-                at = end
+            data = [payload(t) for t in texts]
+            coded = [(codecs[zlib.crc32(d) % len(codecs)], d) for d in data]
+            packed = [pack_pcm(resample(x), c) for (c, _), x in zip(coded, decode_batch(coded), strict=True)]
+            cols = [pa.array([len(t) for t in texts], pa.int64()), pa.array([wave(d, c) for c, d in coded], pa.binary()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_bytes", "media", "pcm"])
 
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return common.map_arrow(rows, run, "doc_id bigint, n_bytes bigint, media binary")
+    return common.map_arrow(rows, run, "doc_id bigint, n_bytes bigint, media binary, pcm binary")
+
 
+def store_media(df: DataFrame, text: str = "text", doc_id: str = "doc_id", codecs: tuple[str, ...] = CODECS) -> DataFrame:
+    """encode_media's table, stored and read again."""
+    return common.store(encode_media(df, text, doc_id, codecs), **STORED)
 
-def decode_media(media: DataFrame, store_pcm: bool = True) -> DataFrame:
-    """media (doc_id, n_bytes, media) with what its files hold: codec, payload, feature and, if it is to be
-    stored, pcm (little-endian 16-bit samples at 16 kHz)."""
-    names = ["doc_id", "n_bytes", "media", "codec", "payload", "feature", *["pcm"] * store_pcm]
+
+def read_media(stored: DataFrame, with_pcm: bool = False) -> DataFrame:
+    """doc_id, n_bytes, media, codec, payload (out of the stored file), feature (of the stored PCM) and, if asked
+    for, pcm as little-endian 16-bit samples at 16 kHz."""
+    names = ["doc_id", "n_bytes", "media", "codec", "payload", "feature", *["pcm"] * with_pcm]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            files = batch.column(2)
-            at = 0
-            while at < batch.num_rows:
-                end, size = at, 0
-                while end < batch.num_rows and size < common.BATCH_BYTES // 4:
-                    size += len(files[end].as_buffer())
-                    end += 1
-                coded = [read_wave(x) for x in files.slice(at, end - at).to_pylist()]
-                pcm = decode_batch(coded)
-                up = [resample(x) for x in pcm]
-                features = [feature(c, x, u) for (c, _), x, u in zip(coded, pcm, up, strict=True)]
-                cols = [*(c.slice(at, end - at) for c in batch.columns), pa.array([c for c, _ in coded]), pa.array([d for _, d in coded], pa.binary()), pa.array(features)]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array([u.astype("<i2").tobytes() for u in up], pa.binary())] * store_pcm, names=names)
-                at = end
-
-    return common.map_arrow(media, run, "doc_id bigint, n_bytes bigint, media binary, codec string, payload binary, feature string" + ", pcm binary" * store_pcm)
+        for batch in common.pieces(batches, size=PIECE):
+            coded = [read_wave(x) for x in batch.column(2).to_pylist()]
+            up = [unpack_pcm(x) for x in batch.column(3).to_pylist()]
+            features = [feature(c, u[::2], u) for (c, _), u in zip(coded, up, strict=True)]
+            cols = [*batch.columns[:3], pa.array([c for c, _ in coded], pa.string()), pa.array([d for _, d in coded], pa.binary()), pa.array(features, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array([u.astype("<i2").tobytes() for u in up], pa.binary())] * with_pcm, names=names)
+
+    rows = common.same_columns(stored, ["doc_id", "n_bytes", "media", "pcm"])
+    return common.map_arrow(rows, run, "doc_id bigint, n_bytes bigint, media binary, codec string, payload binary, feature string" + ", pcm binary" * with_pcm)
 
 
 def op5_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decode_media(encode_media(common.documents(spark, sf_dir)), store_pcm=False)
+    rows = read_media(store_media(common.documents(spark, sf_dir)))
+    size = lambda c: F.length(c).cast("bigint")
     tail = F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32")
-    return rows.select("doc_id", "n_bytes", F.length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail, F.sha2("media", 256).alias("media_sha256"), "feature")
+    return rows.select("doc_id", "n_bytes", size("payload").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail, size("media").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")

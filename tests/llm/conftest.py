@@ -39,3 +39,11 @@ def docs(spark, texts):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="session")
+def sf_dir(docs, tmp_path_factory):
+    """A folder of tables whose documents are docs, for the queries themselves."""
+    at = tmp_path_factory.mktemp("tables")
+    docs.write.parquet(f"{at}/documents.parquet")
+    return str(at)
