@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,13 +59,28 @@ def stats(text: bytes) -> tuple[int, ...]:
     )
 
 
-def text_stats(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and the counts of each text (null: empty)."""
+def content(text: bytes, buckets: int) -> np.ndarray:
+    """The share of a text's words, A-Z lower-cased, in each of that many hash buckets of words."""
+    seen: dict[bytes, int] = {}
+    for w in text.lower().split():
+        seen[w] = seen.get(w, 0) + 1
+    at = np.fromiter(map(zlib.crc32, seen), np.int64, len(seen)) % buckets
+    n = np.bincount(at, np.fromiter(seen.values(), float, len(seen)), buckets)
+    return (n / max(n.sum(), 1)).astype(np.float32)
+
+
+def text_stats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", buckets: int = 0) -> DataFrame:
+    """doc_id and the counts of each text (null: empty), with buckets also its content as an array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([stats(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()], np.int64).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, i]) for i in range(len(NAMES)))], names=["doc_id", *NAMES])
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            rows = np.array([stats(t) for t in texts], np.int64).reshape(-1, len(NAMES))
+            cols = [batch.column(0), *(pa.array(rows[:, i]) for i in range(len(NAMES)))]
+            if buckets:
+                flat = np.concatenate([content(t, buckets) for t in texts]) if texts else np.zeros(0, np.float32)
+                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * buckets, pa.int32()), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *NAMES, *["content"] * bool(buckets)])
 
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return common.map_arrow(rows, run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in NAMES))
+    return common.map_arrow(rows, run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in NAMES) + ", content array<float>" * bool(buckets))
