@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows, and bytes of strings and binaries, that an operator works on at a time in Python. Spark bounds what
-#: it sends at once by spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set), so a worker's memory
-#: is bounded by that, by these, and by the longest text.
+#: Rows, and bytes of strings and binaries, that an operator works on at a time in Python. What Spark sends at
+#: once is bounded by the same while a table is stored, and else by spark.sql.execution.arrow.maxBytesPerBatch
+#: (64 MB unless set); so a worker's memory is bounded by these and by the longest text.
 BATCH_ROWS = 500
 BATCH_BYTES = 8 << 20
 
@@ -39,7 +40,7 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in pieces small enough for long texts; no setting of the session is touched."""
+    """mapInArrow in pieces small enough for long texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return fn(pieces(batches))
@@ -61,12 +62,28 @@ def shared_dir(spark: SparkSession) -> str:
     return at.get()
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Has Spark send Python no more at once than an operator works on; the session's own settings come back after."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, most in limits.items():
+            now = int(before[k].rstrip("b"))
+            spark.conf.set(k, str(most if now <= 0 else min(now, most)))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def store(df: DataFrame, **options: str | int) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it again. The table is deleted by
     drop_stored(), or else when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skeinlog-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    with small_batches(spark):
+        df.write.options(**options).parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,8 @@ the same step at once. Decoded 8 kHz PCM is resampled to 16 kHz by linear interp
 
 Media and PCM are stored as a table, and all that is reported is read back from it. PCM is stored
 losslessly in its predicted form: every second sample as its difference from the mean of its
-neighbours, the others as they are (mu-law, A-law) or as differences (ADPCM), whichever compresses.
+neighbours (nothing, if all are the mean), the others as they are (mu-law, A-law) or as differences
+(ADPCM), whichever compresses; and in a column for each codec, so that like is stored with like.
 
 An ADPCM block is 64 bytes: a predictor (int16), a step index (taken modulo 89), a reserved byte, and
 120 codes of 4 bits, low half first; it decodes to 121 samples, the predictor first.
@@ -21,6 +22,7 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -46,7 +48,7 @@ IMA_STEPS = (
 IMA_CHANGES = (-1, -1, -1, -1, 2, 4, 6, 8)
 #: Bytes of payload decoded at a time (samples take some fifteen times that), and how the table is written.
 PIECE = common.BATCH_BYTES // 4
-STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": 9, "parquet.page.size": 8 << 20}
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": 10, "parquet.page.size": 8 << 20}
 
 
 def mulaw_table() -> np.ndarray:
@@ -93,21 +95,26 @@ def resample(pcm: np.ndarray) -> np.ndarray:
 
 
 def pack_pcm(up: np.ndarray, codec: str) -> bytes:
-    """The predicted form of resampled PCM: an order (0 or 1), the even samples in that order of difference, and
-    the odd samples less the mean of their neighbours. All modulo 2 ** 16, so it is lossless for any PCM."""
+    """The predicted form of resampled PCM: flags, the even samples (flag 1: as differences), and (flag 2) the odd
+    samples less the mean of their neighbours. All modulo 2 ** 16, so it is lossless for any PCM."""
     even, odd = up[::2], up[1::2]
-    order = 1 if codec == "ima_adpcm" else 0
-    first = np.diff(even, prepend=np.int16(0)) if order else even
-    return bytes([order]) + first.astype("<i2").tobytes() + (odd - resample(even)[1::2][: len(odd)]).astype("<i2").tobytes()
+    apart = odd - resample(even)[1::2][: len(odd)]
+    differs = codec == "ima_adpcm"
+    first = np.diff(even, prepend=np.int16(0)) if differs else even
+    keep = len(odd) != len(even) or bool(apart.any())
+    return bytes([differs + 2 * keep]) + first.astype("<i2").tobytes() + (apart.astype("<i2").tobytes() if keep else b"")
 
 
 def unpack_pcm(packed: bytes) -> np.ndarray:
     """The inverse of pack_pcm: 16 kHz samples."""
     both = np.frombuffer(packed, "<i2", offset=1).astype(np.int16)
-    half = (len(both) + 1) // 2
-    even = np.cumsum(both[:half], dtype=np.int16) if packed[0] else both[:half]
-    up = resample(even)[: len(both)]
-    up[1::2] += both[half:]
+    keep = packed[0] & 2
+    half = (len(both) + 1) // 2 if keep else len(both)
+    even = np.cumsum(both[:half], dtype=np.int16) if packed[0] & 1 else both[:half]
+    up = resample(even)
+    if keep:
+        up = up[: len(both)]
+        up[1::2] += both[half:]
     return up
 
 
@@ -163,7 +170,9 @@ def feature(codec: str, pcm: np.ndarray, up: np.ndarray) -> str:
 
 
 def encode_media(df: DataFrame, text: str = "text", doc_id: str = "doc_id", codecs: tuple[str, ...] = CODECS) -> DataFrame:
-    """doc_id, n_bytes, media (the WAVE file that holds the text's payload) and pcm (its 16 kHz samples, packed)."""
+    """doc_id, n_bytes, media (the WAVE file that holds the text's payload) and its packed 16 kHz samples in the
+    pcm_ column of its codec."""
+    columns = [f"pcm_{c}" for c in CODECS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, size=PIECE):
@@ -171,11 +180,12 @@ def encode_media(df: DataFrame, text: str = "text", doc_id: str = "doc_id", code
             data = [payload(t) for t in texts]
             coded = [(codecs[zlib.crc32(d) % len(codecs)], d) for d in data]
             packed = [pack_pcm(resample(x), c) for (c, _), x in zip(coded, decode_batch(coded), strict=True)]
-            cols = [pa.array([len(t) for t in texts], pa.int64()), pa.array([wave(d, c) for c, d in coded], pa.binary()), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_bytes", "media", "pcm"])
+            cols = [pa.array([len(t) for t in texts], pa.int64()), pa.array([wave(d, c) for c, d in coded], pa.binary())]
+            cols += [pa.array([x if c == own else None for x, (own, _) in zip(packed, coded, strict=True)], pa.binary()) for c in CODECS]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_bytes", "media", *columns])
 
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return common.map_arrow(rows, run, "doc_id bigint, n_bytes bigint, media binary, pcm binary")
+    return common.map_arrow(rows, run, "doc_id bigint, n_bytes bigint, media binary, " + ", ".join(f"{c} binary" for c in columns))
 
 
 def store_media(df: DataFrame, text: str = "text", doc_id: str = "doc_id", codecs: tuple[str, ...] = CODECS) -> DataFrame:
@@ -183,25 +193,42 @@ def store_media(df: DataFrame, text: str = "text", doc_id: str = "doc_id", codec
     return common.store(encode_media(df, text, doc_id, codecs), **STORED)
 
 
-def read_media(stored: DataFrame, with_pcm: bool = False) -> DataFrame:
-    """doc_id, n_bytes, media, codec, payload (out of the stored file), feature (of the stored PCM) and, if asked
-    for, pcm as little-endian 16-bit samples at 16 kHz."""
-    names = ["doc_id", "n_bytes", "media", "codec", "payload", "feature", *["pcm"] * with_pcm]
+OUTPUTS = {
+    "codec": "string", "payload": "binary", "feature": "string", "pcm": "binary", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint",
+    "media_bytes": "bigint", "media_sha256": "string",
+}
+
+
+def read_media(stored: DataFrame, outputs: tuple[str, ...] = ("codec", "payload", "feature")) -> DataFrame:
+    """doc_id, n_bytes and, read out of the stored files and samples, any of OUTPUTS: codec, payload, feature (of the
+    PCM), pcm (little-endian 16-bit samples at 16 kHz), and sizes and digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, size=PIECE):
-            coded = [read_wave(x) for x in batch.column(2).to_pylist()]
-            up = [unpack_pcm(x) for x in batch.column(3).to_pylist()]
-            features = [feature(c, u[::2], u) for (c, _), u in zip(coded, up, strict=True)]
-            cols = [*batch.columns[:3], pa.array([c for c, _ in coded], pa.string()), pa.array([d for _, d in coded], pa.binary()), pa.array(features, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array([u.astype("<i2").tobytes() for u in up], pa.binary())] * with_pcm, names=names)
-
-    rows = common.same_columns(stored, ["doc_id", "n_bytes", "media", "pcm"])
-    return common.map_arrow(rows, run, "doc_id bigint, n_bytes bigint, media binary, codec string, payload binary, feature string" + ", pcm binary" * with_pcm)
+            files = batch.column(2).to_pylist()
+            coded = [read_wave(x) for x in files]
+            packed = {c: col.to_pylist() for c, col in zip(CODECS, batch.columns[3:], strict=True)}
+            up = [unpack_pcm(packed[c][i]) for i, (c, _) in enumerate(coded)]
+            make = {
+                "codec": lambda: [c for c, _ in coded],
+                "payload": lambda: [d for _, d in coded],
+                "feature": lambda: [feature(c, u[::2], u) for (c, _), u in zip(coded, up, strict=True)],
+                "pcm": lambda: [u.astype("<i2").tobytes() for u in up],
+                "payload_bytes": lambda: [len(d) for _, d in coded],
+                "payload_sha256": lambda: [hashlib.sha256(d).hexdigest() for _, d in coded],
+                "tail_crc32": lambda: [zlib.crc32(d[-BLOCK:]) for _, d in coded],
+                "media_bytes": lambda: [len(x) for x in files],
+                "media_sha256": lambda: [hashlib.sha256(x).hexdigest() for x in files],
+            }
+            types = {"string": pa.string(), "binary": pa.binary(), "bigint": pa.int64()}
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(make[k](), types[OUTPUTS[k]]) for k in outputs)], names=["doc_id", "n_bytes", *outputs])
+
+    rows = common.same_columns(stored, ["doc_id", "n_bytes", "media", *(f"pcm_{c}" for c in CODECS)])
+    return common.map_arrow(rows, run, "doc_id bigint, n_bytes bigint, " + ", ".join(f"{k} {OUTPUTS[k]}" for k in outputs))
 
 
 def op5_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_media(store_media(common.documents(spark, sf_dir)))
-    size = lambda c: F.length(c).cast("bigint")
-    tail = F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32")
-    return rows.select("doc_id", "n_bytes", size("payload").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail, size("media").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+    stored = store_media(common.documents(spark, sf_dir))
+    out = common.store(read_media(stored, ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")), compression="zstd")
+    common.drop_stored(stored)
+    return out

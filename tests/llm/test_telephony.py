@@ -54,8 +54,8 @@ def test_packed_pcm_is_lossless():
 
 def test_round_trip(docs):
     stored = m.store_media(docs)
-    assert stored.columns == ["doc_id", "n_bytes", "media", "pcm"]
-    rows = m.read_media(stored, with_pcm=True).withColumn("crc", F.crc32(F.substring("payload", -64, 64))).collect()
+    assert stored.columns == ["doc_id", "n_bytes", "media", "pcm_mulaw", "pcm_alaw", "pcm_ima_adpcm"]
+    rows = m.read_media(stored, tuple(m.OUTPUTS)).withColumn("crc", F.crc32(F.substring("payload", -64, 64))).collect()
     texts = sorted((r["text"] or "").encode() for r in docs.collect())
     assert sorted(bytes(r["payload"])[: r["n_bytes"]] for r in rows) == texts
     features = {}
@@ -67,7 +67,8 @@ def test_round_trip(docs):
         up = np.frombuffer(bytes(r["pcm"]), "<i2")
         assert up.tolist() == m.resample(pcm).tolist()
         assert r["feature"] == m.feature(r["codec"], pcm, up)
-        value = (r["feature"], hashlib.sha256(r["media"]).digest())
+        assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), hashlib.sha256(data).hexdigest(), r["crc"])
+        value = (r["feature"], r["media_sha256"])
         assert features.setdefault(data, value) == value
 
 
