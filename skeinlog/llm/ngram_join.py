@@ -1,10 +1,11 @@
 """N-gram Jaccard join: groups of documents whose word-shingle sets are linked.
 
-Two documents are linked when |A and B| / |A or B| reaches p / q. Sets are compared in prefix trees
-(see trie_join); what follows here deals the sets to trees so that linked sets meet in one.
+Two documents are linked when |A and B| / |A or B| reaches p / q. Links are found in prefix trees of
+globally ordered sets (see trie_join); what follows here deals the sets to trees so that every link is
+found in one.
 
 1. A fixed-size table of counters, summed over all texts, tells frequent shingles from the rest. It
-   only ranks signatures, so its collisions cannot change a result.
+   gives the global order of the trees and ranks signatures, so its collisions cannot change a result.
 2. Sets of up to M elements that are linked differ in at most k = 2 M (q - p) / (q + p) elements. A
    set is cut by hash ranges into k + 1 + slack parts, so at least slack + 1 parts of linked sets
    are equal. A part is the stronger the more infrequent, and then the more elements it has; each
@@ -14,15 +15,19 @@ Two documents are linked when |A and B| / |A or B| reaches p / q. Sets are compa
 3. Sets that sign the same part are tied in a star around the least of them, first within each task,
    so that only one row per task and part is shuffled, then for each part. Connected components of
    the stars hold every link. Copies of a set are one node from the start.
-4. One text of each node goes to its component's tree. A component beyond `block` shingles is cut
-   into blocks, and each pair of blocks is a tree of its own, so a tree's memory is bounded.
+4. One text of each node goes to its component's tree. A component that weighs more than `block` is dealt
+   to several trees, and its hub, the set with the fewest infrequent shingles, goes to all of them: what is
+   joined with the hub in any tree is one group. Only sets of such components that were not joined with
+   the hub look for links in the other trees, in pieces that weigh as little.
 5. The links found give the final components.
 
 Defined results: words are runs of what isn't ASCII white space, with A-Z lower-cased; a text of
 fewer words than the width is one shingle; null, empty and blank texts have none and are linked with
-nothing. Sets are compared by 64-bit shingle hashes and known by a 64-bit digest. A row whose doc_id
-is null takes part in links; its group is the smallest id reachable, or null. Repeated rows get equal
-results. An empty table gives an empty table.
+nothing. Whole texts count, however long; one that weighs more than `block` is a block of its own. Sets
+are compared by 64-bit shingle hashes and known by a 128-bit digest. A row whose doc_id is null takes
+part in links; its group is the smallest id reachable, or null. Repeated rows get equal results, and
+ties of any kind are broken by digest, id and hash of the text. Extra columns never clash. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -43,7 +48,9 @@ from .trie_join import components
 COUNTER_BITS = 22
 SLICES = 256
 FLUSH = 1 << 18
-BLOCK = 1_000_000
+#: What the sets of a tree weigh: their shingles and SET_WEIGHT for each set.
+BLOCK = 100_000
+SET_WEIGHT = 200
 
 
 def count_shingles(texts: DataFrame, width: int, bits: int = COUNTER_BITS) -> np.ndarray:
@@ -73,7 +80,9 @@ def count_shingles(texts: DataFrame, width: int, bits: int = COUNTER_BITS) -> np
 
     shares = common.map_arrow(texts, share, "slice int, counters binary").repartition(min(SLICES, common.partitions(texts.sparkSession)), "slice")
     out = np.zeros((SLICES, step), np.int64)
-    for row in common.map_arrow(shares, add, "slice int, counters binary").collect():  # SLICES rows, of fixed size
+    with common.small_batches(texts.sparkSession):
+        sums = common.map_arrow(shares, add, "slice int, counters binary").collect()  # SLICES rows, of fixed size
+    for row in sums:
         out[row["slice"]] = np.frombuffer(row["counters"], "<u4")
     return out.ravel()
 
@@ -84,6 +93,11 @@ def frequent(counters: np.ndarray) -> np.ndarray:
     return counters > load + 6 * load**0.5 + 16
 
 
+def level_of(counters: np.ndarray) -> np.ndarray:
+    """The order of magnitude (to base 2) of each counter, in a byte."""
+    return np.frexp(counters.astype(float))[1].astype(np.uint8)
+
+
 class Signer:
     """Signatures of sets, such that linked sets have one in common."""
 
@@ -104,6 +118,10 @@ class Signer:
             i += 1
             yield self.tops[i]
 
+    def rare(self, s: np.ndarray) -> int:
+        """Infrequent elements of a set."""
+        return len(s) - int(np.count_nonzero(self.often[(s & self.mask).astype(np.int64)]))
+
     def __call__(self, s: np.ndarray) -> np.ndarray:
         spread = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s))))
         rare = np.concatenate((np.zeros(1, np.int64), np.cumsum(~self.often[(s & self.mask).astype(np.int64)])))
@@ -134,139 +152,163 @@ def stars(signs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return signs[first], least, edges[:, 0], edges[:, 1]
 
 
-PACKED = "kind int, slot int, x binary, y binary, z binary, w binary"
-FACTS = "kind int, a bigint, b bigint, n bigint, node bigint"
+FACTS = "kind int, a bigint, b bigint, n bigint, node bigint, node2 bigint, rare bigint"
+ROW, EDGE, SIGN = 0, 1, 2
 
 
 def sign_texts(rows: DataFrame, width: int, p: int, q: int, often: np.ndarray) -> DataFrame:
-    """rows (doc_id, row_key, text) to facts: kind 0 is a row (a: doc_id, b: row_key, n, node), kind 1 an edge (a, b)."""
-    slots = 4 * common.partitions(rows.sparkSession)
+    """rows (doc_id, row_key, text) to facts. ROW: a is doc_id, b is row_key, then n, node and node2 (the set's
+    digest) and rare (its infrequent shingles). EDGE: nodes a and b are tied. SIGN: node b signs a."""
     packed = np.packbits(often).tobytes()
-    names = ["kind", "slot", "x", "y", "z", "w"]
+    names = ["kind", "a", "b", "n", "node", "node2", "rare"]
+
+    def facts(kind: int, a, b, *rest: np.ndarray) -> pa.RecordBatch:
+        rest = rest or (np.zeros(len(a), np.int64),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a if isinstance(a, pa.Array) else pa.array(a), b if isinstance(b, pa.Array) else pa.array(b), *map(pa.array, rest)], names=names)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, signer = WordHashes(), Signer(p, q, np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool))
-        signs, nodes, held, turn = [], [], 0, 0
+        signs, nodes, held = [], [], 0
 
-        def pack() -> pa.RecordBatch:
+        def ties() -> Iterator[pa.RecordBatch]:
             sign, node, a, b = stars(np.concatenate(signs), np.concatenate(nodes))
-            at = np.searchsorted(sign, np.array([(i << 64) // slots for i in range(1, slots)], np.uint64))
-            cut = [0, *at.tolist(), len(sign)]
-            full = [i for i in range(slots) if cut[i + 1] > cut[i]]
-            x = [sign[cut[i] : cut[i + 1]].tobytes() for i in full] + [a.tobytes()]
-            y = [node[cut[i] : cut[i + 1]].tobytes() for i in full] + [b.tobytes()]
-            none = [None] * len(x)
-            return pa.RecordBatch.from_arrays([pa.array([2] * len(full) + [1], pa.int32()), pa.array([*full, int(sign[0] % np.uint64(slots))], pa.int32()), pa.array(x, pa.binary()), pa.array(y, pa.binary()), pa.array(none, pa.binary()), pa.array(none, pa.binary())], names=names)
+            yield facts(EDGE, a, b)
+            for i in range(0, len(sign), 1 << 16):
+                yield facts(SIGN, sign[i : i + (1 << 16)].view(np.int64), node[i : i + (1 << 16)])
 
         with np.errstate(over="ignore"):
             for batch in batches:
                 sets = shingle_sets(batch.column(2).cast(pa.binary()).to_pylist(), width, words)
-                node = np.array([set_digest(s) if len(s) else 0 for s in sets], np.int64)
+                digests = np.array([set_digest(s) if len(s) else (0, 0) for s in sets], np.int64).reshape(-1, 2)
                 size = np.array([len(s) for s in sets], np.int64)
-                ids = batch.column(0)
-                blobs = [ids.fill_null(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), size, node]
-                blobs[2] = np.where(ids.is_null().to_numpy(zero_copy_only=False), -1 - size, size)  # a negative size: the id is null
-                turn += 1
-                if len(sets):
-                    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([(int(node[0]) + turn) % slots], pa.int32()), *(pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in blobs)], names=names)
-                for s, v in zip(sets, node, strict=True):
+                rare = np.array([signer.rare(s) for s in sets], np.int64)
+                yield facts(ROW, batch.column(0), batch.column(1), size, digests[:, 0], digests[:, 1], rare)
+                for s, v in zip(sets, digests[:, 0], strict=True):
                     if len(s):
                         signs.append(signer(s))
                         nodes.append(np.full(len(signs[-1]), v))
                         held += len(signs[-1])
                         if held >= FLUSH:
-                            yield pack()
+                            yield from ties()
                             signs, nodes, held = [], [], 0
             if held:
-                yield pack()
+                yield from ties()
 
-    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, signs, nodes = None, [], []
+    return common.map_arrow(rows, sign, FACTS)
 
-        def rows_of(kind, a, b, n=None, node=None, null=None) -> pa.RecordBatch:
-            blank = np.zeros(len(a), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, mask=null), pa.array(b), pa.array(blank if n is None else n), pa.array(blank if node is None else node)], names=["kind", "a", "b", "n", "node"])
 
-        def end() -> Iterator[pa.RecordBatch]:
-            if signs:
-                _, _, a, b = stars(np.concatenate(signs), np.concatenate(nodes))
-                if len(a):
-                    yield rows_of(1, a, b)
+def tied(facts: DataFrame) -> DataFrame:
+    """Edges (a, b) of the stars. A task has sent a part once, with its least node, so that a part which a third
+    of all sets sign is a row for each task here."""
+    signs = facts.filter(F.col("kind") == SIGN).select(F.col("a").alias("sign"), F.col("b").alias("a"))
+    hub = F.min("a").over(Window.partitionBy("sign").orderBy("a"))  # a running minimum: no group is held in memory
+    return signs.select("a", hub.alias("b")).filter("a <> b").unionByName(facts.filter(F.col("kind") == EDGE).select("a", "b"))
 
-        for batch in batches:
-            for kind, at, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != slot:
-                    yield from end()
-                    slot, signs, nodes = at, [], []
-                if kind == 2:
-                    signs.append(np.frombuffer(blobs[0], np.uint64))
-                    nodes.append(np.frombuffer(blobs[1], np.int64))
-                elif kind == 1:
-                    if blobs[0]:
-                        yield rows_of(1, np.frombuffer(blobs[0], np.int64), np.frombuffer(blobs[1], np.int64))
-                else:
-                    ids, keys, n, node = (np.frombuffer(x, "<i8") for x in blobs)
-                    yield rows_of(0, ids, keys, np.where(n < 0, -1 - n, n), node, n < 0)
-        yield from end()
 
-    spread = common.map_arrow(rows, sign, PACKED).repartition(common.partitions(rows.sparkSession), "slot").sortWithinPartitions("slot")
-    return common.map_arrow(spread, tie, FACTS)
+TREES = "array<struct<i:bigint,j:bigint,asks:boolean>>"
 
 
-def link_blocks(texts: DataFrame, width: int, p: int, q: int) -> DataFrame:
-    """texts (component, i, j, text), those of a tree in a row, to edges (a, b) between linked nodes."""
+def join_trees(texts: DataFrame, width: int, p: int, q: int, levels: np.ndarray) -> DataFrame:
+    """texts (component, i, j, asks, own1, own2, text), those of a tree (component, i, j) in a row, to the groups
+    joined in any tree: of group (node, node2) the group that it is part of (to1, to2). Sets with the same own1,
+    own2 are one group from the start; only sets that ask look up their links. The first set's group keeps its name."""
+    shared = texts.sparkSession.sparkContext.broadcast(levels)  # 2 ** COUNTER_BITS bytes, however large the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tree, sets = WordHashes(), None, {}
 
         def end() -> Iterator[pa.RecordBatch]:
-            nodes = list(sets)
-            root = components(list(sets.values()), p, q) if len(nodes) > 1 else [0] * len(nodes)
-            pairs = [(nodes[i], nodes[r]) for i, r in enumerate(root) if i != r]
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            if len(sets) < 2:
+                return
+            known, asks, first = [], [], {}
+            for i, (_, own, asked) in enumerate(sets.values()):
+                known.append(first.setdefault(own, i))
+                asks.append(asked)
+            root = components([s for s, _, _ in sets.values()], p, q, shared.value, np.array(known), np.array(asks))
+            names = [own for _, own, _ in sets.values()]
+            moved = list(dict.fromkeys((*names[i], *names[r]) for i, r in enumerate(root.tolist()) if names[i] != names[r]))
+            if moved:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in moved], pa.int64()) for k in range(4)], names=["node", "node2", "to1", "to2"])
 
         for batch in batches:
-            found = shingle_sets(batch.column(3).cast(pa.binary()).to_pylist(), width, words)
-            for *at, s in zip(*(c.to_pylist() for c in batch.columns[:3]), found, strict=True):
+            found = shingle_sets(batch.column(6).cast(pa.binary()).to_pylist(), width, words)
+            rows = list(zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True))
+            for (*at, asks, own1, own2), s in zip(rows, found, strict=True):
                 if at != tree:
                     yield from end()
                     tree, sets = at, {}
-                sets.setdefault(set_digest(s), s)
+                sets.setdefault(set_digest(s), (s, (own1, own2), asks))
         yield from end()
 
-    return common.map_arrow(texts, run, "a bigint, b bigint")
+    return common.map_arrow(texts, run, "node bigint, node2 bigint, to1 bigint, to2 bigint")
+
+
+def deal(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """The texts of near (component, own1, own2, first, rep_id, rep_key, trees), a row for each of a text's trees,
+    those of a tree in a row, `first` ones first."""
+    rows = common.flag_likely(rows, F.xxhash64("doc_id", "row_key"), near, F.xxhash64("rep_id", "rep_key"), "likely").filter("likely")
+    texts = rows.join(near, rows["doc_id"].eqNullSafe(near["rep_id"]) & (rows["row_key"] == near["rep_key"]))
+    texts = texts.select("component", "own1", "own2", "first", F.explode("trees").alias("at"), "text").select("component", "at.i", "at.j", "at.asks", "own1", "own2", "text", "first")
+    texts = texts.repartition(common.partitions(rows.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", F.desc("first"))
+    return texts.drop("first")
+
+
+def tree_groups(rows: DataFrame, near: DataFrame, width: int, p: int, q: int, levels: np.ndarray, block: int) -> tuple[DataFrame, DataFrame]:
+    """near (component, node, node2, n, rare, rep_id, rep_key), whose sets are to be joined within components.
+
+    Two tables: the sets (node, node2) that are part of another's group (to1, to2), and of those groups the ones
+    that are part of a further group (g, to)."""
+    weight = F.col("n") + SET_WEIGHT
+    cut = lambda w: (F.floor((F.sum(w) - 1) / block) + 1).cast("bigint")
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    tree = lambda i, j, asks: F.struct(i.alias("i"), j.alias("j"), asks.alias("asks"))
+    zero, yes = F.lit(0).cast("bigint"), F.lit(True)
+    total = near.groupBy("component").agg(cut(weight).alias("blocks"), F.min(F.struct("rare", "node", "node2")).alias("hub"))
+    near = near.join(total, "component").withColumn("first", (F.col("node") == F.col("hub.node")) & (F.col("node2") == F.col("hub.node2")))
+    near = common.store(near.withColumn("block", F.pmod(F.xxhash64("node", "node2"), F.col("blocks"))))
+    trees = F.when(F.col("first"), F.transform(upto("blocks"), lambda i: tree(i, zero, yes))).otherwise(F.array(tree(F.col("block"), zero, yes))).cast(TREES)
+    asked = near.select("component", F.col("node").alias("own1"), F.col("node2").alias("own2"), "first", "rep_id", "rep_key", trees.alias("trees"))
+    found = common.store(join_trees(deal(rows, asked), width, p, q, levels))
+
+    # sets of cut components that no tree joined with the hub look for links in every block
+    near = near.filter("blocks > 1").join(found, ["node", "node2"], "left").withColumns({"own1": F.coalesce("to1", "node"), "own2": F.coalesce("to2", "node2")})
+    near = near.withColumn("outside", (F.col("own1") != F.col("hub.node")) | (F.col("own2") != F.col("hub.node2")))
+    pieces = near.filter("outside").groupBy("component").agg(cut(weight).alias("pieces"))
+    near = near.join(pieces, "component").withColumn("piece", F.when(F.col("outside"), F.pmod(F.xxhash64("node2", "node"), F.col("pieces"))))
+    home = F.transform(upto("pieces"), lambda j: tree(F.col("block"), j, F.coalesce(F.col("piece") == j, F.lit(False))))
+    away = F.when(F.col("outside"), F.transform(F.filter(upto("blocks"), lambda i: i != F.col("block")), lambda i: tree(i, F.col("piece"), yes)))
+    trees = F.concat(home.cast(TREES), F.coalesce(away.cast(TREES), F.array().cast(TREES)))
+    asked = common.store(near.select("component", "own1", "own2", "first", "rep_id", "rep_key", trees.alias("trees")))
+    if asked.isEmpty():
+        return found, None
+    edges = join_trees(deal(rows, asked), width, p, q, levels).select(F.struct("node", "node2").alias("a"), F.struct(F.col("to1").alias("node"), F.col("to2").alias("node2")).alias("b"))
+    return found, connected_components(edges).select(F.col("node").alias("g"), F.col("component").alias("to"))
 
 
 def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, p: int = 4, q: int = 5, block: int = BLOCK) -> DataFrame:
     """A row for each row of df: doc_id, row_key (hash of the text), n_shingles, node, component_id (the
     smallest doc_id reachable by links of p / q or more) and keeper_key (of that document's texts, the
     row_key that stands for the group)."""
-    spark, parts = df.sparkSession, common.partitions(df.sparkSession)
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row_key"), F.col(text).alias("text"))
-    often = frequent(count_shingles(rows.select("text"), width))
-    facts = common.store(sign_texts(rows, width, p, q, often))
-    docs = facts.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("row_key"), "n", "node")
-    classes = common.store(docs.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "row_key")).alias("any"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_key"))).alias("rep")))
-
-    near = connected_components(facts.filter("kind = 1").select("a", "b")).join(classes, "node")
-    near = common.store(near.select("component", "node", "n", F.col("any.doc_id").alias("rep_id"), F.col("any.row_key").alias("rep_key")))
-    total = near.groupBy("component").agg((F.floor((F.sum("n") - 1) / block) + 1).alias("blocks"))
-    near = near.join(total, "component")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda x: x != own)
-    near = near.withColumn("pairs", F.when(F.col("blocks") == 1, F.array(F.struct(own.alias("i"), own.alias("j")))).otherwise(F.transform(others, lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))))
-    rows = common.flag_likely(rows, F.xxhash64("doc_id", "row_key"), near, F.xxhash64("rep_id", "rep_key"), "likely").filter("likely")
-    texts = rows.join(near, rows["doc_id"].eqNullSafe(near["rep_id"]) & (rows["row_key"] == near["rep_key"]))
-    texts = texts.select("component", F.explode("pairs").alias("at"), "text").select("component", "at.i", "at.j", "text")
-    texts = texts.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    final = connected_components(link_blocks(texts, width, p, q))
-
-    labels = classes.join(final, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "rep")
-    least = labels.groupBy("component").agg(F.min("rep").alias("least"))
-    labels = labels.join(least, "component").select("node", "least")
+    counters = count_shingles(rows.select("text"), width)
+    facts = common.store(sign_texts(rows, width, p, q, frequent(counters)))
+    docs = facts.filter(F.col("kind") == ROW).select(F.col("a").alias("doc_id"), F.col("b").alias("row_key"), "n", "node", "node2", "rare")
     own_id = F.struct("doc_id", "row_key")
-    out = docs.withColumn("joined", F.when(F.col("n") > 0, F.col("node"))).join(labels.withColumnRenamed("node", "joined"), "joined", "left")
+    classes = docs.filter("n > 0").groupBy("node", "node2").agg(F.max("n").alias("n"), F.max("rare").alias("rare"), F.min(own_id).alias("any"), F.min(F.when(F.col("doc_id").isNotNull(), own_id)).alias("rep"))
+    classes = common.store(classes)
+
+    near = connected_components(tied(facts)).join(classes, "node")
+    near = near.select("component", "node", "node2", "n", "rare", F.col("any.doc_id").alias("rep_id"), F.col("any.row_key").alias("rep_key"))
+    found, further = tree_groups(rows, near, width, p, q, level_of(counters), block)
+
+    labels = classes.join(found, ["node", "node2"], "left")
+    labels = labels.select("node", "node2", "rep", F.struct(F.coalesce("to1", "node").alias("node"), F.coalesce("to2", "node2").alias("node2")).alias("g"))
+    if further is not None:
+        labels = labels.join(further, "g", "left").withColumn("g", F.coalesce("to", "g")).drop("to")
+    least = labels.groupBy("g").agg(F.min("rep").alias("least"))
+    labels = labels.join(least, "g").select(F.col("node").alias("joined"), F.col("node2").alias("joined2"), "least")
+    has = lambda c: F.when(F.col("n") > 0, F.col(c))
+    out = docs.withColumns({"joined": has("node"), "joined2": has("node2")}).join(labels, ["joined", "joined2"], "left")
     return out.withColumn("least", F.when(F.col("n") > 0, F.col("least")).otherwise(own_id)).select("doc_id", "row_key", F.col("n").alias("n_shingles"), "node", F.col("least.doc_id").alias("component_id"), F.col("least.row_key").alias("keeper_key"))
 
 

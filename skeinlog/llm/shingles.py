@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 
 _M1, _M2, _STEP, _SEED = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D))
@@ -56,8 +58,8 @@ def shingle_sets(texts: list[bytes | None], width: int, words: WordHashes) -> li
     return out
 
 
-def set_digest(s: np.ndarray) -> int:
-    """A signed 64-bit digest of a set."""
+def set_digest(s: np.ndarray) -> tuple[int, int]:
+    """A 128-bit digest of a set, as two signed numbers."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(s.tobytes()))

@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +33,7 @@ def shingle_set(text, width):
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
 
-@pytest.mark.parametrize(("width", "p", "q", "block"), [(3, 9, 10, m.BLOCK), (5, 4, 5, m.BLOCK), (3, 9, 10, 300)])
+@pytest.mark.parametrize(("width", "p", "q", "block"), [(3, 9, 10, m.BLOCK), (5, 4, 5, m.BLOCK), (3, 9, 10, 300), (5, 4, 5, 1000), (3, 3, 10, 700), (3, 3, 10, 300)])
 def test_equals_brute_force(docs, width, p, q, block):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     sets = [shingle_set(t, width) for _, t in rows]
@@ -85,10 +86,41 @@ def test_trie_lookup():
         sets = sorted(map(set, sets), key=sorted)
         arrays = [np.array(sorted(s), np.uint64) for s in sets]
         for p, q in ((9, 10), (4, 5), (1, 2)):
-            assert trie_join.components(arrays, p, q) == brute_components(sets, p, q)
-            trie = trie_join.Trie(arrays)
-            for i, s in enumerate(sets):
-                assert set(trie.linked(i, p, q)) == {j for j, t in enumerate(sets) if q * len(s & t) >= p * len(s | t)}
+            levels = np.array([rng.randrange(3) for _ in range(64)])
+            want = brute_components(sets, p, q)
+            assert trie_join.components(arrays, p, q).tolist() == want
+            assert trie_join.components(arrays, p, q, levels).tolist() == want
+            trie = trie_join.Trie(arrays, p, q, levels)
+            got = list(zip(*(x.tolist() for x in trie.links(np.arange(len(sets)))), strict=True))
+            assert len(got) == len(set(got))
+            assert set(got) == {(i, j) for i, s in enumerate(sets) for j, t in enumerate(sets) if i != j and q * len(s & t) >= p * len(s | t)}
+            # some sets already joined, and only some look up: links of theirs, and nothing else, are added
+            known = np.array([min(j for j in range(i + 1) if j % 4 == i % 4) for i in range(len(sets))])
+            asks = np.array([rng.random() < 0.5 for _ in sets])
+            root = list(known)
+            for i, j in sorted(got):
+                if asks[i] and root[i] != root[j]:
+                    a, b = sorted((root[i], root[j]))
+                    root = [a if r == b else r for r in root]
+            outside = trie_join.components(arrays, p, q, levels, known, asks).tolist()
+            anchor = max(set(known.tolist()), key=known.tolist().count)
+            if all(asks[i] for i in range(len(sets)) if known[i] != anchor) and not any(asks[i] for i in range(len(sets)) if known[i] == anchor):
+                assert outside == root
+
+
+def test_many_sets_without_links_take_seconds():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 1 << 63, 20, dtype=np.uint64)) for _ in range(16_000)]
+    began = time.perf_counter()
+    assert trie_join.components(sets, 9, 10).tolist() == list(range(16_000))
+    assert time.perf_counter() - began < 30
+
+
+def test_a_large_group_of_near_copies():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((np.delete(base, rng.integers(0, 200, 4)), rng.integers(0, 1 << 63, 4, dtype=np.uint64)))) for _ in range(2_000)]
+    assert set(trie_join.components(sets, 9, 10).tolist()) == {0}
 
 
 def test_short_texts_are_one_shingle():
@@ -121,3 +153,12 @@ def test_components(spark):
 def test_empty_table(no_docs):
     assert m.similar_groups(no_docs).collect() == []
     assert m.keep_one(no_docs).collect() == []
+
+
+def test_a_chain_across_blocks(spark):
+    """Only neighbours are linked, most sets are not linked with the hub, and each tree holds few of them."""
+    words = [f"w{i}" for i in range(260)]
+    rows = [(i, " ".join(words[5 * i : 5 * i + 50])) for i in range(40)] + [(100 + i, " ".join(f"x{j}" for j in range(5 * i, 5 * i + 50))) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in m.similar_groups(docs, width=3, p=4, q=5, block=900).collect()}
+    assert got == {i: 0 if i < 100 else 100 for i, _ in rows}
