@@ -84,9 +84,14 @@ def store(df: DataFrame, **options: str | int) -> DataFrame:
     path = f"{shared_dir(spark)}/skeinlog-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.options(**options).parquet(path)
+    delete_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Has a folder that exists deleted when the application ends."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stored(df: DataFrame) -> None:

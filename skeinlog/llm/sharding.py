@@ -1,24 +1,30 @@
 """Sharding by fixed virtual slots.
 
-A record's slot is a hash of its id, modulo a fixed number of thousands of slots. Bytes are added up
+A record's slot is a hash of it, modulo a fixed number of thousands of slots. Bytes are added up
 per slot, and a versioned map from slots to shards is built from these sums: the largest slot left
-goes to the lightest shard. Later versions edit the map: rebalance() moves single slots from heavy
-to light shards, grow() gives a new shard slots of the others and moves none between old shards.
-A record's shard is looked up by its slot, so that a new version moves whole slots and hashes nothing.
+goes to the lightest shard. The map is a stored table. Later versions edit it: rebalance() moves single
+slots from heavy to light shards, grow() gives a new shard slots of the others and moves none between
+old shards. A record's shard is looked up by its slot, so that a new version moves whole slots and
+hashes nothing.
 
 The law of the query is `bytes`: sizes of the shards are near equal (to a slot's size).
 
-The map has one row per slot, so it is of fixed size, whatever the number of records; it is built on
+The map has one row per slot, so it is of fixed size, whatever the number of records; it is edited on
 the driver and broadcast. A record's place within its shard is the place in its slot plus that of the
 slot in its shard; only records of one slot are sorted together.
 
-Defined results: a null text has size 1 and the crc32 of no bytes; null ids share a slot; repeated
-rows get places of their own in a slot; an empty table gives an empty table and an empty map.
+Defined results: a null text has size 1 and the crc32 of no bytes. Equal records (same id, size and
+crc32) are counted together and cut into chunks of CHUNK, and the slot is a hash of record and chunk, so
+neither null ids nor a repeated row fill a slot; they get places of their own, in any order. A text of any
+length counts whole and goes to one shard, so shards are as equal as that allows. Ties go to the smaller
+number. Extra columns are left out, whatever their names. An empty table gives an empty table and a map
+of empty slots.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,6 +33,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SLOTS = 4096
+CHUNK = 100
+SHARDS = 16
 
 
 @dataclass
@@ -110,28 +118,48 @@ class SlotMap:
 
 
 def records(df: DataFrame, text: str = "text", doc_id: str = "doc_id", slots: int = SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes and one), text_crc32 and vslot of each row."""
+    """doc_id, size (UTF-8 bytes and one), text_crc32, chunk, n (rows of the chunk) and vslot: a row for each CHUNK
+    of equal records or fewer."""
     plain = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    return df.select(F.col(doc_id).alias("doc_id"), (F.length(plain) + 1).cast("bigint").alias("size"), F.crc32(plain).alias("text_crc32"), F.pmod(F.xxhash64(key), F.lit(slots)).cast("int").alias("vslot"))
+    rows = df.select(F.col(doc_id).alias("doc_id"), (F.length(plain) + 1).cast("bigint").alias("size"), F.crc32(plain).alias("text_crc32"))
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("total"))
+    rows = rows.select("doc_id", "size", "text_crc32", "total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("total") - 1) / CHUNK).cast("bigint"))).alias("chunk"))
+    rows = rows.withColumn("n", F.least(F.lit(CHUNK), F.col("total") - F.col("chunk") * CHUNK)).drop("total")
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "text_crc32", "chunk")
+    return rows.withColumn("vslot", F.pmod(F.xxhash64(key), F.lit(slots)).cast("int"))
 
 
-def slot_map(rows: DataFrame, shards: int, slots: int = SLOTS) -> SlotMap:
-    """A first map from the sums per slot; these are slots rows at most, however many records there are."""
+def slot_sums(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
+    """Bytes and records of each slot; these are slots rows at most, however many records there are."""
     bytes_of, rows_of = [0] * slots, [0] * slots
-    for r in rows.groupBy("vslot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():
+    for r in rows.groupBy("vslot").agg(F.sum(F.col("size") * F.col("n")).alias("b"), F.sum("n").alias("n")).collect():
         bytes_of[r["vslot"]], rows_of[r["vslot"]] = r["b"], r["n"]
-    return SlotMap.build(bytes_of, rows_of, shards)
+    return bytes_of, rows_of
+
+
+def slot_map(rows: DataFrame, shards: int, slots: int = SLOTS) -> SlotMap:
+    """A first map of records()."""
+    return SlotMap.build(*slot_sums(rows, slots), shards)
 
 
 def assign(rows: DataFrame, slots: SlotMap) -> DataFrame:
-    """rows with shard and slot, the record's place in its shard, gapless from 0. slots must be of these rows."""
+    """A row for each record of records(), with shard and slot: the record's place in its shard, gapless from 0.
+    slots must be of these rows."""
     table = slots.table(rows.sparkSession).select(F.col("slot").alias("vslot"), "shard", "base")
-    inside = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")) - 1
-    return rows.withColumn("inside", inside).join(F.broadcast(table), "vslot").withColumn("slot", F.col("base") + F.col("inside")).drop("base", "inside")
+    before = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(table), "vslot")
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    return rows.withColumn("slot", F.col("base") + F.col("inside") + F.col("i")).drop("base", "inside", "i", "n", "chunk")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = common.store(records(common.documents(spark, sf_dir)))
-    out = assign(rows, slot_map(rows, 16))
+    """16 shards by the newest version of a stored map: made for 15, grown by one, and rebalanced."""
+    rows = common.store(records(common.same_columns(common.documents(spark, sf_dir), ["doc_id", "text"])))
+    sums = slot_sums(rows)
+    path = f"{common.shared_dir(spark)}/skeinlog-slots-{uuid.uuid4().hex}"
+    SlotMap.build(*sums, SHARDS - 1).save(spark, path)
+    common.delete_at_end(spark, path)
+    SlotMap.load(spark, path).grow().save(spark, path)
+    SlotMap.load(spark, path).rebalance(*sums, slack=0.0).save(spark, path)
+    out = assign(rows, SlotMap.load(spark, path))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot")
