@@ -2,7 +2,7 @@
 
 Each source has a weight schedule over training time 0 to 1. The integral of the schedule, scaled so
 that the whole run demands the source's target of words, is its cumulative demand; the documents of a
-source, in the order of a hash of their id, repeated as often as the target asks, follow each other
+source, in the order of a hash of their id and text, repeated as often as the target asks, follow each other
 in words, and each copy is trained at the time at which cumulative demand reaches the copy's first
 word: the inverse of the integral. The mix is the copies, range-sorted by that position.
 
@@ -14,8 +14,11 @@ are added up per source, and only documents of one bucket are summed in order. S
 the driver (a row for each source).
 
 Defined results: a null or empty text has no words and is never taken; null sources are one source,
-the last; repeated rows are separate copies of equal size, interchangeable in the order; a source
-without words has target 0; an empty table gives an empty table.
+the last; null and repeated ids are told apart by their texts; equal rows (same id, source and text) are
+placed together as one, cut into chunks of CHUNK, and each takes a place of its own, in any order; a text of
+any length is one document; ties in the order are broken by id and text; a source without words has
+target 0; extra columns of curriculum() are kept, whatever their names; an empty table gives an empty table.
+curriculum() numbers rows that are equal in id, source and text by streaming through them in one task.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 4096
+CHUNK = 1000
 MAX_REPEATS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Times of the schedules' knots, and the relative weight there of every first, second and third source:
@@ -85,24 +89,28 @@ def plan(df: DataFrame, source: str, size: Column, weight_of: Callable[[int], fl
 
 
 def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, shapes: Sequence[Sequence[float]] = SHAPES, buckets: int = BUCKETS) -> DataFrame:
-    """Per row: doc_id, row_key (hash of the text), size, source_size, target, copies, taken, and begins
-    (position of each copy in training time, 0 to 1)."""
+    """Per row: doc_id, source, row_key (hash of the text), nth of how many equal rows, size, source_size, target,
+    copies, taken, and begins (position of each copy in training time, 0 to 1)."""
     spark = df.sparkSession
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row_key"))
-    rows = common.store(rows)
-    sources = plan(rows, "source", F.col("size"), lambda i: weights[i % len(weights)], max_repeats)
+    plain = F.coalesce(F.col(text), F.lit(""))
+    draw = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("/"), F.md5(plain)))
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"), F.xxhash64(plain).alias("row_key"), draw.alias("draw"))
+    rows = common.store(rows.groupBy("doc_id", "source", "size", "row_key", "draw").agg(F.count("*").alias("equal")).withColumn("words", F.col("size") * F.col("equal")))
+    sources = plan(rows, "source", F.col("words"), lambda i: weights[i % len(weights)], max_repeats)
     numbered = [(k, s, n, t) for k, (s, n, t) in enumerate(sources)]
     table = spark.createDataFrame(numbered, "k int, s string, source_size bigint, target double")
-    rows = rows.withColumn("draw", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = rows.withColumn("bucket", F.conv(F.substring("draw", 1, 7), 16, 10).cast("bigint") * F.lit(buckets) / F.lit(1 << 28)).withColumn("bucket", F.floor("bucket").cast("int"))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    sums = rows.groupBy("source", "bucket").agg(F.sum("words").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     base = sums.join(table, sums["s"].eqNullSafe(table["s"])).select(sums["s"], "b", "before", "k", "source_size", "target")
     within = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size", "row_key").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rows = rows.withColumn("inside", F.coalesce(F.sum("words").over(within), F.lit(0)))
     rows = rows.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-    start = F.col("before") + F.col("inside")
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), n)
+    rows = rows.withColumn("chunk", F.explode(upto(F.floor((F.col("equal") - 1) / CHUNK).cast("bigint")))).withColumn("i", F.explode(upto(F.least(F.lit(CHUNK), F.col("equal") - F.col("chunk") * CHUNK) - 1)))
+    rows = rows.withColumn("nth", F.col("chunk") * CHUNK + F.col("i"))
+    start = F.col("before") + F.col("inside") + F.col("nth") * F.col("size")
     # copy c of a document begins at c * source_size + start; it is taken where its middle is within the target
     fits = F.try_divide(F.col("target") - start - F.col("size") / 2, F.col("source_size"))
     copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.greatest(F.floor(fits) + 1, F.lit(0)), F.lit(max_repeats))).cast("int")
@@ -117,23 +125,29 @@ def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str =
         return out
 
     at = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), begins)).otherwise(F.array().cast("array<double>"))
-    return rows.select("doc_id", "row_key", "size", "source_size", "target", "copies", F.col("taken").cast("bigint").alias("taken"), at.alias("begins"))
+    return rows.select("doc_id", "source", "row_key", "nth", "equal", "size", "source_size", "target", "copies", F.col("taken").cast("bigint").alias("taken"), at.alias("begins"))
 
 
 def curriculum(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The mix itself: df's columns, a row for each copy taken, range-sorted by training position."""
-    key, begins, at = (common.fresh(df, c) for c in ("row_key", "begins", "position"))
-    # plain join keys: numbering repeated rows and joining the plan then share one shuffle of the texts
-    keys = [f"{at}_known", f"{at}_id", key]
-    zero = F.lit(0).cast(df.schema[doc_id].dataType)
-    df = df.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn(keys[0], F.col(doc_id).isNotNull()).withColumn(keys[1], F.coalesce(F.col(doc_id), zero))
-    plan_ = mix(df, text, doc_id, source, **options).filter("copies > 0")
-    plan_ = plan_.select(F.col("doc_id").isNotNull().alias(keys[0]), F.coalesce("doc_id", zero).alias(keys[1]), F.col("row_key").alias(key), F.col("begins").alias(begins))
-    plan_ = plan_.groupBy(*keys).agg(F.sort_array(F.collect_list(begins)).alias(begins))
-    # of repeated rows, the n-th takes the n-th plan
-    df = df.withColumn(f"{at}_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
-    out = df.join(plan_, keys).withColumn(at, F.explode(F.get(begins, F.col(f"{at}_n") - 1)))
-    return out.orderBy(at, doc_id).drop(*keys, f"{at}_n", begins, at)
+    key, begins, at, nth, likely = (common.fresh(df, c) for c in ("row_key", "begins", "position", "nth", "likely"))
+    keys = [f"{at}_id_known", f"{at}_id", f"{at}_source_known", f"{at}_source", key]
+
+    def keyed(rows: DataFrame, doc_id: str, source: str) -> DataFrame:
+        """Plain join keys, so that null ids and sources meet too."""
+        zero = F.lit(0).cast(rows.schema[doc_id].dataType)
+        return rows.withColumns({keys[0]: F.col(doc_id).isNotNull(), keys[1]: F.coalesce(F.col(doc_id), zero), keys[2]: F.col(source).isNotNull(), keys[3]: F.coalesce(F.col(source), F.lit(""))})
+
+    plan_ = mix(df, text, doc_id, source, **options).filter("copies > 0").withColumnRenamed("row_key", key)
+    plan_ = common.store(keyed(plan_, "doc_id", "source").select(*keys, F.col("nth").alias(nth), F.col("begins").alias(begins), "equal"))
+    df = keyed(df.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit("")))), doc_id, source)
+    # of equal rows, the n-th takes the n-th plan; only such rows (and few others by chance) have to be numbered
+    df = common.flag_likely(df, F.xxhash64(*keys), plan_.filter("equal > 1"), F.xxhash64(*keys), likely)
+    alone = df.filter(~F.col(likely)).join(plan_.filter("equal = 1").drop(nth, "equal"), keys)
+    several = df.filter(F.col(likely)).withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))) - F.lit(1).cast("bigint"))
+    several = several.join(plan_.drop("equal"), [*keys, nth]).drop(nth)
+    out = alone.unionByName(several).withColumn(at, F.explode(begins))
+    return out.orderBy(at, doc_id).drop(*keys, likely, begins, at)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +159,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS draw,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || md5(coalesce(text, ''))) AS draw,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents
 ), ranked AS (

@@ -31,15 +31,15 @@ def test_targets():
 
 
 def test_mix_equals_brute_force(docs):
-    rows = [(r["doc_id"], r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in docs.collect()]
+    rows = [(r["doc_id"], r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")), hashlib.md5((r["text"] or "").encode()).hexdigest()) for r in docs.collect()]
     total = Counter()
-    for _, s, n in rows:
+    for _, s, n, _ in rows:
         total[s] += n
     order = sorted(total, key=lambda s: (s is None, s or ""))
     target = dict(zip(order, shared_by_rounds([total[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))]), strict=True))
     want, groups = [], defaultdict(list)
-    for i, s, n in rows:
-        groups[s].append((hashlib.md5(str("" if i is None else i).encode()).hexdigest(), i is not None, i or 0, n))
+    for i, s, n, text in rows:
+        groups[s].append((hashlib.md5(f"{'' if i is None else i}/{text}".encode()).hexdigest(), i is not None, i or 0, n))
     for s, members in groups.items():
         start = 0
         for _, known, i, n in sorted(members):
@@ -51,7 +51,7 @@ def test_mix_equals_brute_force(docs):
     taken = Counter()
     for r in got.collect():
         assert r["taken"] <= 3 * r["size"] and len(r["begins"]) == r["copies"] and r["begins"] == sorted(r["begins"]) and all(0 <= x <= 1 for x in r["begins"])
-        assert r["target"] == pytest.approx(target[next(s for i, s, n in rows if i == r["doc_id"] and n == r["size"])]) or r["doc_id"] is None
+        assert r["target"] == pytest.approx(target[next(s for i, s, n, _ in rows if i == r["doc_id"] and n == r["size"])]) or r["doc_id"] is None
         taken[r["source_size"]] += r["taken"]
     assert sorted(map(tuple, got.select("doc_id", "size", "taken").collect()), key=repr) == sorted(map(tuple, m.mix(docs.repartition(2), buckets=64).select("doc_id", "size", "taken").collect()), key=repr)
 
@@ -96,3 +96,18 @@ def test_sources_without_words(spark):
     assert got == {1: (0, 0.0, 0), 2: (0, 0.0, 0), 3: (2, 2.0, 2), None: (0, 0.0, 0)}
     assert [r["doc_id"] for r in m.curriculum(df).collect()] == [3]
     assert {r["taken"] for r in m.mix(df.filter("doc_id <> 3")).collect()} == {0}
+
+
+def test_many_equal_rows(spark):
+    """A third of the rows is one row: each of them has a place of its own, in the plan and in the curriculum."""
+    rows = [(None, "same words here", None, i) for i in range(2500)] + [(i, f"words {i} of its own", "s", 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, nth int")
+    plan = m.mix(df).collect()
+    assert len(plan) == len(rows)
+    same = [r for r in plan if r["doc_id"] is None]
+    assert sorted(r["nth"] for r in same) == list(range(2500))
+    out = m.curriculum(df)
+    assert out.columns == df.columns
+    got = Counter((r["doc_id"], r["nth"]) for r in out.collect())
+    assert sum(got.values()) == sum(r["copies"] for r in plan)
+    assert max(got.values()) <= 3 and Counter(n for (i, _), n in got.items() if i is None) == Counter(r["copies"] for r in same if r["copies"])
