@@ -9,9 +9,10 @@ of the documents hold costs a row per task. Only lines under hashes that reach t
 counted by distinct document. Joins on a hash are plain inner joins, which AQE splits where one key
 is heavy.
 
-Defined results: a null or empty text is one empty line; keys shorter than `min_chars` never go;
+Defined results: a null or empty text is one empty line; whole texts count, however long; keys shorter than `min_chars` never go;
 a document is a doc_id: rows that repeat a doc_id count once and lose the same lines; null doc_ids
-are not counted as documents and keep no common line; an empty table gives an empty table.
+are not counted as documents and keep no common line; two lines are the same if their 128-bit hashes are;
+extra columns are kept, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -66,25 +67,31 @@ def explode_lines(rows: DataFrame, min_chars: int) -> DataFrame:
 
 def dropped_positions(rows: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """doc_id, row_key and the array of line positions that go, for the rows that lose any."""
-    lines = explode_lines(rows, min_chars)
+    every = lines = common.store(explode_lines(rows, min_chars))
     often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents).select("h1", "h2")
     often = common.store(often)  # a plain shuffle on either side of a join lets AQE split a heavy hash
     lines = common.store(lines.join(often, ["h1", "h2"]))
     shared = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
     shared = shared.groupBy("h1", "h2").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_documents).drop("n")
     shared = common.store(shared)
+    common.drop_stored(every)
     gone = lines.join(shared, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return gone.groupBy("doc_id", "row_key").agg(F.collect_set("pos").alias("gone"))
 
 
 def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """df with its text deduplicated and with n_lines and n_dropped (names of df's own win: ours get a trailing _)."""
-    key, gone, lines = (common.fresh(df, c) for c in ("row_key", "gone", "lines"))
+    key, gone, lines, likely = (common.fresh(df, c) for c in ("row_key", "gone", "lines", "likely"))
     n_lines, n_dropped = common.fresh(df, "n_lines"), common.fresh(df, "n_dropped")
     df = df.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     drop = dropped_positions(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(key).alias("row_key"), F.col(text).alias("text")), min_chars, min_documents)
-    drop = drop.select(F.col("doc_id").alias(f"{gone}_id"), F.col("row_key").alias(f"{gone}_key"), F.col("gone").alias(gone))
-    out = df.join(drop, F.col(doc_id).eqNullSafe(F.col(f"{gone}_id")) & (F.col(key) == F.col(f"{gone}_key")), "left").drop(f"{gone}_id", f"{gone}_key")
+    drop = common.store(drop.select(F.col("doc_id").alias(f"{gone}_id"), F.col("row_key").alias(f"{gone}_key"), F.col("gone").alias(gone)))
+    # texts that lose no line, but for few by chance, are not shuffled
+    own = F.col(doc_id).cast("bigint")
+    df = common.flag_likely(df, F.xxhash64(own, F.col(key)), drop, F.xxhash64(f"{gone}_id", f"{gone}_key"), likely)
+    rest = df.filter(~F.col(likely)).withColumn(gone, F.lit(None).cast("array<int>"))
+    out = df.filter(F.col(likely)).join(drop, own.eqNullSafe(F.col(f"{gone}_id")) & (F.col(key) == F.col(f"{gone}_key")), "left").drop(f"{gone}_id", f"{gone}_key")
+    out = rest.unionByName(out).drop(likely)
     out = out.withColumn(lines, F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).withColumn(n_lines, F.size(lines).cast("bigint")).withColumn(n_dropped, F.coalesce(F.size(gone), F.lit(0)).cast("bigint"))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(F.col(lines), i))
     kept = F.when(F.col(n_dropped) > 0, F.array_join(left, "\n")).otherwise(F.coalesce(F.col(text), F.lit("")))
