@@ -48,7 +48,7 @@ IMA_STEPS = (
 IMA_CHANGES = (-1, -1, -1, -1, 2, 4, 6, 8)
 #: Bytes of payload decoded at a time (samples take some fifteen times that), and how the table is written.
 PIECE = common.BATCH_BYTES // 4
-STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": 10, "parquet.page.size": 8 << 20}
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": 12, "parquet.page.size": 8 << 20}
 
 
 def mulaw_table() -> np.ndarray:
