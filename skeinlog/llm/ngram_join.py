@@ -51,6 +51,7 @@ FLUSH = 1 << 18
 #: What the sets of a tree weigh: their shingles and SET_WEIGHT for each set.
 BLOCK = 100_000
 SET_WEIGHT = 200
+SALTS = 32
 
 
 def count_shingles(texts: DataFrame, width: int, bits: int = COUNTER_BITS) -> np.ndarray:
@@ -263,8 +264,16 @@ def tree_groups(rows: DataFrame, near: DataFrame, width: int, p: int, q: int, le
     upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
     tree = lambda i, j, asks: F.struct(i.alias("i"), j.alias("j"), asks.alias("asks"))
     zero, yes = F.lit(0).cast("bigint"), F.lit(True)
-    total = near.groupBy("component").agg(cut(weight).alias("blocks"), F.min(F.struct("rare", "node", "node2")).alias("hub"))
-    near = near.join(total, "component").withColumn("first", (F.col("node") == F.col("hub.node")) & (F.col("node2") == F.col("hub.node2")))
+
+    def with_total(sets: DataFrame, totals: DataFrame) -> DataFrame:
+        """sets with the totals of their component, if there are any; a component's sets are spread by salt, so that a
+        large one is not one task. Only components of more than one block have totals."""
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        return sets.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(totals.withColumn("salt", salt), ["component", "salt"], "left").drop("salt")
+
+    near = common.store(near)
+    total = near.groupBy("component").agg(cut(weight).alias("blocks"), F.min(F.struct("rare", "node", "node2")).alias("hub")).filter("blocks > 1")
+    near = with_total(near, total).withColumns({"blocks": F.coalesce("blocks", F.lit(1).cast("bigint")), "first": F.coalesce((F.col("node") == F.col("hub.node")) & (F.col("node2") == F.col("hub.node2")), F.lit(False))})
     near = common.store(near.withColumn("block", F.pmod(F.xxhash64("node", "node2"), F.col("blocks"))))
     trees = F.when(F.col("first"), F.transform(upto("blocks"), lambda i: tree(i, zero, yes))).otherwise(F.array(tree(F.col("block"), zero, yes))).cast(TREES)
     asked = near.select("component", F.col("node").alias("own1"), F.col("node2").alias("own2"), "first", "rep_id", "rep_key", trees.alias("trees"))
@@ -274,7 +283,7 @@ def tree_groups(rows: DataFrame, near: DataFrame, width: int, p: int, q: int, le
     near = near.filter("blocks > 1").join(found, ["node", "node2"], "left").withColumns({"own1": F.coalesce("to1", "node"), "own2": F.coalesce("to2", "node2")})
     near = near.withColumn("outside", (F.col("own1") != F.col("hub.node")) | (F.col("own2") != F.col("hub.node2")))
     pieces = near.filter("outside").groupBy("component").agg(cut(weight).alias("pieces"))
-    near = near.join(pieces, "component").withColumn("piece", F.when(F.col("outside"), F.pmod(F.xxhash64("node2", "node"), F.col("pieces"))))
+    near = with_total(near, pieces).filter("pieces is not null").withColumn("piece", F.when(F.col("outside"), F.pmod(F.xxhash64("node2", "node"), F.col("pieces"))))
     home = F.transform(upto("pieces"), lambda j: tree(F.col("block"), j, F.coalesce(F.col("piece") == j, F.lit(False))))
     away = F.when(F.col("outside"), F.transform(F.filter(upto("blocks"), lambda i: i != F.col("block")), lambda i: tree(i, F.col("piece"), yes)))
     trees = F.concat(home.cast(TREES), F.coalesce(away.cast(TREES), F.array().cast(TREES)))
