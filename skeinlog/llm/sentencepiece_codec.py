@@ -140,4 +140,4 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, out: str =
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode(common.documents(spark, sf_dir), as_array=False)
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return common.store(coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))

@@ -12,8 +12,8 @@ ROWS = [
 
 def expected(rows):
     convs = {}
-    for c, t, r, x in rows:
-        convs.setdefault(c, []).append(((t is not None, t or 0), r or "", x or ""))
+    for i, (c, t, r, x) in enumerate(rows):
+        convs.setdefault((None, i) if c is None else c, []).append(((t is not None, t or 0), r or "", x or ""))
     return {c: [(r, x) for _, r, x in sorted(turns)] for c, turns in convs.items()}
 
 
@@ -21,8 +21,9 @@ def test_examples(spark):
     df = spark.createDataFrame([(*r, "extra", 1) for r in ROWS], "conv_id bigint, turn bigint, role string, text string, example string, Turns int")
     out = m.format_examples(df)
     out = out.withColumn("turns", m.read_turns(F.col("formatted"))).withColumn("target", m.read_target(F.col("formatted"), F.col("target_at"), F.col("target_chars"))).collect()
+    alone = {r["turns"][0]["text"]: [r] for r in out if r["conv_id"] is None}
     for c, turns in expected(ROWS).items():
-        mine = sorted((r for r in out if r["conv_id"] == c), key=lambda r: r["example"])
+        mine = alone[turns[0][1]] if isinstance(c, tuple) else sorted((r for r in out if r["conv_id"] == c), key=lambda r: r["example"])
         ends = [i + 1 for i, (role, _) in enumerate(turns) if role == "assistant" or i + 1 == len(turns)]
         assert [r["example"] for r in mine] == ends
         for r in mine:
