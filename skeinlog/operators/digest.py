@@ -1,67 +1,124 @@
-"""Steps to a digest of each session."""
+"""Steps to a digest of each session.
+
+A session is one file, so everything here is laid out by path: one shuffle, after which windows and
+aggregates of a path find its steps where they are.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_line
 
 TAIL = 30
 HEAD_CHARS, BODY_CHARS = 120, 2000
+AT = ("line_no", "block_no")
 
 
-def pair_results(steps: DataFrame) -> DataFrame:
-    """command steps with failed (a result with an error answers the call), and failure steps at those results.
+def with_results(steps: DataFrame) -> DataFrame:
+    """steps with failed (a command that a result with an error answers) and called (of such a result, the command).
 
     A result answers the last call of its id, if no other result came between: within a call id that
     is the event just before it, so one window sort does what a range join would.
     """
-    calls = steps.filter(F.col("kind").isin("command", "result") & F.col("call_id").isNotNull())
-    w = Window.partitionBy("path", "call_id").orderBy("line_no", "block_no")
-    calls = calls.withColumn("before", F.lag("kind").over(w)).withColumn("command", F.lag("text").over(w)).withColumn("after", F.lead("kind").over(w)).withColumn("after_error", F.lead("is_error").over(w))
-    commands = calls.filter("kind = 'command'").select("path", "line_no", "block_no", "ts", "text", ((F.col("after") == "result") & F.col("after_error")).alias("failed"))
-    alone = steps.filter("kind = 'command' and call_id is null").select("path", "line_no", "block_no", "ts", "text", F.lit(False).alias("failed"))
-    failures = calls.filter("kind = 'result' and before = 'command' and is_error").select("path", "line_no", "block_no", "ts", F.col("command").alias("head"), F.col("text").alias("body"))
-    return commands.unionByName(alone).select("*", F.lit("command").alias("kind"), F.col("text").alias("head"), F.col("text").alias("body")).unionByName(failures.select("*", F.lit("failure").alias("kind")), allowMissingColumns=True)
+    call = F.when(F.col("kind").isin("command", "result"), F.col("call_id"))
+    w = Window.partitionBy("path", call).orderBy(*AT)
+    failed = call.isNotNull() & (F.col("kind") == "command") & (F.lead("kind").over(w) == "result") & F.lead("is_error").over(w)
+    answers = call.isNotNull() & (F.col("kind") == "result") & (F.lag("kind").over(w) == "command") & F.col("is_error")
+    return steps.withColumns({"failed": F.coalesce(failed, F.lit(False)), "called": F.when(answers, F.lag("text").over(w))})
+
+
+def pair_results(steps: DataFrame) -> DataFrame:
+    """command steps with failed, and failure steps at the results that tell of it."""
+    rows = activities(with_results(steps)).filter(F.col("act").isin("command", "failure"))
+    return rows.select("path", *AT, "ts", "text", "failed", F.col("act").alias("kind"), "head", "body")
+
 
+def activities(steps: DataFrame) -> DataFrame:
+    """with_results() with act (user, assistant, file, command or failure; null: none), head and body."""
+    kind = F.col("kind")
+    act = F.when(kind.isin("user", "assistant", "file", "command"), kind).when(F.col("called").isNotNull(), "failure")
+    return steps.withColumns({"act": act, "head": F.coalesce("called", "text"), "body": F.when(kind == "file", F.col("op")).otherwise(F.col("text"))})
 
-def sessions(steps: DataFrame, tail: bool = False) -> DataFrame:
+
+def slim(steps: DataFrame, tail: bool) -> DataFrame:
+    """steps without what sessions() doesn't use of them: results are long, and only what fits a tail is of use."""
+    return steps.withColumn("text", F.when(F.col("kind") == "result", F.substring("text", 1, BODY_CHARS) if tail else F.lit("")).otherwise(F.col("text")))
+
+
+def sessions(steps: DataFrame, tail: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each path with a user prompt: title, branch, cwd, start, end, prompt_count, first_prompt,
-    last_prompt, last_message, files, commands, and with tail the last activities."""
-    at = F.struct("line_no", "block_no")
-    # the joined value of one kind: first or last in file order
-    first = lambda kind, col="text": F.min_by(col, F.when(F.col("kind").isin(*kind), at))
-    last = lambda kind, col="text": F.max_by(col, F.when(F.col("kind").isin(*kind), at))
-    timed = F.when((F.col("kind") == "entry") & F.col("ts").isNotNull(), at)
-    head = steps.groupBy("path").agg(
-        last(["title"]).alias("title"), last(["branch"]).alias("branch"), first(["cwd"]).alias("cwd"), F.min_by("ts", timed).alias("start"), F.max_by("ts", timed).alias("end"),
-        F.count_if(F.col("kind") == "user").cast("int").alias("prompt_count"), first(["user"]).alias("first_prompt"), last(["user"]).alias("last_prompt"), last(["assistant", "final"]).alias("last_message"),
-    ).filter("prompt_count > 0")
-    paired = pair_results(steps)
-    files = touched_files(steps.filter("kind = 'file'"))
-    commands = paired.filter("kind = 'command'").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "block_no", F.col("text").alias("command"), "failed"))).alias("c"))
-    commands = commands.select("path", F.transform("c", lambda c: F.struct(c["command"].alias("command"), c["failed"].alias("failed"))).alias("commands"))
-    out = head.join(files, "path", "left").join(commands, "path", "left")
-    empty = {f.name: F.from_json(F.lit("[]"), f.dataType) for f in out.schema.fields if f.name in ("files", "commands")}
-    out = out.withColumns({k: F.coalesce(k, v) for k, v in empty.items()})
-    return out.join(tails(steps, paired), "path", "left") if tail else out
+    last_prompt, last_message, files, commands, with tail the last activities, and the columns named in keep,
+    which are the same in all steps of a path."""
+    rows = activities(with_results(steps.repartition("path")))
+    if tail:
+        rows = last_activities(rows)
+    is_file = F.col("kind") == "file"
+
+    def value(pick, kinds: tuple[str, ...], of: str = "text", only: Column | bool = True) -> Column:
+        return pick(F.when(F.col("kind").isin(*kinds) & only, F.struct(*AT, F.col(of).alias("x"))))
+
+    timed = F.col("ts").isNotNull()
+    found = {
+        "title": value(F.max, ("title",)), "branch": value(F.max, ("branch",)), "cwd": value(F.min, ("cwd",)), "start": value(F.min, ("entry",), "ts", timed), "end": value(F.max, ("entry",), "ts", timed),
+        "first_prompt": value(F.min, ("user",)), "last_prompt": value(F.max, ("user",)), "last_message": value(F.max, ("assistant", "final")),
+    }
+    lists = {"commands": F.collect_list(F.when(F.col("kind") == "command", F.struct(*AT, F.col("text").alias("command"), "failed")))}
+    if tail:
+        lists["tail"] = F.collect_list(F.when(F.col("n") <= TAIL, F.struct((-F.col("n")).alias("n"), entry().alias("e"))))
+    # by file first, where steps of other kinds are a file of their own (null); then by path, all in place
+    rows = rows.withColumn("file", F.when(is_file, F.col("text")))
+    touch = {"at": F.min(F.when(is_file, F.struct(*AT))), "count": F.count_if(is_file).cast("int"), "ops": F.collect_list(F.when(is_file, F.struct(*AT, "op")))}
+    counts = {"prompt_count": F.count_if(F.col("kind") == "user")}
+    every = found | lists | touch | counts | {f"keep_{k}": F.max(k) for k in keep}
+    per = rows.groupBy("path", "file").agg(*(v.alias(k) for k, v in every.items()))
+    per = per.withColumn("ops", ops_of("ops"))
+    merged = [(F.min if k in ("cwd", "start", "first_prompt") else F.max)(k).alias(k) for k in found] + [F.sort_array(F.flatten(F.collect_list(k))).alias(k) for k in lists]
+    merged += [F.sum("prompt_count").cast("int").alias("prompt_count"), files_of(F.col("file").isNotNull()).alias("files"), *(F.max(f"keep_{k}").alias(f"keep_{k}") for k in keep)]
+    out = per.groupBy("path").agg(*merged).filter("prompt_count > 0")
+    commands = F.transform("commands", lambda c: F.struct(c["command"].alias("command"), c["failed"].alias("failed")))
+    heads = {k: F.col(f"{k}.x") for k in found}
+    order = ("title", "branch", "cwd", "start", "end", "prompt_count", "first_prompt", "last_prompt", "last_message")
+    return out.select("path", *(heads.get(k, F.col(k)).alias(k) for k in order), in_order("files").alias("files"), commands.alias("commands"), *[F.transform("tail", lambda t: t["e"]).alias("tail")] * tail, *(F.col(f"keep_{k}").alias(k) for k in keep))
+
+
+def ops_of(ops: str) -> Column:
+    """The distinct operations in order of (line_no, block_no, op)."""
+    return F.array_distinct(F.transform(F.sort_array(ops), lambda o: o["op"]))
+
+
+def files_of(when: Column) -> Column:
+    """The aggregate of at, file, ops and count to files, in order of the first touch."""
+    return F.sort_array(F.collect_list(F.when(when, F.struct("at", "file", "ops", "count"))))
+
+
+def in_order(files: str) -> Column:
+    return F.transform(files, lambda f: F.struct(f["file"].alias("path"), f["ops"].alias("ops"), f["count"].alias("count")))
 
 
 def touched_files(touches: DataFrame) -> DataFrame:
     """path and files: a file's distinct operations and its number of touches, in order of the first touch."""
-    per = touches.groupBy("path", F.col("text").alias("file")).agg(F.min(F.struct("line_no", "block_no")).alias("at"), F.count("*").cast("int").alias("count"), F.array_sort(F.collect_list(F.struct("line_no", "block_no", "op"))).alias("ops"))
-    per = per.withColumn("ops", F.array_distinct(F.transform("ops", lambda o: o["op"])))
-    files = per.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at", "file", "ops", "count"))).alias("files"))
-    return files.select("path", F.transform("files", lambda f: F.struct(f["file"].alias("path"), f["ops"].alias("ops"), f["count"].alias("count"))).alias("files"))
+    rows = touches.repartition("path")
+    per = rows.groupBy("path", F.col("text").alias("file"), "op").agg(F.min(F.struct(*AT)).alias("at"), F.count("*").alias("n"))
+    per = per.groupBy("path", "file").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("count"), F.sort_array(F.collect_list(F.struct("at", "op"))).alias("ops"))
+    files = per.withColumn("ops", F.transform("ops", lambda o: o["op"])).groupBy("path").agg(files_of(F.lit(True)).alias("files"))
+    return files.select("path", in_order("files").alias("files"))
+
+
+def last_activities(rows: DataFrame) -> DataFrame:
+    """activities() with n: the last activity of a path is 1; null for what is none."""
+    w = Window.partitionBy("path").orderBy(F.col("act").isNull(), F.desc("line_no"), F.desc("block_no"), F.desc("act"))
+    return rows.withColumn("n", F.row_number().over(w)).withColumn("n", F.when(F.col("act").isNotNull(), F.col("n")))
+
+
+def entry() -> Column:
+    head = F.substring(first_line(F.col("head")), 1, HEAD_CHARS)
+    return F.struct(F.col("act").alias("kind"), head.alias("head"), F.substring("body", 1, BODY_CHARS).alias("body"), F.col("ts").alias("at"))
 
 
-def tails(steps: DataFrame, paired: DataFrame, keep: int = TAIL) -> DataFrame:
+def tails(steps: DataFrame, keep: int = TAIL) -> DataFrame:
     """path and tail: the last activities, oldest first."""
-    rest = steps.filter(F.col("kind").isin("user", "assistant", "file")).select("path", "line_no", "block_no", "ts", "kind", F.col("text").alias("head"), F.when(F.col("kind") == "file", F.col("op")).otherwise(F.col("text")).alias("body"))
-    acts = paired.select("path", "line_no", "block_no", "ts", "kind", "head", "body").unionByName(rest)
-    w = Window.partitionBy("path").orderBy(F.desc("line_no"), F.desc("block_no"), F.desc("kind"))
-    acts = acts.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= keep)
-    entry = F.struct(F.col("kind"), F.substring(first_line(F.col("head")), 1, HEAD_CHARS).alias("head"), F.substring("body", 1, BODY_CHARS).alias("body"), F.col("ts").alias("at"))
-    acts = acts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), entry.alias("e")))).alias("t"))
-    return acts.select("path", F.transform("t", lambda t: t["e"]).alias("tail"))
+    rows = last_activities(activities(with_results(steps.repartition("path")))).filter(F.col("n") <= keep)
+    rows = rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), entry().alias("e")))).alias("t"))
+    return rows.select("path", F.transform("t", lambda t: t["e"]).alias("tail"))

@@ -6,6 +6,10 @@ registry and cards. Times are timestamps.
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Sequence
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,16 +23,32 @@ MAX_LIST, DEFAULT_SESSIONS, DEFAULT_NOTES = 50, 10, 15
 NO_CARD = "(no card yet)"
 
 
-def load_sessions(spark: SparkSession, roots: dict[str, tuple[str, str]], since: str | None = None, tail: bool = False) -> DataFrame:
-    """Digests of all transcripts; roots: agent to (dialect, folder). The order of the agents breaks ties."""
+def load_sessions(spark: SparkSession, roots: dict[str, tuple[str, str]], since: datetime | None = None, tail: bool = False, repos: Sequence[str] | None = None, newest: int | None = None) -> DataFrame:
+    """Digests of all transcripts; roots: agent to (dialect, folder). The order of the agents breaks ties.
+
+    since (a time of modification, in UTC) and repos (roots of repositories) leave folders unread; with newest,
+    only that many files of each folder are read: those modified last. A source that cannot be listed is left
+    out with a warning, and a file that is gone when it is read gives nothing."""
     out = None
     for order, (agent, (dialect, root)) in enumerate(roots.items()):
-        lines = transcripts.discover(spark, root, dialect, since)
-        found = digest.sessions(transcripts.DIALECTS[dialect](lines), tail)
-        files = lines.select("path", "modified").distinct()
-        found = found.join(files, "path").withColumn("agent", F.lit(agent)).withColumn("session_id", transcripts.session_id(dialect, F.col("path"))).withColumn("source_order", F.lit(order))
+        try:
+            lines = transcripts.discover(spark, root, dialect, since, repos, newest)
+        except Exception as e:  # whatever its store says: the other sources still answer
+            warnings.warn(f"source {agent!r} is left out: {e}", stacklevel=2)
+            continue
+        steps = digest.slim(transcripts.DIALECTS[dialect](lines), tail)
+        steps = transcripts.early_cwd(steps.repartition("path"))
+        steps = transcripts.finished(steps).filter((F.col("kind") != "cwd") | F.col("early"))
+        found = digest.sessions(steps, tail, keep=("modified",))
+        found = found.withColumns({"agent": F.lit(agent), "session_id": transcripts.session_id(dialect, F.col("path")), "source_order": F.lit(order)})
         out = found if out is None else out.unionByName(found)
-    return out
+    return spark.createDataFrame([], no_sessions(tail)) if out is None else out
+
+
+def no_sessions(tail: bool) -> str:
+    files, commands = "array<struct<path:string,ops:array<string>,count:int>>", "array<struct<command:string,failed:boolean>>"
+    tails = ", tail array<struct<kind:string,head:string,body:string,at:timestamp>>" if tail else ""
+    return f"path string, title string, branch string, cwd string, start timestamp, end timestamp, prompt_count int, first_prompt string, last_prompt string, last_message string, files {files}, commands {commands}{tails}, modified timestamp, agent string, session_id string, source_order int"
 
 
 def sessions_of(sessions: DataFrame, repos: DataFrame, now: Column, days: int = 14) -> DataFrame:

@@ -170,8 +170,7 @@ WITH a AS (
 SELECT CAST(user_id AS VARCHAR) AS session_id, string_agg(kind || ' ' || head, ', ' ORDER BY n DESC) AS tail FROM r WHERE n <= 30 GROUP BY user_id
 """)
 def tail30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = event_steps(spark, sf_dir)
-    t = digest.tails(s, digest.pair_results(s))
+    t = digest.tails(event_steps(spark, sf_dir))
     return t.select(F.col("path").alias("session_id"), F.array_join(F.transform("tail", lambda x: F.concat_ws(" ", x["kind"], x["head"])), ", ").alias("tail"))
 
 

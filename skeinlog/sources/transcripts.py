@@ -5,15 +5,21 @@ blocks. Dialect `rollout`: a line has a type and a payload. Both give steps
 
     path, line_no, block_no, ts, kind, text, op, call_id, is_error
 
-with kind one of user, assistant, final, command, file, result, title, branch, cwd and entry (a line
-that counts for start and end). (line_no, block_no) orders the steps of a file.
+with kind one of user, assistant, final, command, file, result, title, branch, cwd, entry (a line that
+counts for start and end) and line (one for each line). (line_no, block_no) orders the steps of a file.
 
-Lines that aren't JSON objects, unknown types and a last line without a line break are left out.
+Files are read line by line and in splits, so no file is held in memory. A line is parsed once: all its
+steps are made by one expression as an array, and exploded. Lines that aren't JSON objects, longer lines
+than MAX_LINE, unknown types and a last line without a line break give no steps.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Sequence
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rfc3339, trim_space
@@ -31,49 +37,70 @@ SHELL_TOOLS = ("shell", "local_shell", "shell_command", "exec_command", "contain
 PATCH_OPS = {"*** Update File: ": "edit", "*** Add File: ": "write", "*** Delete File: ": "delete"}
 UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
-STEPS = "path string, line_no int, block_no int, ts timestamp, kind string, text string, op string, call_id string, is_error boolean"
+STEPS = "path string, line_no bigint, block_no int, ts timestamp, kind string, text string, op string, call_id string, is_error boolean"
+FIELDS = ("block_no", "ts", "kind", "text", "op", "call_id", "is_error")
+
+
+def lines_of(lines: DataFrame) -> DataFrame:
+    """lines (path, modified, size, block, line), as a file scan gives them, with line_no and bytes. line_no orders a
+    file's lines: the split they are in (4 KiB at least), then the place in the task that reads it."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    line_no = F.shiftleft(F.shiftright("block", 12), 33) + place
+    return lines.select("path", "modified", "size", line_no.alias("line_no"), F.octet_length("line").cast("bigint").alias("bytes"), "line")
+
+
+def scanned(files: DataFrame) -> DataFrame:
+    """path, modified, size, block and line of a scan of text files."""
+    m = lambda name: F.col(f"_metadata.file_{name}")
+    return files.select(m("path").alias("path"), m("modification_time").alias("modified"), m("size").alias("size"), m("block_start").alias("block"), F.col("value").alias("line"))
 
 
 def raw_lines(spark: SparkSession, paths: str | list[str], modified_after: str | None = None) -> DataFrame:
-    """path, modified, line_no and line of all complete lines; a file is read as a whole."""
+    """path, modified, size, line_no, bytes and line of all lines."""
     reader = spark.read.option("modifiedAfter", modified_after) if modified_after else spark.read
-    files = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
-    return lines_of(files)
+    return lines_of(scanned(reader.option("lineSep", "\n").text(paths)))
 
 
-def lines_of(files: DataFrame) -> DataFrame:
-    """files (path, modified, value) to lines."""
-    parts = F.split("value", "\n", -1)
-    lines = files.select("path", "modified", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("line_no", "line"))
-    return lines.filter(F.octet_length("line") < MAX_LINE)
+def finished(steps: DataFrame) -> DataFrame:
+    """steps of raw_lines without those of a last line that has no line break, and without line steps. Lines and
+    breaks add up to the file's size if the last line has one."""
+    w = Window.partitionBy("path")
+    total = F.sum(F.when(F.col("kind") == "line", F.col("bytes") + 1)).over(w)
+    steps = steps.withColumns({"_total": total, "_last": F.max("line_no").over(w)})
+    cut = (F.col("_total") != F.col("size")) & (F.col("line_no") == F.col("_last"))
+    return steps.filter(~cut & (F.col("kind") != "line")).drop("_total", "_last")
 
 
-def _parsed(lines: DataFrame) -> DataFrame:
-    v = F.when(F.col("line").rlike(r"^\s*\{") & F.col("line").rlike(r"\}\s*$"), F.try_parse_json("line"))
-    return lines.withColumn("v", v).filter(F.col("v").isNotNull())
+def _event(kind: str, text: Column, when: Column, block: Column | int = 0, ts: Column | None = None, op: Column | None = None, call: Column | None = None, error: Column | None = None) -> Column:
+    """A step as a struct where `when` holds, else null."""
+    null = F.lit(None)
+    at = F.lit(block) if isinstance(block, int) else block
+    values = (at.cast("int"), (null if ts is None else ts).cast("timestamp"), F.lit(kind), text.cast("string"), (null if op is None else op).cast("string"), (null if call is None else call).cast("string"), (null if error is None else error).cast("boolean"))
+    return F.when(when, F.struct(*(v.alias(n) for v, n in zip(values, FIELDS, strict=True))))
 
 
-def _get(v: str | Column, path: str, kind: str = "string") -> Column:
-    return F.try_variant_get(F.col(v) if isinstance(v, str) else v, path, kind)
+def _explode(lines: DataFrame, events: list[Column], arrays: Sequence[Column] = ()) -> DataFrame:
+    """A row for each event that isn't null; events of a line are made once."""
+    line = _event("line", F.lit(None), F.lit(True))
+    every = F.concat(F.array(line, *events), *(F.coalesce(a, F.array().cast(f"array<struct<{EVENT}>>")) for a in arrays))
+    keep = [c for c in lines.columns if c in ("path", "modified", "size", "bytes", "line_no")]
+    out = lines.select(*keep, F.explode(F.filter(every, lambda e: e.isNotNull())).alias("e"))
+    return out.select(*keep, *(F.col(f"e.{f}").alias(f) for f in FIELDS))
 
 
-def _is_array(v: Column) -> Column:
-    return F.startswith(F.schema_of_variant(v), F.lit("ARRAY"))
+EVENT = "block_no:int,ts:timestamp,kind:string,text:string,op:string,call_id:string,is_error:boolean"
 
 
-def _steps(df: DataFrame, kind: str | Column, text: Column, block: Column | int = 0, op: Column | None = None, call: Column | None = None, error: Column | None = None) -> DataFrame:
-    null = F.lit(None)
-    return df.select(
-        "path", "line_no", (F.lit(block) if isinstance(block, int) else block).cast("int").alias("block_no"), "ts", (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), text.alias("text"),
-        (null if op is None else op).cast("string").alias("op"), (null if call is None else call).cast("string").alias("call_id"), (null if error is None else error).cast("boolean").alias("is_error"),
-    )
+def _parse(line: Column, most: int = MAX_LINE) -> Column:
+    return F.when((F.octet_length(line) < most) & line.rlike(r"^\s*\{") & line.rlike(r"\}\s*$"), F.try_parse_json(line))
 
 
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _get(v: str | Column, path: str, kind: str = "string") -> Column:
+    return F.try_variant_get(F.col(v) if isinstance(v, str) else v, path, kind)
+
+
+def _is_array(v: Column) -> Column:
+    return F.startswith(F.schema_of_variant(v), F.lit("ARRAY"))
 
 
 def _starts(text: Column, prefixes: tuple[str, ...]) -> Column:
@@ -85,40 +112,43 @@ def _starts(text: Column, prefixes: tuple[str, ...]) -> Column:
 
 def blocks_steps(lines: DataFrame) -> DataFrame:
     """Steps of the `blocks` dialect."""
-    e = _parsed(lines).withColumn("type", _get("v", "$.type"))
-    title = e.filter("type = 'ai-title'").withColumn("ts", F.lit(None).cast("timestamp"))
-    title = _steps(title, "title", _get("v", "$.aiTitle")).filter("text <> ''")
-    side = F.coalesce(_get("v", "$.isSidechain", "boolean"), F.lit(False))
-    e = e.filter(F.col("type").isin("user", "assistant") & ~side)
-    content = F.try_variant_get(F.col("v"), "$.message.content", "variant")
-    e = e.select("path", "line_no", "type", rfc3339(_get("v", "$.timestamp")).alias("ts"), _get("v", "$.cwd").alias("cwd"), _get("v", "$.gitBranch").alias("branch"), F.coalesce(_get("v", "$.isMeta", "boolean"), F.lit(False)).alias("meta"), content.alias("content"))
+    e = lines.withColumn("v", _parse(F.col("line"))).drop("line")
+    content = F.try_variant_get("v", "$.message.content", "variant")
+    e = e.withColumns({"type": _get("v", "$.type"), "ts": rfc3339(_get("v", "$.timestamp")), "content": content, "side": F.coalesce(_get("v", "$.isSidechain", "boolean"), F.lit(False)), "meta": F.coalesce(_get("v", "$.isMeta", "boolean"), F.lit(False))})
     plain = F.when(F.schema_of_variant("content") == "STRING", _get("content", "$"))
     blocks = F.when(_is_array(F.col("content")), F.try_variant_get("content", "$", "array<variant>"))
-    e = e.withColumn("plain", plain).withColumn("blocks", blocks)
-    texts = F.filter(F.transform("blocks", lambda b: F.when(_get(b, "$.type") == "text", _get(b, "$.text"))), lambda t: t.isNotNull() & (t != ""))
-    spoken = F.filter(texts, lambda t: trim_space(t) != "")
-    prompt = trim_space(F.coalesce("plain", F.array_join(texts, "\n"), F.lit("")))
-    users = e.filter("type = 'user' and not meta").withColumn("prompt", prompt).filter((F.col("prompt") != "") & ~_starts(F.col("prompt"), NOT_PROMPTS))
-    replies = e.filter("type = 'assistant'").withColumn("said", spoken).filter(F.size("said") > 0)
-    each = e.filter(F.col("blocks").isNotNull()).select("path", "line_no", "ts", "type", F.posexplode("blocks").alias("block_no", "b"))
-    each = each.withColumn("kind", _get("b", "$.type"))
-    tools = each.filter("type = 'assistant' and kind = 'tool_use'").withColumn("name", _get("b", "$.name"))
-    op = F.when(F.col("name").isin("Edit", "MultiEdit", "NotebookEdit"), "edit").when(F.col("name") == "Write", "write")
-    file = F.when(F.col("name") == "NotebookEdit", _get("b", "$.input.notebook_path")).otherwise(_get("b", "$.input.file_path"))
-    result = _get("b", "$.content")
-    inner = F.try_variant_get("b", "$.content", "array<variant>")
-    result = F.when(_is_array(F.try_variant_get("b", "$.content", "variant")), F.array_join(F.filter(F.transform(inner, lambda x: F.when(_get(x, "$.type") == "text", _get(x, "$.text"))), lambda t: t.isNotNull() & (t != "")), "\n")).otherwise(result)
-    return _all([
-        title,
-        _steps(e, "entry", F.lit(None).cast("string")),
-        _steps(e, "cwd", F.col("cwd")).filter("text <> ''"),
-        _steps(e, "branch", F.col("branch")).filter("text <> ''"),
-        _steps(users, "user", F.col("prompt"), LATE),
-        _steps(replies, "assistant", F.array_join("said", "\n"), LATE),
-        _steps(tools.filter(F.col("name") == "Bash"), "command", _get("b", "$.input.command"), F.col("block_no"), call=F.nullif(_get("b", "$.id"), F.lit(""))).filter("text <> ''"),
-        _steps(tools.filter(op.isNotNull()), "file", file, F.col("block_no"), op=op).filter("text <> ''"),
-        _steps(each.filter("type = 'user' and kind = 'tool_result'"), "result", F.coalesce(result, F.lit("")), F.col("block_no"), call=_get("b", "$.tool_use_id"), error=F.coalesce(_get("b", "$.is_error", "boolean"), F.lit(False))),
-    ])
+    e = e.withColumns({"plain": plain, "blocks": blocks})
+    e = e.withColumn("texts", F.filter(F.transform("blocks", lambda b: F.when(_get(b, "$.type") == "text", _get(b, "$.text"))), lambda t: t.isNotNull() & (t != "")))
+    prompt = trim_space(F.coalesce("plain", F.array_join("texts", "\n"), F.lit("")))
+    said = F.array_join(F.filter("texts", lambda t: trim_space(t) != ""), "\n")
+    e = e.withColumns({"prompt": prompt, "said": said})
+    ts, c = F.col("ts"), F.col
+    entry = c("type").isin("user", "assistant") & ~c("side")
+    user, assistant = entry & (c("type") == "user"), entry & (c("type") == "assistant")
+    text = lambda kind, path, when: _event(kind, _get("v", path), when & (_get("v", path) != ""), ts=ts)
+
+    def of_block(b: Column, i: Column) -> Column:
+        kind, name = _get(b, "$.type"), _get(b, "$.name")
+        op = F.when(name.isin("Edit", "MultiEdit", "NotebookEdit"), "edit").when(name == "Write", "write")
+        file = F.when(name == "NotebookEdit", _get(b, "$.input.notebook_path")).otherwise(_get(b, "$.input.file_path"))
+        inner = F.try_variant_get(b, "$.content", "array<variant>")
+        listed = F.array_join(F.filter(F.transform(inner, lambda x: F.when(_get(x, "$.type") == "text", _get(x, "$.text"))), lambda t: t.isNotNull() & (t != "")), "\n")
+        result = F.when(_is_array(F.try_variant_get(b, "$.content", "variant")), listed).otherwise(_get(b, "$.content"))
+        tool, command = assistant & (kind == "tool_use"), _get(b, "$.input.command")
+        return F.coalesce(
+            _event("command", command, tool & (name == "Bash") & (command != ""), i, ts, call=F.nullif(_get(b, "$.id"), F.lit(""))),
+            _event("file", file, tool & op.isNotNull() & (file != ""), i, ts, op=op),
+            _event("result", F.coalesce(result, F.lit("")), user & (kind == "tool_result"), i, ts, call=_get(b, "$.tool_use_id"), error=F.coalesce(_get(b, "$.is_error", "boolean"), F.lit(False))),
+        )
+
+    return _explode(e, [
+        _event("title", _get("v", "$.aiTitle"), (c("type") == "ai-title") & (_get("v", "$.aiTitle") != "")),
+        _event("entry", F.lit(None), entry, ts=ts),
+        text("cwd", "$.cwd", entry),
+        text("branch", "$.gitBranch", entry),
+        _event("user", c("prompt"), user & ~c("meta") & (c("prompt") != "") & ~_starts(c("prompt"), NOT_PROMPTS), LATE, ts),
+        _event("assistant", c("said"), assistant & (c("said") != ""), LATE, ts),
+    ], [F.transform("blocks", of_block)])
 
 
 def command_text(arguments: Column) -> Column:
@@ -145,46 +175,48 @@ def output_text(output: Column) -> Column:
     return F.coalesce(F.nullif(_get(v, "$.output"), F.lit("")), output)
 
 
-def patch_files(patches: DataFrame, text: Column, block: Column | int = 0) -> DataFrame:
-    """A file step for each file that a patch names."""
-    lines = patches.select("path", "line_no", "ts", F.posexplode(F.split(text, "\n")).alias("at", "row"))
-    op, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for prefix, kind in PATCH_OPS.items():
-        hit = F.startswith(F.col("row"), F.lit(prefix))
-        op, name = F.when(hit, kind).otherwise(op), F.when(hit, trim_space(F.substring("row", len(prefix) + 1, 1 << 30))).otherwise(name)
-    return _steps(lines.withColumn("op", op).withColumn("name", name), "file", F.col("name"), F.col("at"), op=F.col("op")).filter("text <> ''")
+def patch_files(patch: Column, ts: Column) -> Column:
+    """A file step for each file that a patch names, as an array; null where there is no patch."""
+
+    def of_row(row: Column, at: Column) -> Column:
+        op, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for prefix, kind in PATCH_OPS.items():
+            hit = F.startswith(row, F.lit(prefix))
+            op, name = F.when(hit, kind).otherwise(op), F.when(hit, trim_space(F.substring(row, len(prefix) + 1, 1 << 30))).otherwise(name)
+        return _event("file", name, name != "", at, ts, op=op)
+
+    return F.transform(F.split(patch, "\n"), of_row)
 
 
 def rollout_steps(lines: DataFrame) -> DataFrame:
     """Steps of the `rollout` dialect."""
-    e = _parsed(lines).withColumn("type", _get("v", "$.type")).filter(F.col("type").isin("session_meta", "turn_context", "response_item", "event_msg"))
-    e = e.select("path", "line_no", "type", rfc3339(_get("v", "$.timestamp")).alias("ts"), F.try_variant_get("v", "$.payload", "variant").alias("p")).filter(F.col("p").isNotNull()).withColumn("kind", _get("p", "$.type"))
-    meta = e.filter(F.col("type").isin("session_meta", "turn_context"))
-    items = e.filter("type = 'response_item'")
+    e = lines.withColumn("v", _parse(F.col("line"))).drop("line")
+    e = e.withColumns({"type": _get("v", "$.type"), "ts": rfc3339(_get("v", "$.timestamp")), "p": F.try_variant_get("v", "$.payload", "variant")})
+    e = e.withColumns({"kind": _get("p", "$.type"), "name": _get("p", "$.name"), "role": _get("p", "$.role"), "arguments": _get("p", "$.arguments")})
     parts = F.try_variant_get("p", "$.content", "array<variant>")
-    texts = F.filter(F.transform(parts, lambda c: F.when(_get(c, "$.type").isin("input_text", "output_text"), _get(c, "$.text"))), lambda t: t.isNotNull() & (trim_space(t) != ""))
-    said = items.filter("kind = 'message'").withColumn("said", trim_space(F.array_join(texts, "\n"))).withColumn("role", _get("p", "$.role")).filter("said <> ''")
-    users = said.filter((F.col("role") == "user") & ~_starts(F.col("said"), INJECTED))
-    calls = items.filter("kind = 'function_call'").withColumn("name", _get("p", "$.name")).withColumn("arguments", _get("p", "$.arguments"))
-    shells = calls.filter(F.col("name").isin(*SHELL_TOOLS))
-    inline_patch = calls.filter("name = 'apply_patch'").withColumn("patch", _get(F.try_parse_json("arguments"), "$.input"))
-    patches = items.filter("kind = 'custom_tool_call'").filter(_get("p", "$.name") == "apply_patch").withColumn("patch", _get("p", "$.input"))
+    texts = F.filter(F.transform(parts, lambda x: F.when(_get(x, "$.type").isin("input_text", "output_text"), _get(x, "$.text"))), lambda t: t.isNotNull() & (trim_space(t) != ""))
     out = F.try_variant_get("p", "$.output", "variant")
-    outputs = items.filter("kind = 'function_call_output'").withColumn("output", F.when(F.schema_of_variant(out) == "STRING", _get("p", "$.output")).otherwise(F.to_json(out)))
-    outputs = outputs.withColumn("output", F.coalesce("output", F.lit("")))
-    final = e.filter("type = 'event_msg' and kind = 'task_complete'").withColumn("final", _get("p", "$.last_agent_message")).filter(trim_space(F.col("final")) != "")
-    return _all([
-        _steps(e, "entry", F.lit(None).cast("string")),
-        _steps(meta, "cwd", _get("p", "$.cwd")).filter("text <> ''"),
-        _steps(meta, "branch", _get("p", "$.git.branch")).filter("text <> ''"),
-        _steps(users, "user", F.col("said")),
-        _steps(said.filter("role = 'assistant'"), "assistant", F.col("said")),
-        _steps(final, "final", F.col("final")),
-        _steps(shells, "command", command_text(F.col("arguments")), call=F.nullif(_get("p", "$.call_id"), F.lit(""))).filter("text <> ''"),
-        patch_files(inline_patch, F.col("patch")),
-        patch_files(patches, F.col("patch")),
-        _steps(outputs, "result", output_text(F.col("output")), call=_get("p", "$.call_id"), error=output_failed(F.col("output"))),
-    ])
+    output = F.coalesce(F.when(F.schema_of_variant(out) == "STRING", _get("p", "$.output")).otherwise(F.to_json(out)), F.lit(""))
+    ts, c = F.col("ts"), F.col
+    item = (c("type") == "response_item") & c("p").isNotNull()
+    call = item & (c("kind") == "function_call")
+    answer = item & (c("kind") == "function_call_output")
+    patch = F.when(call & (c("name") == "apply_patch"), _get(F.try_parse_json("arguments"), "$.input")).when(item & (c("kind") == "custom_tool_call") & (c("name") == "apply_patch"), _get("p", "$.input"))
+    e = e.withColumns({"said": trim_space(F.array_join(texts, "\n")), "output": F.when(answer, output), "command": F.when(call & c("name").isin(*SHELL_TOOLS), command_text(c("arguments"))), "patch": patch, "final": _get("p", "$.last_agent_message")})
+    entry = c("type").isin("session_meta", "turn_context", "response_item", "event_msg") & c("p").isNotNull()
+    meta = entry & c("type").isin("session_meta", "turn_context")
+    message = item & (c("kind") == "message") & (c("said") != "")
+    text = lambda kind, path, when: _event(kind, _get("p", path), when & (_get("p", path) != ""), ts=ts)
+    return _explode(e, [
+        _event("entry", F.lit(None), entry, ts=ts),
+        text("cwd", "$.cwd", meta),
+        text("branch", "$.git.branch", meta),
+        _event("user", c("said"), message & (c("role") == "user") & ~_starts(c("said"), INJECTED), ts=ts),
+        _event("assistant", c("said"), message & (c("role") == "assistant"), ts=ts),
+        _event("final", c("final"), entry & (c("type") == "event_msg") & (c("kind") == "task_complete") & (trim_space(c("final")) != ""), ts=ts),
+        _event("command", c("command"), c("command") != "", ts=ts, call=F.nullif(_get("p", "$.call_id"), F.lit(""))),
+        _event("result", output_text(c("output")), answer, ts=ts, call=_get("p", "$.call_id"), error=output_failed(c("output"))),
+    ], [patch_files(c("patch"), ts)])
 
 
 DIALECTS = {"blocks": blocks_steps, "rollout": rollout_steps}
@@ -200,17 +232,70 @@ def session_id(dialect: str, path: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(stem, UUID, 0), F.lit("")), stem) if dialect == "rollout" else stem
 
 
-def discover(spark: SparkSession, root: str, dialect: str, since: str | None = None) -> DataFrame:
+def project_slug(path: str) -> str:
+    """The folder that the `blocks` dialect keeps a project's transcripts in."""
+    return re.sub("[^A-Za-z0-9]", "-", path)
+
+
+def folders(spark: SparkSession, at: str) -> list[str]:
+    """Names of the folders in a folder; none if it doesn't exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()) if fs.exists(path) else []
+
+
+def places(spark: SparkSession, root: str, dialect: str, repos: Sequence[str] | None = None, since: datetime | None = None) -> list[str]:
+    """The folders of a dialect's root that can hold transcripts of those repositories (their own and those of
+    directories in them) and, of days, not two days or more before since. Only folders are listed here."""
+    if dialect == "blocks":
+        slugs = None if repos is None else [project_slug(r.rstrip("/")) for r in repos]
+        return [f"{root}/{name}" for name in folders(spark, root) if slugs is None or any(name == s or name.startswith(f"{s}-") for s in slugs)]
+    out = []
+    for year in folders(spark, root):
+        for month in folders(spark, f"{root}/{year}") if re.fullmatch("[0-9]+", year) else []:
+            for day in folders(spark, f"{root}/{year}/{month}") if re.fullmatch("[0-9]+", month) else []:
+                try:
+                    date = datetime.strptime(f"{year}/{month}/{day}", "%Y/%m/%d")
+                except ValueError:
+                    continue
+                if since is None or date + timedelta(days=2) >= since:
+                    out.append(f"{root}/{year}/{month}/{day}")
+    return out
+
+
+def last_files(spark: SparkSession, folder: str, dialect: str, newest: int) -> list[str]:
+    """The files of a folder that were modified last, as a listing of it tells."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    files = [(-s.getModificationTime(), s.getPath().toString()) for s in listed if s.isFile()]
+    named = [f for f in files if f[1].endswith(".jsonl") and (dialect == "blocks" or f[1].rpartition("/")[2].startswith("rollout-"))]
+    return [name for _, name in sorted(named)[:newest]]
+
+
+def discover(spark: SparkSession, root: str, dialect: str, since: datetime | None = None, repos: Sequence[str] | None = None, newest: int | None = None) -> DataFrame:
     """raw_lines of a dialect's folder: `<root>/<project>/*.jsonl`, or `<root>/<y>/<m>/<d>/rollout-*.jsonl` with
-    days of digits; since: a time of modification."""
-    lines = raw_lines(spark, f"{root}/*/*.jsonl" if dialect == "blocks" else f"{root}/*/*/*/rollout-*.jsonl", since)
-    if dialect == "rollout":
-        parts = F.split("path", "/")
-        for i in (-4, -3, -2):
-            lines = lines.filter(F.element_at(parts, i).rlike("^[+-]?[0-9]+$"))
-    return lines
+    days of digits. since: a time of modification in UTC; repos: roots of repositories. Folders that either rules
+    out are not listed further, files that are too old not read. newest: of each folder only so many files are
+    read, those modified last (ties: the first paths)."""
+    found = places(spark, root, dialect, repos, since)
+    if newest is not None:
+        found = [f for folder in found for f in last_files(spark, folder, dialect, newest)]
+    if not found:
+        return lines_of(spark.createDataFrame([], "path string, modified timestamp, size bigint, block bigint, line string"))
+    reader = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.jsonl" if dialect == "blocks" else "rollout-*.jsonl").option("ignoreMissingFiles", True)
+    if since is not None:
+        # the reader wants later than to the second, in its session's zone; the exact bound is filtered on metadata
+        reader = reader.option("modifiedAfter", (since - timedelta(seconds=1)).strftime("%Y-%m-%dT%H:%M:%S")).option("timeZone", "UTC")
+    lines = scanned(reader.text(found))
+    return lines_of(lines.filter(F.col("modified") >= F.timestamp_micros(F.lit(round(since.replace(tzinfo=timezone.utc).timestamp() * 1e6)))) if since is not None else lines)
+
+
+def early_cwd(steps: DataFrame, lines: int = 64) -> DataFrame:
+    """steps with early: whether the step is in one of its file's first lines. Where line steps are left, they count."""
+    w = Window.partitionBy("path").orderBy("line_no").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return steps.withColumn("early", F.count_if(F.col("kind") == "line").over(w) <= lines)
 
 
 def first_cwd(steps: DataFrame, lines: int = 64) -> DataFrame:
     """path and its first non-empty working directory, looked for in the first lines only."""
-    return steps.filter((F.col("kind") == "cwd") & (F.col("line_no") < lines)).groupBy("path").agg(F.min_by("text", F.struct("line_no", "block_no")).alias("cwd"))
+    return early_cwd(steps, lines).filter((F.col("kind") == "cwd") & F.col("early")).groupBy("path").agg(F.min_by("text", F.struct("line_no", "block_no")).alias("cwd"))
