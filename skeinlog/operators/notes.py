@@ -44,12 +44,21 @@ def title(body: Column, n: int = 120) -> Column:
     return F.substring(F.coalesce(F.get(lines, 0), F.lit("")), 1, n)
 
 
-def listing(notes: DataFrame, registry: DataFrame, project: str | None = None, limit: int = 15) -> DataFrame:
-    """Notes with the project they belong to, newest first and numbered; the limit is 50 at most."""
+def of_projects(notes: DataFrame, registry: DataFrame) -> DataFrame:
+    """notes with the project they belong to and its root (columns project and _root)."""
     reg = registry.withColumn("_key", repo_key(F.col("path"))).withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("position")))).filter("_n = 1").select("_key", F.col("name").alias("_name"), F.col("path").alias("_path"))
-    rows = notes.join(reg, notes["key"] == reg["_key"], "left")
     root = F.coalesce(F.nullif("_path", F.lit("")), F.nullif("root", F.lit("")))
-    rows = rows.withColumn("_root", root).withColumn("project", F.coalesce(F.nullif("_name", F.lit("")), basename(root), F.col("key")))
+    return notes.join(reg, notes["key"] == reg["_key"], "left").withColumn("_root", root).withColumn("project", F.coalesce(F.nullif("_name", F.lit("")), basename(root), F.col("key")))
+
+
+def names(notes: DataFrame, registry: DataFrame) -> DataFrame:
+    """names: those of all projects with notes, sorted; one row. A user's projects are few."""
+    return of_projects(notes, registry).agg(F.sort_array(F.collect_set("project")).alias("names"))
+
+
+def listing(notes: DataFrame, registry: DataFrame, project: str | None = None, limit: int = 15) -> DataFrame:
+    """Notes with the project they belong to, newest first and numbered; the limit is 50 at most."""
+    rows = of_projects(notes, registry)
     if project is not None:
         rows = rows.filter(F.lower("project") == project.lower())
     rows = rows.orderBy(F.desc("at"), "note_id", "key").limit(max(0, min(limit, 50)))

@@ -15,6 +15,8 @@ from ..functions.text import age_days
 KEY_FILES = ("README*", "CLAUDE.md", "AGENTS.md", "package.json", "go.mod", "pyproject.toml", "Cargo.toml")
 STALE_COMMITS, STALE_DAYS, ACTIVE_DAYS = 30, 60, 30
 
+MAX_QUERIES = 1000
+
 ENTRY = "path string, remote string, name string, last_seen timestamp"
 
 
@@ -35,14 +37,32 @@ def lookup(asked: DataFrame, registry: DataFrame) -> DataFrame:
     return out.withColumn("name", F.coalesce("_by_path", "_by_remote")).drop("_path", "_remote", "_by_path", "_by_remote")
 
 
-def upsert(registry: DataFrame, seen: DataFrame, key: str = "path") -> DataFrame:
-    """The union by key: names stay, path and remote follow what was seen, last_seen only moves forward."""
-    old, new = registry.alias("o"), seen.alias("n")
-    joined = old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
+def upsert(registry: DataFrame, seen: DataFrame) -> DataFrame:
+    """registry with what was seen: an entry of the same path, else the first of the same remote, keeps its name,
+    takes path and remote of what was seen last, and its last_seen only moves forward; the rest is added. Of several
+    things seen with one path the last counts."""
+    when = lambda c: F.max_by(c, F.struct(F.coalesce("last_seen", F.lit(0).cast("timestamp")), "path"))
+    each = seen.filter("path <> ''").groupBy("path").agg(when("remote").alias("remote"), when("name").alias("name"), F.max("last_seen").alias("last_seen"))
+    each = each.unionByName(seen.filter("coalesce(path, '') = ''").select("path", "remote", "name", "last_seen"))
+    place = F.col("position") if "position" in registry.columns else F.col("path")
+    old = registry.withColumn("_at", place)
+    by_path = old.filter("path <> ''").select(F.col("path").alias("_path"), F.lit(True).alias("_has")).distinct()
+    by_remote = old.filter("remote <> ''").groupBy(F.col("remote").alias("_remote")).agg(F.min_by("path", "_at").alias("_first"))
+    each = each.join(by_path, F.col("path") == F.col("_path"), "left").join(by_remote, F.col("remote") == F.col("_remote"), "left")
+    entry = F.when(F.col("_has"), F.col("path")).otherwise(F.coalesce("_first", "path"))
+    new = each.select(entry.alias("_entry"), "path", "remote", "name", "last_seen").groupBy("_entry").agg(when("path").alias("path"), when("remote").alias("remote"), when("name").alias("name"), F.max("last_seen").alias("last_seen"))
+    joined = old.alias("o").join(new.alias("n"), F.col("o.path") == F.col("n._entry"), "full")
     col = lambda c: F.coalesce(F.nullif(F.col(f"n.{c}"), F.lit("")), F.col(f"o.{c}")).alias(c)
     return joined.select(col("path"), col("remote"), F.coalesce(F.col("o.name"), F.col("n.name")).alias("name"), F.greatest("o.last_seen", "n.last_seen").alias("last_seen"))
 
 
+def commits_after(rows: DataFrame, commits: DataFrame, root: str = "root", since: str = "since") -> DataFrame:
+    """root and commits: how many of its commits (root, at) are later than since. Roots without any are left out."""
+    new = commits.select(F.col("root").alias("_root"), F.col("at").alias("_at"))
+    both = rows.select(F.col(root).alias("root"), F.col(since).alias("_since")).join(new, (F.col("root") == F.col("_root")) & (F.col("_at") > F.col("_since")))
+    return both.groupBy("root").agg(F.count("*").cast("int").alias("commits"))
+
+
 def with_cards(registry: DataFrame, cards: DataFrame) -> DataFrame:
     """registry with summary, status and updated of the card of its name, and has_card."""
     c = cards.select(F.col("name").alias("_card"), "summary", "status", "updated")
@@ -64,8 +84,10 @@ def find(registry: DataFrame, name_or_path: str) -> DataFrame:
 
 def closest(names: DataFrame, queries: DataFrame, n: int = 3) -> DataFrame:
     """For each query the n names most like it: those that begin with it, then those that hold it, then by
-    edit distance; names has position. Queries are what persons typed, a few hundred at most; each meets
-    every name."""
+    edit distance; names has position. Queries are what persons typed: MAX_QUERIES at most, else an error; each
+    meets every name."""
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries")
     low, q = F.lower("name"), F.lower("query")
     rank = F.when(F.startswith(low, q), 0).when(F.contains(low, q), 1).otherwise(2)
     rows = names.join(F.broadcast(queries), how="cross").withColumn("rank", rank).withColumn("distance", F.levenshtein(low, q))

@@ -36,15 +36,20 @@ def load_sessions(spark: SparkSession, roots: dict[str, tuple[str, str]], since:
         except Exception as e:  # whatever its store says: the other sources still answer
             warnings.warn(f"source {agent!r} is left out: {e}", stacklevel=2)
             continue
-        steps = digest.slim(transcripts.DIALECTS[dialect](lines), tail)
-        steps = transcripts.early_cwd(steps.repartition("path"))
-        steps = transcripts.finished(steps).filter((F.col("kind") != "cwd") | F.col("early"))
-        found = digest.sessions(steps, tail, keep=("modified",))
-        found = found.withColumns({"agent": F.lit(agent), "session_id": transcripts.session_id(dialect, F.col("path")), "source_order": F.lit(order)})
+        found = digests(lines, dialect, tail).withColumns({"agent": F.lit(agent), "session_id": transcripts.session_id(dialect, F.col("path")), "source_order": F.lit(order)})
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], no_sessions(tail)) if out is None else out
 
 
+def digests(lines: DataFrame, dialect: str, tail: bool = False) -> DataFrame:
+    """Digests of the files of lines (see raw_lines), with their time of modification; a working directory counts if
+    it is named early in the file."""
+    steps = digest.slim(transcripts.DIALECTS[dialect](lines), tail)
+    steps = transcripts.early_cwd(steps.repartition("path"))
+    steps = transcripts.finished(steps).filter((F.col("kind") != "cwd") | F.col("early"))
+    return digest.sessions(steps, tail, keep=("modified",))
+
+
 def no_sessions(tail: bool) -> str:
     files, commands = "array<struct<path:string,ops:array<string>,count:int>>", "array<struct<command:string,failed:boolean>>"
     tails = ", tail array<struct<kind:string,head:string,body:string,at:timestamp>>" if tail else ""
@@ -94,8 +99,7 @@ def handoff(sessions: DataFrame, repos: DataFrame, notes: DataFrame, git: DataFr
     note = F.when(F.col("_note").isNotNull() & visible, F.struct(F.col("_note.agent").alias("agent"), F.col("_note.at").alias("at"), card_ops.redact(F.col("_note.body")).alias("body")))
     since = F.coalesce(F.col("_note.at") if note_id else F.col("first.end"), F.timestamp_seconds(F.lit(0)))
     rows = rows.withColumn("note", note).withColumn("_since", since)
-    new = commits.select(F.col("root").alias("_root"), F.col("at").alias("_at"))
-    counted = rows.select("root", "_since").join(new, (F.col("root") == F.col("_root")) & (F.col("_at") > F.col("_since"))).groupBy("root").agg(F.count("*").cast("int").alias("_commits"))
+    counted = reg_ops.commits_after(rows, commits, since="_since").withColumnRenamed("commits", "_commits")
     rows = rows.join(git.select("root", "uncommitted"), "root", "left").join(counted, "root", "left")
     state = F.when(F.col("uncommitted").isNotNull(), F.struct("uncommitted", F.coalesce("_commits", F.lit(0)).alias("commits")))
     rows = rows.join(projects, "root", "left") if projects is not None else rows.withColumn("projects", F.lit(None).cast("struct<names:array<string>,card_state:string,reason:string>"))
@@ -109,6 +113,17 @@ def list_handoffs(notes: DataFrame, registry: DataFrame, project: str | None = N
     return note_ops.listing(notes, registry, project, min(limit if limit > 0 else DEFAULT_NOTES, MAX_LIST))
 
 
+def no_handoffs(notes: DataFrame, registry: DataFrame, project: str) -> DataFrame:
+    """text for a project that list_handoffs() has no notes of: which projects have some, and which are named alike."""
+    found = note_ops.names(notes, registry)
+    asked = notes.sparkSession.createDataFrame([(project,)], "query string")
+    each = found.select(F.posexplode("names").alias("position", "name"))
+    near = reg_ops.closest(each, asked).agg(F.array_sort(F.collect_list(F.struct("n", "name"))).alias("c"))
+    hint = F.when(F.size("c") > 0, F.concat(F.lit(". Did you mean: "), F.array_join(F.transform("c", lambda x: x["name"]), ", "), F.lit("?"))).otherwise("")
+    some = F.concat(F.lit(f'no handoff notes for "{project}". Projects with notes: '), F.array_join("names", ", "), hint)
+    return found.crossJoin(near).select(F.when(F.size("names") == 0, "no handoff notes yet").otherwise(some).alias("text"))  # one row each
+
+
 def toc_line(now: Column, home: str = "") -> Column:
     """A project's line of the table of contents, from name, path, summary, has_card and last_seen."""
     path = tilde(F.col("path"), home) if home else F.col("path")
@@ -210,10 +225,19 @@ def update_profile(profile: Column, header: str, entry: str, append: bool = True
     return F.concat(whole, F.when(missing, F.concat(F.when(whole == "", "").otherwise("\n\n"), F.lit(f"## {header}\n{line.rstrip()}"))).otherwise(""), F.lit("\n"))
 
 
-def doctor(checks: DataFrame) -> DataFrame:
-    """ok: whether all checks (check, ok, message, hint) passed; n_failed, and what to do."""
+def doctor(checks: DataFrame, *by: str) -> DataFrame:
+    """ok: whether all checks (check, ok, message, hint) passed; n_checks, n_failed, and what to do; for each of by,
+    if given."""
     w = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("check", "message", "hint"))))
-    return checks.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok"), F.count_if(~F.col("ok")).alias("n_failed"), F.array_join(F.transform(w, lambda x: F.concat_ws(" · ", x["check"], x["message"], x["hint"])), "\n").alias("todo"))
+    todo = F.array_join(F.transform(w, lambda x: F.concat_ws(" · ", x["check"], x["message"], x["hint"])), "\n")
+    return checks.groupBy(*by).agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok"), F.count("*").alias("n_checks"), F.count_if(~F.col("ok")).alias("n_failed"), todo.alias("todo"))
+
+
+def card_check(cards: DataFrame, registry: DataFrame) -> DataFrame:
+    """A check for doctor(): how many of the known projects have a card."""
+    known = registry.select(F.col("name").alias("_name")).join(cards.select("name").distinct(), F.col("_name") == F.col("name"), "left")
+    n = known.agg(F.count("name").alias("n"), F.count("*").alias("of"))
+    return n.select(F.lit("cards").alias("check"), (F.col("n") == F.col("of")).alias("ok"), F.concat(F.col("n").cast("string"), F.lit(" of "), F.col("of").cast("string"), F.lit(" projects have a card")).alias("message"), F.lit("call update_project in the others").alias("hint"))
 
 
 def request(payload: Column) -> Column:

@@ -7,6 +7,9 @@ of a brief is a concatenation of lines, of which the first that fits is taken.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +101,10 @@ def _inject_note(c: dict[str, Column], others: bool, size: int) -> Column:
     return F.concat_ws("", *[c[k] for k in ("heading", "last", "note_head", f"note{size}", "now", *["others"] * others, "end")])
 
 
+def note_ladder(c: dict[str, Column]) -> list[Column]:
+    return [_inject_note(c, True, NOTE_BYTES[0]), *(_inject_note(c, False, n) for n in NOTE_BYTES)]
+
+
 def first_that_fits(variants: list[Column], budget: Column) -> Column:
     """The first variant of budget bytes at most, else the last one cut."""
     fits = F.filter(F.array(*variants), lambda v: F.octet_length(v) <= budget)
@@ -129,18 +136,25 @@ def _nothing() -> Column:
     return F.col("primary").isNull() & F.col("note").isNull()
 
 
-def render_inject(briefs: DataFrame, tool: str = TOOL, most: int = 20) -> DataFrame:
-    """briefs with inject, of 3,072 bytes at most; empty where there is nothing to hand over."""
+@lru_cache(maxsize=8)
+def _inject_columns(context: int, tool: str, most: int) -> tuple[list[Column], list[str], Column]:
+    """The pieces as columns, their names, and the brief made of them. Some thousand calls build these expressions, so
+    they are kept for the context that they were built in."""
     pieces = _pieces(tool)
-    # columns of their own: fields of a struct would be built anew in every variant
-    rows = briefs.select("*", *[v.alias(f"_{k}") for k, v in pieces.items()], projects_section(tool, most).alias("_section"))
     c = {k: F.col(f"_{k}") for k in pieces}
     budget = F.lit(INJECT_BYTES) - F.when(F.col("_section") != "", F.octet_length("_section") + 1).otherwise(0)
     plain = first_that_fits([_inject(c, *step) for step in LADDER], budget)
-    note = first_that_fits([_inject_note(c, True, NOTE_BYTES[0]), *(_inject_note(c, False, n) for n in NOTE_BYTES)], budget)
+    note = first_that_fits(note_ladder(c), budget)
     text = F.when(F.col("note").isNotNull(), note).otherwise(plain)
     whole = F.when(_nothing(), F.col("_section")).when(F.col("_section") == "", text).otherwise(F.concat(text, F.lit("\n"), F.col("_section")))
-    return rows.withColumn("inject", whole).drop("_section", *[f"_{k}" for k in pieces])
+    return [*(v.alias(f"_{k}") for k, v in pieces.items()), projects_section(tool, most).alias("_section")], ["_section", *(f"_{k}" for k in pieces)], whole
+
+
+def render_inject(briefs: DataFrame, tool: str = TOOL, most: int = 20) -> DataFrame:
+    """briefs with inject, of 3,072 bytes at most; empty where there is nothing to hand over."""
+    made, names, whole = _inject_columns(id(SparkContext._active_spark_context), tool, most)
+    # columns of their own: fields of a struct would be built anew in every variant
+    return briefs.select("*", *made).withColumn("inject", whole).drop(*names)
 
 
 def tail_entry(t: Column) -> Column:
@@ -149,8 +163,8 @@ def tail_entry(t: Column) -> Column:
     return F.concat(F.lit("- "), head, F.lit("\n"), F.when(body != "", fenced(cut(body, 2000))).otherwise(""))
 
 
-def render_full(briefs: DataFrame, tool: str = TOOL) -> DataFrame:
-    """briefs with full, of 32,768 bytes at most; the oldest activities go first."""
+def render_full(briefs: DataFrame, tool: str = TOOL, most: int = FULL_BYTES) -> DataFrame:
+    """briefs with full, of most bytes (32,768) at most; the oldest activities go first."""
     parts, p, n = _parts(tool), F.col("primary"), F.col("note")
     note = F.when(n.isNotNull(), F.concat(F.lit("\nNote from "), inline(n["agent"]), F.lit(" · "), relative_time(n["at"], F.col("now")), F.lit(":\n"), fenced(cut(n["body"], 8000)), F.lit("\n")))
     files = _line("\n## Files\n", F.array_join(F.transform(p["files"], lambda f: F.concat(F.lit("- "), file_label(f), F.lit("\n"))), ""), "")
@@ -159,11 +173,11 @@ def render_full(briefs: DataFrame, tool: str = TOOL) -> DataFrame:
     foot = F.concat(F.lit("\n"), parts["end"])
     rows = briefs.withColumn("_head", head).withColumn("_tail", F.coalesce(F.transform(F.slice(p["tail"], F.greatest(F.size(p["tail"]) - 29, F.lit(1)), 30), tail_entry), F.array().cast("array<string>")))
     title = "\n## Recent activity\n"
-    room = F.lit(FULL_BYTES) - F.octet_length("_head") - F.octet_length(foot)
+    room = F.lit(most) - F.octet_length("_head") - F.octet_length(foot)
     # how many of the newest entries fit: running sizes from the newest back
     sizes = F.transform("_tail", lambda x: F.octet_length(x))
     fits = F.filter(F.sequence(F.size("_tail"), F.lit(0), F.lit(-1)), lambda k: (k == 0) | (F.aggregate(F.slice(sizes, F.size("_tail") - k + 1, k), F.lit(len(title)), lambda a, b: a + b) <= room))
     kept = F.get(fits, 0)
     tail = F.when(kept > 0, F.concat(F.lit(title), F.array_join(F.slice("_tail", F.size("_tail") - kept + 1, kept), ""))).otherwise("")
-    whole = trim_bytes(F.concat("_head", tail, foot), FULL_BYTES)
+    whole = trim_bytes(F.concat("_head", tail, foot), most)
     return rows.withColumn("full", F.when(_nothing(), "").otherwise(whole)).drop("_head", "_tail")

@@ -16,7 +16,7 @@ from ..functions import text as tx
 from ..functions.redact import redact
 from ..operators import cards, digest, manifest, notes, registry, select
 from ..sources import transcripts
-from . import brief
+from . import api, brief
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,6 +57,22 @@ def sql_cut(s: str, n: int) -> str:
     return f"CASE WHEN length({s}) > {n} THEN rtrim(left({s}, {n})) || '…' ELSE {s} END"
 
 
+_RE = [
+    (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "[redacted]"), (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*", "[redacted]"),
+    (r"(^|[^A-Za-z0-9])sk-[A-Za-z0-9_-]{10,}", r"\1[redacted]"), (r"([a-z][a-z0-9+.-]*://[^/\s:@]+:)[^@\s/]+@", r"\1[redacted]@"),
+    (r"(?i)(--(?:token|password|passwd|secret|api-key|apikey)[= ])\S+", r"\1[redacted]"), (r"\b(Basic|Token|Bearer)(\s+)[A-Za-z._~-]*[0-9+/=][A-Za-z0-9+/=._~-]*", r"\1\2[redacted]"),
+    (r"gh[pousr]_[A-Za-z0-9]{20,}", "[redacted]"), (r"github_pat_[A-Za-z0-9_]{20,}", "[redacted]"), (r"xox[abprs]-[A-Za-z0-9-]{8,}", "[redacted]"), (r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", "[redacted]"),
+    (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[redacted]"), (r"\b(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{10,}", "[redacted]"), (r"\bAIza[0-9A-Za-z_-]{30,}", "[redacted]"), (r"\bnpm_[A-Za-z0-9]{30,}", "[redacted]"),
+    (r"(?i)([A-Za-z0-9_.-]*(?:secret|password|passwd|token|api[_-]?key|private[_-]?key|credential|auth)[A-Za-z0-9_.-]*[\"']?\s*[:=]\s*[\"']?)[^\s\",']+", r"\1[redacted]"),
+]
+
+
+def sql_redact(s: str) -> str:
+    for pattern, to in _RE:
+        s = f"regexp_replace({s}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
+    return s
+
+
 # --- sessions -----------------------------------------------------------------------------------
 
 
@@ -107,20 +123,50 @@ def exclude_and_age_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.exclude(out, 77).select("session_id")
 
 
-@query(f"SELECT o_orderkey AS session_id, o_orderstatus AS agent, {ISO.format('o_orderdate')} AS modified FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+@query(f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS agent, CAST(row_number() OVER (ORDER BY o_orderdate DESC, o_orderstatus, o_orderkey) AS INTEGER) AS rank,
+       strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS start, '0001-01-01T00:00:00Z' AS "end" FROM orders ORDER BY o_orderdate DESC, o_orderstatus, o_orderkey LIMIT 50
+""")
 def recent_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = refs(spark, sf_dir).orderBy(F.desc("modified"), "session_id").limit(50)
-    return r.select("session_id", F.col("source_order").alias("agent"), iso("modified").alias("modified"))
+    one = {"root": F.lit("/all"), "agent": F.col("source_order"), "session_id": F.col("session_id").cast("string"), "title": F.lit(None).cast("string"), "branch": F.lit("b"), "start": F.col("modified"), "end": F.lit(None).cast("timestamp"), "prompt_count": F.lit(1)}
+    return api.list_sessions(refs(spark, sf_dir).withColumns(one), 99).select("id", "agent", "rank", "start", "end")
 
 
-@query("""
-SELECT o_orderkey AS session_id, 'even' AS source FROM orders WHERE o_orderkey % 2 = 0 AND o_orderstatus = 'F'
-UNION ALL SELECT o_orderkey, 'odd' FROM orders WHERE o_orderkey % 2 <> 0 AND o_orderstatus = 'F'
+def as_lines(rows: DataFrame, lose_last: Column) -> DataFrame:
+    """rows (path, line_no, line) as lines of files, of which those of lose_last end without a line break."""
+    rows = rows.withColumn("bytes", F.octet_length("line").cast("bigint"))
+    size = F.sum(F.col("bytes") + 1).over(Window.partitionBy("path")) - lose_last.cast("int")
+    return rows.select("path", now().alias("modified"), size.alias("size"), F.col("line_no").cast("bigint").alias("line_no"), "bytes", "line")
+
+
+def conversation_lines(spark: SparkSession, sf_dir: str, dialect: str) -> DataFrame:
+    """Conversations as transcripts; of every third the last line has no line break."""
+    c = table(spark, sf_dir, "conversations")
+    lit, text = (lambda x, name: F.lit(x).alias(name)), F.coalesce("text", F.lit(""))
+    if dialect == "blocks":
+        c = c.filter("conv_id % 2 = 0")
+        plain = F.struct(text.alias("content")).alias("message")
+        said = F.struct(F.array(F.struct(lit("text", "type"), text.alias("text"))).alias("content")).alias("message")
+        line = F.when(F.col("role") == "user", F.to_json(F.struct(lit("user", "type"), lit("/srv/a", "cwd"), plain))).when(F.col("role") == "assistant", F.to_json(F.struct(lit("assistant", "type"), said))).otherwise(F.to_json(F.struct(lit("user", "type"), F.lit(True).alias("isMeta"), plain)))
+    else:
+        c = c.filter("conv_id % 2 <> 0")
+        part = lambda kind: F.array(F.struct(lit(kind, "type"), text.alias("text"))).alias("content")
+        item = lambda role, kind: F.to_json(F.struct(lit("response_item", "type"), F.struct(lit("message", "type"), lit(role, "role"), part(kind)).alias("payload")))
+        line = F.when(F.col("role") == "user", item("user", "input_text")).when(F.col("role") == "assistant", item("assistant", "output_text")).otherwise(F.to_json(F.struct(lit("event_msg", "type"), F.struct(lit("user_message", "type"), text.alias("message")).alias("payload"))))
+    return as_lines(c.select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line_no"), line.alias("line")), F.col("path").cast("bigint") % 3 == 0)
+
+
+@query(r"""
+WITH c AS (SELECT *, regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations),
+k AS (SELECT conv_id, turn, role, t, CASE WHEN conv_id % 2 = 0 THEN coalesce(text, '') ELSE t END AS said FROM c WHERE NOT (conv_id % 3 = 0 AND r = 1) AND t <> '')
+SELECT CAST(conv_id AS VARCHAR) AS session_id, CASE WHEN conv_id % 2 = 0 THEN 'blocks' ELSE 'rollout' END AS agent, CASE WHEN conv_id % 2 = 0 THEN '/srv/a' END AS cwd,
+       CAST(count(*) FILTER (WHERE role = 'user') AS INTEGER) AS prompt_count, arg_min(t, turn) FILTER (WHERE role = 'user') AS first_prompt,
+       arg_max(t, turn) FILTER (WHERE role = 'user') AS last_prompt, arg_max(said, turn) FILTER (WHERE role = 'assistant') AS last_message
+FROM k GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'user') > 0
 """)
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = refs(spark, sf_dir).filter("source_order = 'F'")
-    parts = [r.filter(F.col("session_id") % 2 == 0).withColumn("source", F.lit("even")), r.filter(F.col("session_id") % 2 != 0).withColumn("source", F.lit("odd"))]
-    return parts[0].unionByName(parts[1]).select("session_id", "source")
+    parts = [api.digests(conversation_lines(spark, sf_dir, d), d).withColumn("agent", F.lit(d)) for d in ("blocks", "rollout")]
+    return parts[0].unionByName(parts[1]).select(F.col("path").alias("session_id"), "agent", "cwd", "prompt_count", "first_prompt", "last_prompt", "last_message")
 
 
 # --- steps --------------------------------------------------------------------------------------
@@ -202,21 +248,60 @@ def ops_distinct_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(F.col("path").alias("session_id"), F.col("f.path").alias("file"), F.array_join("f.ops", "+").alias("ops")).filter(F.contains("ops", F.lit("+")))
 
 
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as a rollout transcript: clicks are commands, errors their outputs, purchases patches."""
+    e = table(spark, sf_dir, "events")
+    lit, name = (lambda x, k: F.lit(x).alias(k)), F.concat(F.lit("e"), F.col("event_id"))
+    item = lambda *fields: F.to_json(F.struct(lit("response_item", "type"), F.struct(*fields).alias("payload")))
+    said = lambda role, kind: item(lit("message", "type"), lit(role, "role"), F.array(F.struct(lit(kind, "type"), name.alias("text"))).alias("content"))
+    command = F.to_json(F.struct(F.array(F.lit("bash"), F.lit("-lc"), F.concat(name, F.lit(" --now"))).alias("command")))
+    output = F.to_json(F.struct(name.alias("output"), F.struct((F.col("value") > 50).cast("int").alias("exit_code")).alias("metadata")))
+    patch = F.concat(F.lit("*** Begin Patch\n*** "), F.when(F.col("value") > 50, "Add").otherwise("Update"), F.lit(" File: f"), F.col("event_id") % 7, F.lit("\n+x\n"))
+    lines = {
+        "click": item(lit("function_call", "type"), lit("shell", "name"), lit("c", "call_id"), command.alias("arguments")), "error": item(lit("function_call_output", "type"), lit("c", "call_id"), output.alias("output")),
+        "view": said("assistant", "output_text"), "signup": said("user", "input_text"), "purchase": item(lit("custom_tool_call", "type"), lit("apply_patch", "name"), patch.alias("input")),
+    }
+    line = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in lines.items()])
+    return as_lines(e.select(F.col("user_id").cast("string").alias("path"), F.unix_micros("ts").alias("line_no"), line.alias("line")), F.lit(False))
+
+
+@query("""
+WITH e AS (SELECT *, 'e' || event_id AS name FROM events),
+p AS (SELECT *, lead(event_type) OVER w AS after_type, lead(value) OVER w AS after_value FROM e WHERE event_type IN ('click', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+c AS (SELECT user_id, string_agg(name || ' --now' || CASE WHEN after_type = 'error' AND after_value > 50 THEN ' failed' ELSE '' END, ', ' ORDER BY ts) AS commands FROM p WHERE event_type = 'click' GROUP BY user_id),
+t AS (SELECT user_id, 'f' || event_id % 7 AS file, CASE WHEN value > 50 THEN 'write' ELSE 'edit' END AS op, ts FROM e WHERE event_type = 'purchase'),
+o AS (SELECT user_id, file, op, min(ts) AS t0, count(*) AS n FROM t GROUP BY ALL),
+f AS (SELECT user_id, file, string_agg(op, '+' ORDER BY t0) AS ops, min(t0) AS t0, sum(n) AS n FROM o GROUP BY ALL),
+g AS (SELECT user_id, string_agg(file || ' ' || ops || ' ' || n, ', ' ORDER BY t0) AS files FROM f GROUP BY user_id),
+h AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'signup') AS n, arg_min(name, ts) FILTER (WHERE event_type = 'signup') AS first_prompt, arg_max(name, ts) FILTER (WHERE event_type = 'signup') AS last_prompt,
+             arg_max(name, ts) FILTER (WHERE event_type = 'view') AS last_message FROM e GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(n AS INTEGER) AS prompt_count, first_prompt, last_prompt, last_message, coalesce(commands, '') AS commands, coalesce(files, '') AS files
+FROM h LEFT JOIN c USING (user_id) LEFT JOIN g USING (user_id) WHERE n > 0
+""")
+def rollout_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = api.digests(event_lines(spark, sf_dir), "rollout", tail=True)
+    commands = F.transform("commands", lambda c: F.concat(c["command"], F.when(c["failed"], " failed").otherwise("")))
+    files = F.transform("files", lambda f: F.concat_ws(" ", f["path"], F.array_join(f["ops"], "+"), f["count"].cast("string")))
+    return d.select(F.col("path").alias("session_id"), "prompt_count", "first_prompt", "last_prompt", "last_message", F.array_join(commands, ", ").alias("commands"), F.array_join(files, ", ").alias("files"))
+
+
 @query("""
-SELECT CAST(e.user_id AS VARCHAR) AS session_id, e.event_id, p.pos AS block_no, p.word FROM events e,
-  LATERAL (SELECT unnest(string_split(replace(replace(e.props, '{', ''), '}', ''), ': ')) AS word, unnest(range(2)) AS pos) p WHERE word IS NOT NULL
+SELECT event_id, 1 AS block_no, 'edit' AS op, event_type AS file FROM events
+UNION ALL SELECT event_id, 3, CASE WHEN value > 50 THEN 'write' ELSE 'delete' END, 'u/' || user_id FROM events
 """)
 def explode_patch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    plain = F.replace(F.replace("props", F.lit("{"), F.lit("")), F.lit("}"), F.lit(""))
-    out = e.select(F.col("user_id").cast("string").alias("session_id"), "event_id", F.posexplode(F.split(plain, ": ")).alias("block_no", "word"))
-    return out.withColumn("block_no", F.col("block_no").cast("bigint"))
+    patch = F.concat(F.lit("*** Begin Patch\n*** Update File:   "), "event_type", F.lit(" \n-*** Add File: no\n*** "), F.when(F.col("value") > 50, "Add").otherwise("Delete"), F.lit(" File: u/"), F.col("user_id"), F.lit("\n*** Update File:  \n"))
+    found = F.filter(transcripts.patch_files(patch, F.lit(None)), lambda f: f.isNotNull())
+    return table(spark, sf_dir, "events").select("event_id", F.explode(found).alias("f")).select("event_id", "f.block_no", "f.op", F.col("f.text").alias("file"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.try_parse_json("props")
-    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"))
+@query("""
+SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view') THEN 'e' || event_id END AS session_id, CASE WHEN event_type NOT IN ('click', 'view') THEN '' END AS cwd FROM events
+""")
+def hook_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.when(F.col("event_type") == "click", "resume").when(F.col("event_type") == "view", "fork").otherwise(F.col("event_type"))
+    r = api.request(F.to_json(F.struct(F.concat(F.lit("e"), F.col("event_id")).alias("session_id"), source.alias("source"), F.lit(3).alias("other"))))
+    return table(spark, sf_dir, "events").select("event_id", r.alias("r")).select("event_id", "r.session_id", "r.cwd")
 
 
 @query("""
@@ -252,20 +337,26 @@ def newest_note_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("user_id").alias("repo"), F.when(notes.gate(F.col("at"), F.col("start"), F.col("start").isNotNull()), F.col("note_id")).alias("note_id"), iso("start").alias("start"))
 
 
+def note_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("note_id"), F.col("source").alias("key"), F.lit("").alias("root"), F.col("lang").alias("agent"), F.timestamp_seconds(F.col("n_chars") * 10**7 - F.col("doc_id")).alias("at"), F.col("text").alias("body"))
+
+
+def source_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("src"), F.col("c_custkey") % 12).alias("path"), F.col("c_name").alias("name"), F.col("c_custkey").alias("position"))
+
+
 @query(rf"""
 WITH reg AS (SELECT 'src' || (c_custkey % 12) AS path, arg_max(c_name, c_custkey) AS name FROM customer GROUP BY 1),
 n AS (SELECT doc_id, source, lang, text, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents),
-lines AS (SELECT doc_id, {sql_inline('line')} AS line, pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM n WHERE r <= 50))
+lines AS (SELECT doc_id, {sql_inline('line')} AS line, pos FROM (SELECT doc_id, unnest(string_split(safe, chr(10))) AS line, unnest(range(len(string_split(safe, chr(10))))) AS pos FROM (SELECT doc_id, r, {sql_redact('text')} AS safe FROM n) WHERE r <= 50))
 SELECT r AS n, CAST(n.doc_id AS VARCHAR) AS note_id, coalesce(reg.name, n.source) AS project, coalesce(reg.path, '') AS root, lang AS agent,
-       coalesce((SELECT left(arg_min(line, pos) FILTER (WHERE line <> ''), 20) FROM lines l WHERE l.doc_id = n.doc_id), '') AS title
+       coalesce((SELECT left(arg_min(line, pos) FILTER (WHERE line <> ''), 120) FROM lines l WHERE l.doc_id = n.doc_id), '') AS title
 FROM n LEFT JOIN reg ON n.source = reg.path WHERE r <= 50
 """)
 def notes_left_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    rows = d.select(F.col("doc_id").cast("string").alias("note_id"), F.col("source").alias("key"), F.lit("").alias("root"), F.col("lang").alias("agent"), F.timestamp_seconds(F.col("n_chars") * 10**7 - F.col("doc_id")).alias("at"), F.col("text").alias("body"))
-    reg = table(spark, sf_dir, "customer").select(F.concat(F.lit("src"), F.col("c_custkey") % 12).alias("path"), F.col("c_name").alias("name"), F.col("c_custkey").alias("position"))
-    out = notes.listing(rows, reg, limit=99)
-    return out.select(F.col("n").cast("bigint").alias("n"), "note_id", "project", F.coalesce("root", F.lit("")).alias("root"), "agent", F.substring("title", 1, 20).alias("title"))
+    out = notes.listing(note_rows(spark, sf_dir), source_registry(spark, sf_dir), limit=99)
+    return out.select(F.col("n").cast("bigint").alias("n"), "note_id", "project", F.coalesce("root", F.lit("")).alias("root"), "agent", "title")
 
 
 # --- registry -----------------------------------------------------------------------------------
@@ -287,16 +378,17 @@ def two_phase_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH old AS (SELECT 'c' || o_custkey AS path, 'old' AS remote, 'n' || o_custkey AS name, max(o_orderdate) AS t FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),
-new AS (SELECT 'c' || o_custkey AS path, CASE WHEN o_custkey % 2 = 0 THEN 'new' ELSE '' END AS remote, 'm' || o_custkey AS name, max(o_orderdate) AS t FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey)
+WITH old AS (SELECT o_custkey, 'c' || o_custkey AS path, 'g' || o_custkey AS remote, 'n' || o_custkey AS name, max(o_orderdate) AS t FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),
+new AS (SELECT o_custkey, CASE WHEN o_custkey % 4 = 0 THEN 'moved' ELSE 'c' END || o_custkey AS path, CASE WHEN o_custkey % 2 = 0 THEN 'g' || o_custkey ELSE '' END AS remote, 'm' || o_custkey AS name, max(o_orderdate) AS t FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey)
 SELECT coalesce(new.path, old.path) AS path, coalesce(nullif(new.remote, ''), old.remote) AS remote, coalesce(old.name, new.name) AS name,
        {ISO.format('CASE WHEN old.t IS NULL OR new.t > old.t THEN new.t ELSE old.t END')} AS last_seen
-FROM old FULL JOIN new ON old.path = new.path
+FROM old FULL JOIN new ON old.o_custkey = new.o_custkey
 """)
 def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.max("o_orderdate").alias("last_seen")).withColumn("path", F.concat(F.lit("c"), F.col("o_custkey")))
-    old = o.filter("o_orderstatus = 'F'").select("path", F.lit("old").alias("remote"), F.concat(F.lit("n"), F.col("o_custkey")).alias("name"), "last_seen")
-    new = o.filter("o_orderstatus = 'O'").select("path", F.when(F.col("o_custkey") % 2 == 0, "new").otherwise("").alias("remote"), F.concat(F.lit("m"), F.col("o_custkey")).alias("name"), "last_seen")
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.max("o_orderdate").alias("last_seen"))
+    key = F.col("o_custkey")
+    old = o.filter("o_orderstatus = 'F'").select(F.concat(F.lit("c"), key).alias("path"), F.concat(F.lit("g"), key).alias("remote"), F.concat(F.lit("n"), key).alias("name"), "last_seen")
+    new = o.filter("o_orderstatus = 'O'").select(F.concat(F.when(key % 4 == 0, "moved").otherwise("c"), key).alias("path"), F.when(key % 2 == 0, F.concat(F.lit("g"), key)).otherwise("").alias("remote"), F.concat(F.lit("m"), key).alias("name"), "last_seen")
     return registry.upsert(old, new).withColumn("last_seen", iso("last_seen"))
 
 
@@ -364,20 +456,23 @@ def path_relativise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("c_custkey", tx.relative_to(F.col("root"), root).alias("file"))
 
 
-@query("SELECT string_agg(name, ', ' ORDER BY name) AS names, count(*) AS n FROM (SELECT DISTINCT lower(p_brand) AS name FROM part)")
+@query("""
+WITH reg AS (SELECT 'src' || (c_custkey % 12) AS path, arg_max(c_name, c_custkey) AS name FROM customer GROUP BY 1)
+SELECT string_agg(name, ', ' ORDER BY name) AS names, count(*) AS n FROM (SELECT DISTINCT coalesce(reg.name, d.source) AS name FROM documents d LEFT JOIN reg ON d.source = reg.path)
+""")
 def distinct_names_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").agg(F.sort_array(F.collect_set(F.lower("p_brand"))).alias("names"))
-    return p.select(F.array_join("names", ", ").alias("names"), F.size("names").cast("bigint").alias("n"))
+    n = notes.names(note_rows(spark, sf_dir), source_registry(spark, sf_dir))
+    return n.select(F.array_join("names", ", ").alias("names"), F.size("names").cast("bigint").alias("n"))
 
 
 @query("""
-SELECT c_custkey, count(o_orderkey) FILTER (WHERE o_orderdate > TIMESTAMP '1995-01-01' + to_days(CAST(c_custkey % 1000 AS INTEGER))) AS commits
+SELECT c_custkey, CAST(count(o_orderkey) FILTER (WHERE o_orderdate > TIMESTAMP '1995-01-01' + to_days(CAST(c_custkey % 1000 AS INTEGER))) AS INTEGER) AS commits
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey
 """)
 def commits_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select("c_custkey", (F.lit("1995-01-01").cast("timestamp") + F.make_interval(days=(F.col("c_custkey") % 1000).cast("int"))).alias("since"))
-    o = table(spark, sf_dir, "orders")
-    return c.join(o, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count_if(F.col("o_orderdate") > F.col("since")).alias("commits"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("root"), (F.lit("1995-01-01").cast("timestamp") + F.make_interval(days=(F.col("c_custkey") % 1000).cast("int"))).alias("since"))
+    found = registry.commits_after(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("root"), F.col("o_orderdate").alias("at")))
+    return c.join(found, "root", "left").select("c_custkey", F.coalesce("commits", F.lit(0)).alias("commits"))
 
 
 def drift_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -456,11 +551,31 @@ def facts_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_type AS name, bool_and(value < 99.9) AS ok, count(*) FILTER (WHERE value >= 99.9) AS failed FROM events GROUP BY event_type
+SELECT event_type AS name, bool_and(value < 99.5) AS ok, count(*) AS n_checks, count(*) FILTER (WHERE value >= 99.5) AS n_failed,
+       coalesce(string_agg('e' || event_id || ' · user ' || user_id || ' · see props', chr(10) ORDER BY 'e' || event_id) FILTER (WHERE value >= 99.5), '') AS todo FROM events GROUP BY event_type
 """)
 def checks_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = F.col("value") < 99.9
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.bool_and(ok).alias("ok"), F.count_if(~ok).alias("failed"))
+    e = table(spark, sf_dir, "events")
+    checks = e.select(F.col("event_type").alias("name"), F.concat(F.lit("e"), F.col("event_id")).alias("check"), (F.col("value") < 99.5).alias("ok"), F.concat(F.lit("user "), F.col("user_id")).alias("message"), F.lit("see props").alias("hint"))
+    return api.doctor(checks, "name")
+
+
+@query("""
+WITH s AS (SELECT p_size AS folder, 'p' || p_partkey AS file, sha256(p_name) AS h FROM part WHERE p_partkey % 9 <> 0),
+r AS (SELECT p_size AS folder, 'p' || p_partkey AS file, sha256(CASE WHEN p_size % 3 = 1 AND p_partkey % 5 = 0 THEN p_brand ELSE p_name END) AS h FROM part WHERE p_partkey % 9 <> 0 AND p_size % 10 <> 0),
+f AS (SELECT p_size AS folder, 'p' || p_partkey AS file, sha256(CASE WHEN p_size % 3 = 1 AND p_partkey % 5 = 0 THEN p_brand WHEN p_size % 7 = 0 THEN p_type ELSE p_name END) AS h FROM part WHERE p_partkey % 9 <> 0 AND p_size % 11 <> 0),
+j AS (SELECT coalesce(s.folder, r.folder, f.folder) AS folder, s.h AS s, r.h AS r, f.h AS f FROM s FULL JOIN r ON s.folder = r.folder AND s.file = r.file FULL JOIN f ON f.folder = coalesce(s.folder, r.folder) AND f.file = coalesce(s.file, r.file))
+SELECT folder, CASE WHEN count(f) = 0 THEN 'absent' WHEN count(r) = 0 THEN 'unmanaged' WHEN bool_or((r IS NOT NULL AND r IS DISTINCT FROM f) OR (s IS NOT NULL AND r IS NULL AND f IS NOT NULL)) THEN 'modified'
+       WHEN bool_or(s IS DISTINCT FROM r) THEN 'outdated' ELSE 'current' END AS state FROM j GROUP BY folder HAVING count(s) > 0
+""")
+def manifest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").filter("p_partkey % 9 <> 0").withColumn("file", F.concat(F.lit("p"), F.col("p_partkey")))
+    old = F.when((F.col("p_size") % 3 == 1) & (F.col("p_partkey") % 5 == 0), F.col("p_brand"))
+    rows = lambda df, c: df.select(F.col("p_size").alias("folder"), "file", F.sha2(c, 256).alias("sha256"))
+    shipped = rows(p, F.col("p_name"))
+    recorded = rows(p.filter("p_size % 10 <> 0"), F.coalesce(old, "p_name"))
+    found = rows(p.filter("p_size % 11 <> 0"), F.coalesce(old, F.when(F.col("p_size") % 7 == 0, F.col("p_type")), "p_name"))
+    return manifest.states(shipped, recorded, found)
 
 
 # --- texts --------------------------------------------------------------------------------------
@@ -524,13 +639,13 @@ def name_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' # ' ELSE {sql_inline('left(text, 200)')} END AS raw, {sql_inline('text')} AS prompt FROM documents),
+WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' # ' ELSE {sql_inline('text')} END AS raw, {sql_inline('text')} AS prompt FROM documents),
 u AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE raw END AS title, prompt FROM t)
 SELECT doc_id, coalesce(nullif({sql_cut('title', 120)}, ''), {sql_cut('prompt', 60)}) AS title FROM u
 """)
 def title_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
-    s = F.struct(F.when(F.col("doc_id") % 3 == 0, " # ").otherwise(F.substring("text", 1, 200)).alias("title"), F.col("text").alias("first_prompt"))
+    s = F.struct(F.when(F.col("doc_id") % 3 == 0, " # ").otherwise(F.col("text")).alias("title"), F.col("text").alias("first_prompt"))
     return d.select("doc_id", brief.session_title(s).alias("title"))
 
 
@@ -540,22 +655,6 @@ def fence_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.longest_ticks(html).alias("ticks"), tx.fence(html).alias("fence"))
 
 
-_RE = [
-    (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "[redacted]"), (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*", "[redacted]"),
-    (r"(^|[^A-Za-z0-9])sk-[A-Za-z0-9_-]{10,}", r"\1[redacted]"), (r"([a-z][a-z0-9+.-]*://[^/\s:@]+:)[^@\s/]+@", r"\1[redacted]@"),
-    (r"(?i)(--(?:token|password|passwd|secret|api-key|apikey)[= ])\S+", r"\1[redacted]"), (r"\b(Basic|Token|Bearer)(\s+)[A-Za-z._~-]*[0-9+/=][A-Za-z0-9+/=._~-]*", r"\1\2[redacted]"),
-    (r"gh[pousr]_[A-Za-z0-9]{20,}", "[redacted]"), (r"github_pat_[A-Za-z0-9_]{20,}", "[redacted]"), (r"xox[abprs]-[A-Za-z0-9-]{8,}", "[redacted]"), (r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", "[redacted]"),
-    (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[redacted]"), (r"\b(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{10,}", "[redacted]"), (r"\bAIza[0-9A-Za-z_-]{30,}", "[redacted]"), (r"\bnpm_[A-Za-z0-9]{30,}", "[redacted]"),
-    (r"(?i)([A-Za-z0-9_.-]*(?:secret|password|passwd|token|api[_-]?key|private[_-]?key|credential|auth)[A-Za-z0-9_.-]*[\"']?\s*[:=]\s*[\"']?)[^\s\",']+", r"\1[redacted]"),
-]
-
-
-def sql_redact(s: str) -> str:
-    for pattern, to in _RE:
-        s = f"regexp_replace({s}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
-    return s
-
-
 @query(f"SELECT doc_id, {sql_redact('text')} AS safe FROM documents")
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", redact(F.col("text")).alias("safe"))
@@ -622,14 +721,48 @@ def budget_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session_id", brief.first_that_fits(ladder, F.lit(1000)).alias("inject"))
 
 
-@query("""
-WITH r AS (SELECT *, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)
-SELECT conv_id, count(*) AS kept, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM r WHERE back <= 2500 GROUP BY conv_id
+def with_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """briefs() with the last turns of each conversation as activities."""
+    t = digest.tails(conversation_steps(spark, sf_dir)).select(F.col("path").alias("session_id"), "tail")
+    b = briefs(spark, sf_dir).join(t, "session_id")
+    return b.withColumn("primary", F.col("primary").withField("tail", F.col("tail").cast(brief.TAIL))).drop("tail")
+
+
+@query(_BRIEF.rstrip() + rf"""
+, q AS (SELECT session_id, '## skeinlog — unfinished work in repo ' || session_id || chr(10) || '{brief.PREAMBLE}' || chr(10) || 'Last: dialect a · 2h ago · branch b' || session_id
+             || CASE WHEN f <> '' THEN ' · "' || {sql_cut('f', 60)} || '"' ELSE '' END || chr(10) || coalesce('Goal: ' || nullif({sql_cut('f', 2000)}, '') || chr(10), '')
+             || coalesce(CASE WHEN lp <> fp THEN 'Latest ask: ' || nullif({sql_cut('l', 2000)}, '') || chr(10) END, '') || coalesce('Ended with: ' || nullif({sql_cut('m', 4000)}, '') || chr(10), '')
+             || 'Now: 3 uncommitted files, 1 commits since that session' || chr(10) AS head, chr(10) || '→ details: call skeinlog MCP tool get_handoff' || chr(10) AS foot FROM i),
+a AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, role, left(string_split(text, chr(10))[1], 120) AS h, regexp_replace(regexp_replace(left(text, 2000), '^\s+', ''), '\s+$', '') AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n
+      FROM c WHERE role IN ('user', 'assistant')),
+e AS (SELECT session_id, n, '- ' || role || CASE WHEN {sql_inline('h')} <> '' THEN ' · ' || {sql_inline('h')} ELSE '' END || ' · unknown' || chr(10) || CASE WHEN body <> '' THEN repeat(chr(96), 3) || chr(10) || body || chr(10) || repeat(chr(96), 3) || chr(10) ELSE '' END AS entry
+      FROM a WHERE n <= 30),
+s AS (SELECT e.*, 20 + sum(strlen(entry)) OVER (PARTITION BY session_id ORDER BY n) AS back FROM e),
+k AS (SELECT s.session_id, string_agg(entry, '' ORDER BY n DESC) AS tail FROM s JOIN q USING (session_id) WHERE back <= 4000 - strlen(q.head) - strlen(q.foot) GROUP BY s.session_id),
+w AS (SELECT session_id, head || coalesce(chr(10) || '## Recent activity' || chr(10) || tail, '') || foot AS whole FROM q LEFT JOIN k USING (session_id))
+SELECT session_id, CASE WHEN strlen(whole) <= 4000 THEN whole ELSE left(whole, list_max([x FOR x IN range(0, 4001) IF strlen(left(whole, x)) <= 4000])) END AS "full" FROM w
 """)
 def tail_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    c = table(spark, sf_dir, "conversations").withColumn("size", F.octet_length("text")).withColumn("back", F.sum("size").over(w)).filter("back <= 2500")
-    return c.groupBy("conv_id").agg(F.count("*").alias("kept"), F.sum("size").alias("bytes"))
+    return brief.render_full(with_tails(spark, sf_dir), most=4000).select("session_id", "full")
+
+
+@query(_BRIEF.rstrip() + rf"""
+, x AS (SELECT session_id, '## skeinlog — unfinished work in repo ' || session_id || chr(10) || '{brief.PREAMBLE}' || chr(10) || 'Last: dialect a · 2h ago · branch b' || session_id
+             || CASE WHEN f <> '' THEN ' · "' || {sql_cut('f', 60)} || '"' ELSE '' END || chr(10) || 'Handoff note from keeper · 5m ago (full: get_handoff):' || chr(10) AS head,
+             'Now: 3 uncommitted files, 1 commits since that session' || chr(10) || '→ details: call skeinlog MCP tool get_handoff' || chr(10) AS foot,
+             repeat('Line of a note: ' || session_id || chr(10), CAST(CAST(session_id AS BIGINT) % 150 + 1 AS BIGINT)) AS note FROM i),
+z AS (SELECT *, rtrim(note, chr(10)) AS body, strlen('Line of a note: ' || session_id || chr(10)) AS width FROM x),
+v AS (SELECT z.session_id, size, i, head || repeat(chr(96), 3) || chr(10) || CASE WHEN strlen(body) <= size THEN body ELSE rtrim(repeat('Line of a note: ' || session_id || chr(10), CAST(floor((size + 1) / width) AS BIGINT)), chr(10)) || chr(10) || '… (full note: get_handoff)' END
+             || chr(10) || repeat(chr(96), 3) || chr(10) || foot AS brief FROM z, (SELECT unnest([1800, 1500, 1200, 900, 600, 300]) AS size, unnest(range(6)) AS i))
+SELECT session_id, coalesce(arg_min(brief, i) FILTER (WHERE strlen(brief) <= 1200), arg_max(brief, i)) AS inject FROM v GROUP BY session_id
+""")
+def inject_note_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.repeat(F.concat(F.lit("Line of a note: "), F.col("session_id"), F.lit("\n")), (F.col("session_id").cast("bigint") % 150 + 1).cast("int"))
+    note = F.struct(F.lit("keeper").alias("agent"), (now() - F.expr("INTERVAL 5 MINUTES")).alias("at"), own.alias("body"))
+    pieces = brief._pieces(brief.TOOL)
+    rows = briefs(spark, sf_dir).withColumn("note", note).select("session_id", *[v.alias(f"_{k}") for k, v in pieces.items()])
+    c = {k: F.col(f"_{k}") for k in pieces}
+    return rows.select("session_id", brief.first_that_fits(brief.note_ladder(c), F.lit(1200)).alias("inject"))
 
 
 @query("""

@@ -17,6 +17,7 @@ from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.registry import Entry
 
@@ -160,3 +161,33 @@ def find_repos(roots: Iterable[str | Path], depth: int = 4) -> list[str]:
 def save_sessions(sessions: DataFrame, path: str) -> None:
     """Digests as Parquet by agent."""
     sessions.write.mode("overwrite").partitionBy("agent").parquet(path)
+
+
+PROFILE = """# Profile
+
+## About
+(Who you are and what you do.)
+
+## Focus
+(What you are working on now.)
+"""
+
+
+def load_profile(path: str | Path) -> tuple[str, bool]:
+    """A profile's text, and whether it was made just now from the template."""
+    path = Path(path)
+    if path.exists():
+        return path.read_text(encoding="utf-8"), False
+    write_atomic(path, PROFILE)
+    return PROFILE, True
+
+
+def write_index(index: DataFrame, path: str | Path) -> None:
+    """Writes the one row of api.index()."""
+    write_atomic(path, index.first()["index"])
+
+
+def print_json(df: DataFrame) -> Iterator[str]:
+    """Rows as indented JSON, one at a time."""
+    for row in df.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("j")).toLocalIterator():
+        yield row["j"]

@@ -188,7 +188,7 @@ def test_profile_and_doctor(spark):
     assert row["c"] == "# Me\n\n## Likes\n- tea\n\n## Work\n- Rust\n"
     assert [x["header"] for x in row["s"]] == ["", "Likes", "Work"]
     checks = spark.createDataFrame([("a", True, "", ""), ("b", False, "broken", "fix b")], "check string, ok boolean, message string, hint string")
-    assert tuple(api.doctor(checks).first()) == (False, 1, "b · broken · fix b")
+    assert tuple(api.doctor(checks).first()) == (False, 2, 1, "b · broken · fix b")
 
 
 def test_requests(spark):
