@@ -153,23 +153,22 @@ def stars(signs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return signs[first], least, edges[:, 0], edges[:, 1]
 
 
-FACTS = "kind int, a bigint, b bigint, n bigint, node bigint, node2 bigint, rare bigint"
+FACTS = "kind int, key bigint, b bigint, row struct<doc_id:bigint,row_key:bigint,n:bigint,node:bigint,node2:bigint,rare:bigint>"
 ROW, EDGE, SIGN = 0, 1, 2
+ROW_TYPE = pa.struct([(k, pa.int64()) for k in ("doc_id", "row_key", "n", "node", "node2", "rare")])
 
 
 def sign_texts(rows: DataFrame, width: int, p: int, q: int, often: np.ndarray) -> DataFrame:
-    """rows (doc_id, row_key, text) to facts. ROW: a is doc_id, b is row_key, then n, node and node2 (the set's
-    digest) and rare (its infrequent shingles). EDGE: nodes a and b are tied. SIGN: node b signs a."""
+    """rows (doc_id, row_key, text) to facts. ROW: row has the ids, n, node and node2 (the set's digest) and rare (its
+    infrequent shingles); key spreads them. EDGE: nodes key and b are tied. SIGN: node b signs key."""
     packed = np.packbits(often).tobytes()
-    names = ["kind", "a", "b", "n", "node", "node2", "rare"]
 
-    def facts(kind: int, a, b, *rest: np.ndarray) -> pa.RecordBatch:
-        rest = rest or (np.zeros(len(a), np.int64),) * 4
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a if isinstance(a, pa.Array) else pa.array(a), b if isinstance(b, pa.Array) else pa.array(b), *map(pa.array, rest)], names=names)
+    def facts(kind: int, key: np.ndarray, b: np.ndarray, row: pa.Array | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(b), pa.nulls(len(key), ROW_TYPE) if row is None else row], names=["kind", "key", "b", "row"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, signer = WordHashes(), Signer(p, q, np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool))
-        signs, nodes, held = [], [], 0
+        signs, nodes, held, place = [], [], 0, 0
 
         def ties() -> Iterator[pa.RecordBatch]:
             sign, node, a, b = stars(np.concatenate(signs), np.concatenate(nodes))
@@ -183,7 +182,10 @@ def sign_texts(rows: DataFrame, width: int, p: int, q: int, often: np.ndarray) -
                 digests = np.array([set_digest(s) if len(s) else (0, 0) for s in sets], np.int64).reshape(-1, 2)
                 size = np.array([len(s) for s in sets], np.int64)
                 rare = np.array([signer.rare(s) for s in sets], np.int64)
-                yield facts(ROW, batch.column(0), batch.column(1), size, digests[:, 0], digests[:, 1], rare)
+                row = pa.StructArray.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (size, digests[:, 0], digests[:, 1], rare))], fields=list(ROW_TYPE))
+                spread = mix(digests[:, 1].view(np.uint64) + np.arange(place, place + len(sets), dtype=np.uint64)).view(np.int64)
+                place += len(sets)
+                yield facts(ROW, spread, np.zeros(len(sets), np.int64), row)
                 for s, v in zip(sets, digests[:, 0], strict=True):
                     if len(s):
                         signs.append(signer(s))
@@ -199,11 +201,17 @@ def sign_texts(rows: DataFrame, width: int, p: int, q: int, often: np.ndarray) -
 
 
 def tied(facts: DataFrame) -> DataFrame:
-    """Edges (a, b) of the stars. A task has sent a part once, with its least node, so that a part which a third
-    of all sets sign is a row for each task here."""
-    signs = facts.filter(F.col("kind") == SIGN).select(F.col("a").alias("sign"), F.col("b").alias("a"))
-    hub = F.min("a").over(Window.partitionBy("sign").orderBy("a"))  # a running minimum: no group is held in memory
-    return signs.select("a", hub.alias("b")).filter("a <> b").unionByName(facts.filter(F.col("kind") == EDGE).select("a", "b"))
+    """facts with the parts that are signed once left out, and hub: of a SIGN, the least node that signs the same. A
+    task has sent a part once, with its least node, so that a part which a third of all sets sign is a row for each
+    task here. Signs are shuffled, but not stored."""
+    hub = F.min("b").over(Window.partitionBy("kind", "key").orderBy("b"))  # a running minimum: no group is held in memory
+    return facts.withColumn("hub", hub).filter((F.col("kind") != SIGN) | (F.col("b") != F.col("hub")))
+
+
+def star_edges(facts: DataFrame) -> DataFrame:
+    """Edges (a, b) of tied()."""
+    signed = F.col("kind") == SIGN
+    return facts.filter(F.col("kind") != ROW).select(F.when(signed, F.col("b")).otherwise(F.col("key")).alias("a"), F.when(signed, F.col("hub")).otherwise(F.col("b")).alias("b"))
 
 
 TREES = "array<struct<i:bigint,j:bigint,asks:boolean>>"
@@ -300,13 +308,13 @@ def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     row_key that stands for the group)."""
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row_key"), F.col(text).alias("text"))
     counters = count_shingles(rows.select("text"), width)
-    facts = common.store(sign_texts(rows, width, p, q, frequent(counters)))
-    docs = facts.filter(F.col("kind") == ROW).select(F.col("a").alias("doc_id"), F.col("b").alias("row_key"), "n", "node", "node2", "rare")
+    facts = common.store(tied(sign_texts(rows, width, p, q, frequent(counters))))
+    docs = facts.filter(F.col("kind") == ROW).select("row.*")
     own_id = F.struct("doc_id", "row_key")
     classes = docs.filter("n > 0").groupBy("node", "node2").agg(F.max("n").alias("n"), F.max("rare").alias("rare"), F.min(own_id).alias("any"), F.min(F.when(F.col("doc_id").isNotNull(), own_id)).alias("rep"))
     classes = common.store(classes)
 
-    near = connected_components(tied(facts)).join(classes, "node")
+    near = connected_components(star_edges(facts)).join(classes, "node")
     near = near.select("component", "node", "node2", "n", "rare", F.col("any.doc_id").alias("rep_id"), F.col("any.row_key").alias("rep_key"))
     found, further = tree_groups(rows, near, width, p, q, level_of(counters), block)
 
