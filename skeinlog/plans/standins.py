@@ -417,6 +417,100 @@ def active_window_or_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.active(items, F.lit("1998-08-01 00:00:00").cast("timestamp"), current="5").select("name", "has_card", iso("last_seen").alias("last_seen"))
 
 
+# --- cards, indexes, notes as files ---------------------------------------------------------------
+
+
+def full_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of suppliers with every field, some of which have to be quoted in a file."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    facts = F.transform(F.sequence(F.lit(1), (k % 4 + 1).cast("int")), lambda i: F.concat(F.lit("fact "), i.cast("string"), F.lit(" of "), F.col("s_name")))
+    stack = F.when(k % 3 == 0, F.concat(F.lit('"odd": [yes] '), k.cast("string"))).when(k % 3 == 1, F.lit("true")).otherwise("")
+    return s.select(
+        F.concat(F.lit("r"), k).alias("name"), F.concat(F.lit("/srv/n"), F.col("s_nationkey")).alias("path"), F.when(k % 2 == 0, F.concat(F.lit("h/"), k)).otherwise("").alias("remote"), stack.alias("stack"),
+        F.lit("it's: done # almost").alias("status"), F.concat(k.cast("string"), F.lit("e5")).alias("commit"), F.lit("- agent").alias("updated_by"), F.timestamp_seconds(k * 86399 + 1700000000).alias("updated"),
+        F.concat("s_name", F.lit(" ships. Often.")).alias("summary"), F.when(k % 5 == 0, F.array(F.lit("docs/a.md"))).otherwise(F.array().cast("array<string>")).alias("read_more"),
+        F.when(k % 7 == 0, F.array().cast("array<string>")).otherwise(facts).alias("facts"), F.when(k % 4 == 0, "own: 1").otherwise("").alias("extra_front"), F.when(k % 6 == 0, "## Other\ntext").otherwise("").alias("extra_body"),
+    )
+
+
+@query(f"""
+SELECT 'r' || s_suppkey AS name, '/srv/n' || s_nationkey AS path, CASE WHEN s_suppkey % 2 = 0 THEN 'h/' || s_suppkey ELSE '' END AS remote,
+       CASE s_suppkey % 3 WHEN 0 THEN '"odd": [yes] ' || s_suppkey WHEN 1 THEN 'true' ELSE '' END AS stack, 'it''s: done # almost' AS status, s_suppkey || 'e5' AS "commit", '- agent' AS updated_by,
+       {ISO.format('make_timestamp((s_suppkey * 86399 + 1700000000) * 1000000)')} AS updated, s_name || ' ships. Often.' AS summary, CASE WHEN s_suppkey % 5 = 0 THEN 'docs/a.md' ELSE '' END AS read_more,
+       CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE array_to_string(['fact ' || i || ' of ' || s_name FOR i IN range(1, s_suppkey % 4 + 2)], ', ') END AS facts,
+       CASE WHEN s_suppkey % 4 = 0 THEN 'own: 1' ELSE '' END AS extra_front, CASE WHEN s_suppkey % 6 = 0 THEN '## Other' || chr(10) || 'text' ELSE '' END AS extra_body FROM supplier
+""")
+def card_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = full_cards(spark, sf_dir).select(F.concat(F.lit("/cards/"), "name", F.lit(".md")).alias("path"), cards.marshal().alias("value"))
+    more = spark.createDataFrame([("/cards/index.md", "---\nname: x\n---\n"), ("/cards/no.md", "# no card\n")], "path string, value string")
+    out = cards.parse_cards(files.union(more))
+    return out.select("name", "path", "remote", "stack", "status", "commit", "updated_by", iso("updated").alias("updated"), "summary", F.array_join("read_more", ", ").alias("read_more"), F.array_join("facts", ", ").alias("facts"), "extra_front", "extra_body")
+
+
+def seen_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_seen"))
+    return customers(spark, sf_dir).join(o, F.col("c_custkey") == F.col("o_custkey")).select("name", "path", "position", "last_seen")
+
+
+ITEMS = """
+WITH i AS (SELECT 'r' || c_custkey AS name, c_name AS path, coalesce(s_name, '(no card yet)') AS blurb, t
+  FROM customer JOIN (SELECT o_custkey, max(o_orderdate) AS t FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey = c_custkey)
+"""
+
+
+@query(ITEMS + "SELECT '# Projects' || chr(10) || string_agg('- [[' || name || ']] — ' || blurb || ' · ' || path || chr(10), '' ORDER BY name) AS index FROM i")
+def projects_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.index(seen_customers(spark, sf_dir), supplier_cards(spark, sf_dir))
+
+
+@query(ITEMS + f"""
+SELECT name, name || ' · ' || path || ' · ' || blurb || ' · ' || CASE WHEN d < 30 THEN CAST(d AS BIGINT) || 'd ago' WHEN d < 365 THEN CAST(floor(d / 30) AS BIGINT) || 'mo ago' ELSE CAST(floor(d / 365) AS BIGINT) || 'y ago' END AS line
+FROM (SELECT *, floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(t)) / 86400000000.0) AS d FROM i)
+""")
+def projects_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.list_projects(seen_customers(spark, sf_dir), supplier_cards(spark, sf_dir), now())
+
+
+@query("SELECT 'r' || c_custkey AS name, c_name AS path FROM customer WHERE c_custkey = 77")
+def find_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.find(customers(spark, sf_dir), "R77").select("name", "path")
+
+
+@query("""
+SELECT strftime(ts, '%Y-%m-%dT%H-%M-%SZ') || '-agent-' || event_type AS note_id, 'k' || user_id AS key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, 'agent-' || event_type AS agent, props AS body
+FROM events WHERE event_type <> 'click'
+""")
+def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    stamp = F.when(F.col("event_type") == "click", F.lit("2024-13-01T00-00-00Z")).otherwise(F.date_format("ts", notes.STAMP))
+    files = e.select(F.concat(F.lit("/notes/k"), F.col("user_id"), F.lit("/"), stamp, F.lit("-agent-"), F.col("event_type"), F.lit(".md")).alias("path"), F.col("props").alias("value"))
+    return notes.parse_notes(files).select("note_id", "key", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "agent", "body")
+
+
+@query("""
+WITH r AS (SELECT event_id, user_id, event_type, (epoch_us(ts) // 86400000000) * 86400 AS second, ts FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY second, ts) AS i FROM r),
+f AS (SELECT *, max(second - i) OVER (PARTITION BY user_id, event_type ORDER BY i) + i AS free FROM n)
+SELECT event_id, strftime(make_timestamp(free * 1000000), '%Y-%m-%dT%H-%M-%SZ') AS stamp FROM f
+""")
+def note_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day, us = F.lit(86400000000), F.unix_micros("ts")
+    # requests of one day ask for its first second; their order within it is that of the events
+    at = F.timestamp_micros((F.floor(us / day) * day + F.floor(us % day / 86400)).cast("bigint"))
+    out = notes.stamps(table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), F.col("event_type").alias("agent"), at.alias("at")))
+    return out.select("event_id", "stamp")
+
+
+@query("""
+SELECT p_partkey, '# Me' || chr(10) || chr(10) || '## Likes' || chr(10) || '- ' || p_name || chr(10) || '- cake' || chr(10) || chr(10) || '## Work' || chr(10) || '- ' || p_brand || chr(10) AS likes,
+       '# Me' || chr(10) || chr(10) || '## Likes' || chr(10) || '- ' || p_name || chr(10) || chr(10) || '## Work' || chr(10) || '- cake' || chr(10) AS work,
+       '# Me' || chr(10) || chr(10) || '## Likes' || chr(10) || '- ' || p_name || chr(10) || chr(10) || '## Work' || chr(10) || '- ' || p_brand || chr(10) || chr(10) || '## New' || chr(10) || '- cake' || chr(10) AS more FROM part
+""")
+def profile_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("# Me\n\n## Likes\n- "), "p_name", F.lit("\n\n## Work\n- "), "p_brand", F.lit("\n"))
+    return table(spark, sf_dir, "part").select("p_partkey", api.update_profile(text, "LIKES", "cake").alias("likes"), api.update_profile(text, "Work", "cake", append=False).alias("work"), api.update_profile(text, "New", "cake").alias("more"))
+
+
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select("c_custkey", F.concat(F.lit("/"), F.lower("c_mktsegment"), F.lit("/n"), F.col("c_nationkey"), F.lit("/c"), F.col("c_custkey")).alias("root"))
@@ -678,6 +772,40 @@ def url_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.normal_remote(u).alias("remote"))
 
 
+@query(r"""
+SELECT doc_id, CASE WHEN length(line) > 300 THEN rtrim(left(line, 300)) || '…' ELSE line END AS headline FROM (
+  SELECT doc_id, array_to_string([x FOR x IN [regexp_replace(y, '^\s+|\s+$', '', 'g') FOR y IN string_split(text, chr(10))] IF x <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, '<!--')], ' ') AS line FROM documents)
+""")
+def headline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", tx.headline(F.col("text")).alias("headline"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F-\x9F\x{2028}\x{2029}\x{FEFF}]', ' ', 'g'), '\s+', ' ', 'g')) AS line FROM documents")
+def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", tx.sanitize_scalar(F.col("text")).alias("line"))
+
+
+@query(rf"SELECT page_id, chr(96) || replace({sql_inline('html')}, chr(96), chr(39)) || chr(96) AS span FROM (SELECT page_id, replace(html, '<', chr(96)) AS html FROM pages)")
+def code_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", tx.code(F.replace("html", F.lit("<"), F.lit(tx.TICK))).alias("span"))
+
+
+@query(f"""
+SELECT c_custkey, CASE WHEN p = '/building/n1' THEN '~' WHEN starts_with(p, '/building/') THEN '~' || substr(p, 10) ELSE p END AS shown, 'c' || c_custkey AS base, 'n' || c_nationkey AS parent FROM (SELECT *, {PATH} AS p FROM customer)
+""")
+def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("/"), F.lower("c_mktsegment"), F.lit("/n"), F.col("c_nationkey"), F.lit("/c"), F.col("c_custkey")).alias("root"))
+    slashed = F.concat("root", F.lit("//"))
+    return p.select("c_custkey", tx.tilde(F.col("root"), "/building").alias("shown"), tx.basename(slashed).alias("base"), tx.parent_name(slashed).alias("parent"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'said ' || event_type WHEN 1 THEN event_type ELSE '{"other":1}' END AS output FROM events""")
+def output_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 3
+    out = F.when(k == 0, F.to_json(F.struct(F.concat(F.lit("said "), "event_type").alias("output")))).when(k == 1, F.col("event_type")).otherwise('{"other":1}')
+    return table(spark, sf_dir, "events").select("event_id", transcripts.output_text(out).alias("output"))
+
+
 # --- briefs -------------------------------------------------------------------------------------
 
 
