@@ -12,9 +12,17 @@ SESSIONS = 3
 
 def in_repos(sessions: DataFrame, repos: DataFrame, cwd: str = "cwd", root: str = "root") -> DataFrame:
     """Each session with each repository that its working directory is in: the directory's ancestors are
-    exploded and joined by equality, so that no nested loop is needed."""
+    exploded and joined by equality, so that no nested loop is needed. Where repos has alias (see
+    sources.repos.aliases), that is what directories are in; a session counts once for a root."""
     up = sessions.withColumn("_root", F.explode(ancestors(F.col(cwd))))
-    return up.join(repos, up["_root"] == repos[root]).drop("_root")
+    if "alias" not in repos.columns:
+        return up.join(repos, up["_root"] == repos[root]).drop("_root")
+    names = [c for c in repos.columns if c != "alias"]
+    each = repos.groupBy(*names).agg(F.collect_set("alias").alias("_aliases"))
+    found = up.join(each.withColumn("_alias", F.explode("_aliases")), F.col("_root") == F.col("_alias"))
+    # of several aliases that a directory is in, one is kept: the longest
+    up_to = F.array_max(F.filter("_aliases", lambda a: within(F.col(cwd), a)))
+    return found.filter(F.col("_alias") == up_to).drop("_root", "_alias", "_aliases")
 
 
 def recent(sessions: DataFrame, now: Column, days: int = 14, modified: str = "modified") -> DataFrame:

@@ -100,3 +100,9 @@ def resolve(spark: SparkSession, folders: Iterable[str]) -> DataFrame:
     with ThreadPoolExecutor(AT_ONCE) as pool:
         roots = list(pool.map(main_checkout, each))
     return spark.createDataFrame([(c, r or os.path.normpath(c), r is not None) for c, r in zip(each, roots, strict=True)], "cwd string, root string, known boolean")
+
+
+def aliases(spark: SparkSession, roots: Iterable[str]) -> DataFrame:
+    """root, name and alias: each repository under its path as given and, where links lead elsewhere, as resolved."""
+    rows = [(r, os.path.basename(r), a) for r in dict.fromkeys(roots) for a in dict.fromkeys((os.path.normpath(r), os.path.realpath(r)))]
+    return spark.createDataFrame(rows, "root string, name string, alias string")

@@ -15,6 +15,7 @@ than MAX_LINE, unknown types and a last line without a line break give no steps.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Sequence
 from datetime import datetime, timedelta, timezone
@@ -248,7 +249,7 @@ def places(spark: SparkSession, root: str, dialect: str, repos: Sequence[str] |
     """The folders of a dialect's root that can hold transcripts of those repositories (their own and those of
     directories in them) and, of days, not two days or more before since. Only folders are listed here."""
     if dialect == "blocks":
-        slugs = None if repos is None else [project_slug(r.rstrip("/")) for r in repos]
+        slugs = None if repos is None else {project_slug(p) for r in repos for p in (os.path.normpath(r), os.path.realpath(r))}  # as given, and links resolved
         return [f"{root}/{name}" for name in folders(spark, root) if slugs is None or any(name == s or name.startswith(f"{s}-") for s in slugs)]
     out = []
     for year in folders(spark, root):

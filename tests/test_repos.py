@@ -70,6 +70,21 @@ def test_resolve(spark, checkouts):
     assert got[f"{checkouts}/./none"] == (f"{checkouts}/none", False)
 
 
+def test_aliases(spark, checkouts):
+    from skeinlog.operators import select
+    from skeinlog.sources import transcripts
+
+    link = checkouts / "link"
+    link.symlink_to(checkouts / "pond")
+    real = os.path.realpath(checkouts / "pond")
+    repos_ = repos.aliases(spark, [str(link), str(checkouts / "loom")])
+    cwds = [("a", f"{link}/x"), ("b", f"{real}/y/z"), ("c", f"{real}-side"), ("d", real)]
+    got = select.in_repos(spark.createDataFrame(cwds, "id string, cwd string"), repos_)
+    assert sorted((r["id"], r["root"]) for r in got.collect()) == [(x, str(link)) for x in "abd"]
+    (checkouts / "t" / transcripts.project_slug(real)).mkdir(parents=True)
+    assert len(transcripts.places(spark, str(checkouts / "t"), "blocks", [str(link)])) == 1
+
+
 def test_settings_file(tmp_path):
     path = tmp_path / "conf/settings.toml"
     assert config.Settings.load(path) == config.Settings() and path.exists()
