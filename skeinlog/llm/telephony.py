@@ -229,6 +229,4 @@ def read_media(stored: DataFrame, outputs: tuple[str, ...] = ("codec", "payload"
 
 def op5_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store_media(common.documents(spark, sf_dir))
-    out = common.store(read_media(stored, ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")), compression="zstd")
-    common.drop_stored(stored)
-    return out
+    return read_media(stored, ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))
