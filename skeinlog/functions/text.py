@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,21 @@ TICK = chr(96)
 ELLIPSIS = "…"
 
 
+def built_once(make: Callable) -> Callable:
+    """Keeps what make builds for each Spark context and arguments: for expressions of named columns, which take some
+    thousand calls to build and are the same in every query."""
+    kept: dict = {}
+
+    @wraps(make)
+    def get(*args):
+        key = (id(SparkContext._active_spark_context), *args)
+        if key not in kept:
+            kept[key] = make(*args)
+        return kept[key]
+
+    return get
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of value, with value evaluated once however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

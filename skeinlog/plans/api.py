@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, first_sentence, relative_time, repo_key, tilde, trim_space
+from ..functions.text import built_once, collapse, first_sentence, relative_time, repo_key, tilde, trim_space
 from ..operators import cards as card_ops
 from ..operators import digest, notes as note_ops, registry as reg_ops, select
 from ..sources import transcripts
@@ -68,6 +68,7 @@ def list_sessions(sessions: DataFrame, limit: int = DEFAULT_SESSIONS) -> DataFra
     return select.ranked(sessions, limit).select("root", "rank", "agent", F.col("session_id").alias("id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("branch", F.lit("")).alias("branch"), stamp("start").alias("start"), stamp("end").alias("end"), F.col("prompt_count").alias("prompts"))
 
 
+@built_once
 def _digest() -> Column:
     fields = {f.split(":", 1)[0]: f.split(":", 1)[1] for f in ("agent:string", "title:string", "branch:string", "end:timestamp", "first_prompt:string", "last_prompt:string", "last_message:string")}
     cols = [F.coalesce(F.col(k), F.lit("")).alias(k) if t == "string" else F.col(k) for k, t in fields.items()]

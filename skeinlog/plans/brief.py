@@ -7,14 +7,11 @@ of a brief is a concatenation of lines, of which the first that fits is taken.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.redact import scrub
-from ..functions.text import clip, clip_lines, code, cut, fenced, inline, let, relative_time, trim_bytes, trim_space
+from ..functions.text import built_once, clip, clip_lines, code, cut, fenced, inline, let, relative_time, trim_bytes, trim_space
 from ..operators.select import last_failed
 
 TOOL = "skeinlog"
@@ -136,10 +133,9 @@ def _nothing() -> Column:
     return F.col("primary").isNull() & F.col("note").isNull()
 
 
-@lru_cache(maxsize=8)
-def _inject_columns(context: int, tool: str, most: int) -> tuple[list[Column], list[str], Column]:
-    """The pieces as columns, their names, and the brief made of them. Some thousand calls build these expressions, so
-    they are kept for the context that they were built in."""
+@built_once
+def _inject_columns(tool: str, most: int) -> tuple[list[Column], list[str], Column]:
+    """The pieces as columns, their names, and the brief made of them."""
     pieces = _pieces(tool)
     c = {k: F.col(f"_{k}") for k in pieces}
     budget = F.lit(INJECT_BYTES) - F.when(F.col("_section") != "", F.octet_length("_section") + 1).otherwise(0)
@@ -152,7 +148,7 @@ def _inject_columns(context: int, tool: str, most: int) -> tuple[list[Column], l
 
 def render_inject(briefs: DataFrame, tool: str = TOOL, most: int = 20) -> DataFrame:
     """briefs with inject, of 3,072 bytes at most; empty where there is nothing to hand over."""
-    made, names, whole = _inject_columns(id(SparkContext._active_spark_context), tool, most)
+    made, names, whole = _inject_columns(tool, most)
     # columns of their own: fields of a struct would be built anew in every variant
     return briefs.select("*", *made).withColumn("inject", whole).drop(*names)
 
@@ -163,15 +159,23 @@ def tail_entry(t: Column) -> Column:
     return F.concat(F.lit("- "), head, F.lit("\n"), F.when(body != "", fenced(cut(body, 2000))).otherwise(""))
 
 
-def render_full(briefs: DataFrame, tool: str = TOOL, most: int = FULL_BYTES) -> DataFrame:
-    """briefs with full, of most bytes (32,768) at most; the oldest activities go first."""
+@built_once
+def _full_columns(tool: str) -> tuple[Column, Column, Column]:
+    """What stands before the activities, what after them, and the entries of the last ones."""
     parts, p, n = _parts(tool), F.col("primary"), F.col("note")
     note = F.when(n.isNotNull(), F.concat(F.lit("\nNote from "), inline(n["agent"]), F.lit(" · "), relative_time(n["at"], F.col("now")), F.lit(":\n"), fenced(cut(n["body"], 8000)), F.lit("\n")))
     files = _line("\n## Files\n", F.array_join(F.transform(p["files"], lambda f: F.concat(F.lit("- "), file_label(f), F.lit("\n"))), ""), "")
     commands = _line("\n## Commands\n", F.array_join(F.transform(p["commands"], lambda c: F.concat(F.lit("- "), F.when(c["failed"], "✗").otherwise("✓"), F.lit(" "), code(c["command"]), F.lit("\n"))), ""), "")
     head = F.concat_ws("", parts["heading"], note, parts["last"], _line("Goal: ", clip(p["first_prompt"], 2000)), _ask(2000), _line("Ended with: ", clip(p["last_message"], 4000)), _failed(None), parts["now"], parts["others"], files, commands)
     foot = F.concat(F.lit("\n"), parts["end"])
-    rows = briefs.withColumn("_head", head).withColumn("_tail", F.coalesce(F.transform(F.slice(p["tail"], F.greatest(F.size(p["tail"]) - 29, F.lit(1)), 30), tail_entry), F.array().cast("array<string>")))
+    entries = F.coalesce(F.transform(F.slice(p["tail"], F.greatest(F.size(p["tail"]) - 29, F.lit(1)), 30), tail_entry), F.array().cast("array<string>"))
+    return head, foot, entries
+
+
+def render_full(briefs: DataFrame, tool: str = TOOL, most: int = FULL_BYTES) -> DataFrame:
+    """briefs with full, of most bytes (32,768) at most; the oldest activities go first."""
+    head, foot, entries = _full_columns(tool)
+    rows = briefs.withColumn("_head", head).withColumn("_tail", entries)
     title = "\n## Recent activity\n"
     room = F.lit(most) - F.octet_length("_head") - F.octet_length(foot)
     # how many of the newest entries fit: running sizes from the newest back
