@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.redact import redact
+from ..functions.redact import redact, scrub
 from ..operators import cards, digest, manifest, notes, registry, select
 from ..sources import transcripts
 from . import api, brief
@@ -754,6 +754,15 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", redact(F.col("text")).alias("safe"))
 
 
+def sql_trim_bytes(s: str, n: int) -> str:
+    return f"CASE WHEN strlen({s}) <= {n} THEN {s} ELSE left({s}, list_max([k FOR k IN range({n // 4}, {n + 1}) IF strlen(left({s}, k)) <= {n}])) END"
+
+
+@query(f"WITH a AS (SELECT doc_id, {sql_trim_bytes('text', 16384)} AS t FROM documents), b AS (SELECT doc_id, {sql_redact('t')} AS t FROM a) SELECT doc_id, {sql_trim_bytes('t', 8192)} AS safe FROM b")
+def scrub_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", scrub(F.col("text")).alias("safe"))
+
+
 @query(f"SELECT source, count(*) AS n, count(*) FILTER (WHERE text <> {sql_redact('text')}) AS n_redacted FROM documents GROUP BY source")
 def redact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("text") != redact(F.col("text"))).alias("n_redacted"))
@@ -838,6 +847,30 @@ def inject_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brief.render_inject(briefs(spark, sf_dir)).select("session_id", "inject")
 
 
+@query(rf"""
+WITH c AS (SELECT *, regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE conv_id % 2 = 0),
+k AS (SELECT * FROM c WHERE NOT (conv_id % 3 = 0 AND r = 1) AND t <> ''),
+d AS (SELECT conv_id, arg_min(t, turn) FILTER (WHERE role = 'user') AS fp, arg_max(t, turn) FILTER (WHERE role = 'user') AS lp, coalesce(arg_max(text, turn) FILTER (WHERE role = 'assistant'), '') AS lm
+      FROM k GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'user') > 0),
+x AS (SELECT conv_id, {sql_redact('fp')} AS fp, {sql_redact('lp')} AS lp, {sql_redact('lm')} AS lm FROM d),
+i AS (SELECT *, {sql_inline('fp')} AS f, {sql_inline('lp')} AS l, {sql_inline('lm')} AS m FROM x),
+n AS (SELECT conv_id, count(o_orderkey) AS n FROM d LEFT JOIN orders ON o_custkey = conv_id GROUP BY conv_id)
+SELECT '/srv/' || conv_id AS root, '## skeinlog — unfinished work in repo ' || conv_id || chr(10) || '{brief.PREAMBLE}' || chr(10) || 'Last: agent a · unknown' || CASE WHEN f <> '' THEN ' · "' || {sql_cut('f', 60)} || '"' ELSE '' END || chr(10)
+       || coalesce('Goal: ' || nullif({sql_cut('f', 300)}, '') || chr(10), '') || coalesce(CASE WHEN lp <> fp THEN 'Latest ask: ' || nullif({sql_cut('l', 300)}, '') || chr(10) END, '')
+       || coalesce('Ended with: ' || nullif({sql_cut('m', 800)}, '') || chr(10), '') || 'Now: 2 uncommitted files, ' || n || ' commits since that session' || chr(10) || '→ details: call skeinlog MCP tool get_handoff' || chr(10) AS inject
+FROM i JOIN n USING (conv_id)
+""")
+def handoff_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole call: lines to digests, repositories, ranks, scrubbing, repository state, briefs."""
+    d = api.digests(conversation_lines(spark, sf_dir, "blocks"), "blocks", tail=True)
+    d = d.withColumns({"cwd": F.concat(F.lit("/srv/"), "path", F.lit("/src")), "agent": F.lit("agent a"), "session_id": F.col("path"), "source_order": F.lit(0)})
+    roots = d.select(F.concat(F.lit("/srv/"), "path").alias("root"), F.concat(F.lit("repo "), "path").alias("name"))
+    none = spark.createDataFrame([], "key string, note_id string, agent string, at timestamp, body string")
+    git = roots.select("root", F.lit(2).alias("uncommitted"))
+    commits = table(spark, sf_dir, "orders").select(F.concat(F.lit("/srv/"), "o_custkey").alias("root"), F.col("o_orderdate").alias("at"))
+    return api.handoff(api.sessions_of(d, roots, now()), roots, none, git, commits, now()).select("root", "inject")
+
+
 @query(_BRIEF + """
 SELECT session_id, CASE WHEN strlen(head || goal || ask || e800 || foot) <= 1000 THEN head || goal || ask || e800 || foot WHEN strlen(head || goal || e800 || foot) <= 1000 THEN head || goal || e800 || foot
   WHEN strlen(head || goal || e300 || foot) <= 1000 THEN head || goal || e300 || foot ELSE left(head || goal || e300 || foot, list_max([k FOR k IN range(0, 1001) IF strlen(left(head || goal || e300 || foot, k)) <= 1000])) END AS inject FROM p
