@@ -186,18 +186,25 @@ def components(sets: list[np.ndarray], p: int, q: int, levels: np.ndarray | None
     Sets look up their links in the trie, in batches that grow: those outside the largest component found
     so far, until none is left that has not. Links between two sets of that component would join nothing,
     and any other has an end that looked up its links: no component is missed, and a group of near copies
-    costs about one look-up. known: for each set the least index of a set it is known to be joined with;
-    probes: which sets may look up (all if not given).
+    costs about one look-up. known: for each set the least index of a set it is known to be joined with.
+
+    probes: which sets may look up (all if not given); then only links that one of these has are looked for.
+    One that may is left out only if it is in one component with all sets that may not.
     """
     label = np.arange(len(sets)) if known is None else known.copy()
     if len(sets) < 2:
         return label
     trie = Trie(sets, p, q, levels)
-    asked = np.zeros(len(sets), bool) if probes is None else ~probes
-    batch = 1
+    silent = np.zeros(len(sets), bool) if probes is None else ~probes
+    asked, batch = silent.copy(), 1
     while True:
-        anchor = int(np.bincount(label).argmax())
-        todo = np.flatnonzero(~asked & (label != anchor)) if batch > 1 or known is not None else np.flatnonzero(~asked)
+        todo = ~asked
+        if silent.any():
+            if (label[silent] == (anchor := label[silent][0])).all():
+                todo &= label != anchor
+        elif batch > 1:  # the first to ask is anyone
+            todo &= label != int(np.bincount(label).argmax())
+        todo = np.flatnonzero(todo)
         if not len(todo):
             return label
         todo = todo[:batch]
