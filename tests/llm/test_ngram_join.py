@@ -161,3 +161,26 @@ def test_a_chain_across_blocks(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r["doc_id"]: r["component_id"] for r in m.similar_groups(docs, width=3, p=4, q=5, block=900).collect()}
     assert got == {i: 0 if i < 100 else 100 for i, _ in rows}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_families_across_blocks(spark, seed):
+    """Families of near copies that drift apart, some with bridges: most groups of a component lie in several blocks,
+    and the hub's is not always the largest."""
+    rng = random.Random(seed)
+    base, rows = [f"w{rng.randrange(500)}" for _ in range(90)], []
+    for family in range(6):
+        for _ in range(rng.randrange(2, 14)):
+            w = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                w[rng.randrange(len(w))] = f"y{rng.randrange(10_000)}"
+            rows.append((len(rows), " ".join(w)))
+        for _ in range(rng.choice((1, 2, 5))):  # the next family is linked, nearly linked or far
+            base[rng.randrange(len(base))] = f"z{rng.randrange(10_000)}"
+    rng.shuffle(rows)
+    sets = [shingle_set(t, 3) for _, t in rows]
+    roots = brute_components(sets, 4, 5)
+    least = {r: min(i for (i, _), s in zip(rows, roots) if s == r) for r in roots}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in m.similar_groups(docs, width=3, p=4, q=5, block=900).collect()}
+    assert got == {i: least[r] for (i, _), r in zip(rows, roots)}
