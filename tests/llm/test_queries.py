@@ -21,6 +21,9 @@ CONTRACT = {
     "op8_sentencepiece": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     "op9_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op10_ngram_join": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op11_conversation_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
+    "op12_vector_codes": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
+    "op13_repair_tokens": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
 }
 
 
@@ -30,15 +33,20 @@ def tables(spark, docs, tmp_path_factory):
     docs.write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(i, i % 2, 0) for i in range(0, 60, 3)] + [(None, 1, 0), (7, None, 1), (7, 1, 0), (7, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None), (None, None, None, None)], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{at}/conversations.parquet")
+    vectors = [(i, [float(i % 5), -0.5, 0.001 * i] * 16, i % 3) for i in range(70)] + [(None, [1.0] * 48, None), (90, None, 1), (91, [None] * 48, 1), (92, [float("nan")] * 48, 1)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
     return at
 
 
+ROWS = {"op4_chat_format": 3, "op11_conversation_repair": 2, "op12_vector_codes": 71}
+
+
 @pytest.mark.parametrize("name", sorted(CONTRACT))
 def test_contract(spark, docs, tables, name):
     out = registry.queries()[name](spark, tables)
     want = [tuple(c.rsplit(" ", 1)) for c in CONTRACT[name].split(", ")]
     assert out.dtypes[: len(want)] == want
-    assert out.count() == (3 if name.startswith("op4") else docs.count())
+    assert out.count() == ROWS.get(name, docs.count())
 
 
 def test_settings_come_back(spark, tables):
@@ -80,4 +88,4 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert {re.sub(r"_.*", "", n) for n in registry.queries()} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {re.sub(r"_.*", "", n) for n in registry.queries()} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
