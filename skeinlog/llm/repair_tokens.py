@@ -46,8 +46,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END = 2
 #: Ids of a shard before it is closed; pairs taken in a round; the least often a pair must occur.
 SHARD_IDS, ROUND_RULES, LEAST = 1 << 20, 8192, 6
-#: Bytes of text encoded at once, chunks that a worker remembers, and the longest such chunk.
-TEXT_BYTES, TABLE_CHUNKS, LONG_CHUNK = 12 << 20, 400_000, 48
+#: Bytes of text cut at once, chunks given to the library at once, chunks that a worker remembers, and the longest such chunk.
+TEXT_BYTES, AT_ONCE, TABLE_CHUNKS, LONG_CHUNK = 8 << 20, 8192, 300_000, 48
 HEAD = "<4sHHIIIQ"
 #: White space, and what other libraries may take for it, before a space and after it (or the end): such texts are encoded whole.
 _WHITE = "[\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{180E}\\x{2000}-\\x{200F}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{2060}\\x{3000}\\x{FEFF}]"
@@ -81,14 +81,20 @@ class Chunks:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _encode(self, new: list[str]) -> list[bytes]:
+        """By the library, some at a time: what it returns for a chunk is a kilobyte."""
+        out = []
+        for at in range(0, len(new), AT_ONCE):
+            out += [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new[at : at + AT_ONCE], add_special_tokens=False)]
+        return out
+
     def ids(self, chunks: list[str]) -> list[bytes]:
         """Of distinct chunks."""
         known, get = self.young, self.old.get
         found = [known.get(c) or get(c) for c in chunks]
         new = [c for c, f in zip(chunks, found, strict=True) if f is None]
         if new:
-            coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            made = iter([array("i", e.ids).tobytes() for e in coded])
+            made = iter(self._encode(new))
             found = [next(made) if f is None else f for f in found]
         if len(known) + len(chunks) > self.limit // 2:
             self.old, self.young = known, {}
