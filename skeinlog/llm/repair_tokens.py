@@ -17,7 +17,7 @@ end (u64), symbols.
 
 Encoding: a text is cut at spaces; no token of a byte-level vocabulary crosses from one such chunk to the next unless
 white space follows the space and precedes it, and such texts are encoded whole, as are those that hold a special
-token. Each distinct chunk is encoded by the library once per worker, as long as the worker's table remembers it.
+token. Marks between a word and a space are cut off too. Each distinct chunk is encoded by the library once per worker, as long as the worker's table remembers it.
 
 Defined results: a null text is empty, an empty text has its end id only; rows of one doc_id come in the order of
 their texts' hashes, null doc_ids last; repeated rows are documents of their own; a text of any length is one document
@@ -45,13 +45,15 @@ from . import common
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
 #: Ids of a shard before it is closed; pairs taken in a round; the least often a pair must occur.
-SHARD_IDS, ROUND_RULES, LEAST = 1 << 20, 8192, 6
+SHARD_IDS, ROUND_RULES, LEAST = 1 << 20, 1 << 14, 6
 #: Bytes of text cut at once, chunks given to the library at once, chunks that a worker remembers, and the longest such chunk.
-TEXT_BYTES, AT_ONCE, TABLE_CHUNKS, LONG_CHUNK = 8 << 20, 8192, 300_000, 48
+TEXT_BYTES, AT_ONCE, TABLE_CHUNKS, LONG_CHUNK = 8 << 20, 8192, 700_000, 48
 HEAD = "<4sHHIIIQ"
 #: White space, and what other libraries may take for it, before a space and after it (or the end): such texts are encoded whole.
 _WHITE = "[\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{180E}\\x{2000}-\\x{200F}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{2060}\\x{3000}\\x{FEFF}]"
-WHOLE = f"{_WHITE} (?:{_WHITE}|$)"
+WHOLE = f"{_WHITE} (?:{_WHITE}|$)|\\x{{01}}"
+#: Marks after a word are a token of their own and get chunks of their own, which have fewer distinct words then.
+MARKS, APART = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([.,;:!?]+)( |$)", "\\1 \x01\\2\\3"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -118,7 +120,7 @@ def encode_texts(chunks: Chunks, texts: pa.Array, specials: tuple[str, ...] = ()
     whole = pc.match_substring_regex(texts, WHOLE)
     for s in specials:
         whole = pc.or_(whole, pc.match_substring(texts, s))
-    cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+    cut = pc.split_pattern(pc.replace_substring_regex(pc.if_else(whole, "", texts), MARKS, APART), " ")
     offsets = cut.offsets.to_numpy()
     words = cut.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     at = (offsets - offsets[0]).astype(np.int64)
@@ -127,10 +129,10 @@ def encode_texts(chunks: Chunks, texts: pa.Array, specials: tuple[str, ...] = ()
     heads = [names[i] for i in index[at[:-1]].tolist()]
     for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
         heads[i] = texts[int(i)].as_py()
-    # a word after a space is another chunk than the first word of a text; the last entry is the end
+    # a word after a space is another chunk than the first word of a text, and marks follow no space; the last entry is the end
     first: dict[str, int] = {}
     index[at[:-1]] = [len(names) + first.setdefault(h, len(first)) for h in heads]
-    coded = [*chunks.ids([" " + w for w in names]), *chunks.ids(list(first)), struct.pack("<i", end)]
+    coded = [*chunks.ids([w[1:] if w[:1] == "\x01" else " " + w for w in names]), *chunks.ids(list(first)), struct.pack("<i", end)]
     flat = np.frombuffer(b"".join(coded), np.int32)
     lengths = np.fromiter(map(len, coded), np.int64, len(coded)) >> 2
     starts = np.cumsum(lengths) - lengths
