@@ -10,13 +10,13 @@ import warnings
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import built_once, collapse, first_sentence, relative_time, repo_key, tilde, trim_space
 from ..operators import cards as card_ops
 from ..operators import digest, notes as note_ops, registry as reg_ops, select
-from ..sources import transcripts
+from ..sources import files, transcripts
 from .brief import DIGEST, TOOL, render_full, render_inject, scrubbed
 
 MAX_LIST, DEFAULT_SESSIONS, DEFAULT_NOTES = 50, 10, 15
@@ -41,13 +41,71 @@ def load_sessions(spark: SparkSession, roots: dict[str, tuple[str, str]], since:
     return spark.createDataFrame([], no_sessions(tail)) if out is None else out
 
 
-def digests(lines: DataFrame, dialect: str, tail: bool = False) -> DataFrame:
+def digests(lines: DataFrame, dialect: str, tail: bool = False, complete: bool = False) -> DataFrame:
     """Digests of the files of lines (see raw_lines), with their time of modification; a working directory counts if
-    it is named early in the file."""
+    it is named early in the file. complete: as the lines of files.lines are, none of which lacks its line break."""
+    keep = ("modified", *(["whole"] if "whole" in lines.columns else []))
     steps = digest.slim(transcripts.DIALECTS[dialect](lines), tail)
-    steps = transcripts.early_cwd(steps.repartition("path"))
-    steps = transcripts.finished(steps).filter((F.col("kind") != "cwd") | F.col("early"))
-    return digest.sessions(steps, tail, keep=("modified",))
+    return digest.merged(digest.partials(steps, tail, keep, last_apart=not complete), tail, keep, complete)
+
+
+def references(spark: SparkSession, roots: dict[str, tuple[str, str]], repos: DataFrame, since: datetime | None = None, within: Sequence[str] | None = None) -> DataFrame:
+    """The files that belong to repositories, newest first: root, name, n (1 is the newest of its root), agent,
+    dialect, source_order, session_id and the file. Contents are read for the working directory in their first lines
+    only. A source that cannot be listed is left out with a warning."""
+    out = None
+    for order, (agent, (dialect, root)) in enumerate(roots.items()):
+        bounds = files.Bounds()
+        if since is not None:
+            bounds.kept.append(lambda at, x: at != "modified" or x >= files.micros(since))
+        try:
+            found = files.probe(files.listing(spark, root, dialect, bounds, within), dialect)
+        except Exception as e:  # whatever its store says: the other sources still answer
+            warnings.warn(f"source {agent!r} is left out: {e}", stacklevel=2)
+            continue
+        found = found.withColumns({"agent": F.lit(agent), "dialect": F.lit(dialect), "source_order": F.lit(order), "session_id": transcripts.session_id(dialect, F.col("path"))})
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], "folder string, day date, path string, modified timestamp, size bigint, cwd string, agent string, dialect string, source_order int, session_id string")
+    return select.ranked(select.in_repos(out, repos), keep=None).withColumnRenamed("rank", "n")
+
+
+def load_recent(spark: SparkSession, roots: dict[str, tuple[str, str]], repos: DataFrame, limit: int = select.SESSIONS, full: bool = False, since: datetime | None = None, within: Sequence[str] | None = None, seen: list | None = None) -> DataFrame:
+    """The newest sessions of each repository, `limit` at most, as sessions_of() gives them, with whole (all of the
+    file was read). Files are read in waves, newest first and of their ends only: first `limit` of each repository,
+    then twice as many each time of those repositories that have too few sessions yet (a file without a prompt is
+    none). With full each repository's newest session is read as a whole, with its last activities. seen: a list
+    that the number of files of each wave is appended to."""
+    refs = references(spark, roots, repos, since, within).persist()
+    side = ["root", "name", "n", "agent", "dialect", "source_order", "session_id"]
+    file = ["folder", "day", "path", "modified", "size"]
+
+    def read(chosen: DataFrame, whole: bool) -> DataFrame:
+        out = None
+        for dialect in sorted({d for d, _ in roots.values()}):
+            own = chosen.filter(F.col("dialect") == dialect).select(*file).distinct()
+            lines = files.read_whole(own) if whole else files.read_ends(own, dialect)
+            found = digests(lines, dialect, full, complete=True)
+            out = found if out is None else out.unionByName(found)
+        return chosen.select(*side, "path").join(out, "path")
+
+    valid, low, wave = None, 0, limit
+    todo = refs.select("root").distinct()
+    while valid is None or todo.limit(1).count():
+        chosen = refs.filter((F.col("n") > low) & (F.col("n") <= low + wave)).join(todo, "root", "left_semi")
+        if seen is not None:
+            seen.append(chosen.select("path").distinct().count())
+        found = (read(chosen, False) if roots else spark.createDataFrame([], f"root string, name string, n int, {no_sessions(full)}, whole boolean, dialect string")).persist()
+        valid = found if valid is None else valid.unionByName(found)
+        low, wave = low + wave, wave * 2
+        enough = valid.groupBy("root").count().filter(F.col("count") >= limit).select("root")
+        todo = refs.filter(F.col("n") > low).select("root").distinct().join(enough, "root", "left_anti")
+    top = valid.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy("n"))).filter(F.col("rank") <= limit)
+    if full and roots:
+        first = refs.join(top.filter("rank = 1 and not whole").select("root", "n"), ["root", "n"], "left_semi")
+        whole = read(first, True).withColumn("rank", F.lit(1))
+        top = top.filter("rank > 1 or whole").unionByName(whole.select(*top.columns))
+    return select.relative_files(top.drop("n", "dialect", "rank"))
 
 
 def no_sessions(tail: bool) -> str:

@@ -8,6 +8,9 @@ blocks. Dialect `rollout`: a line has a type and a payload. Both give steps
 with kind one of user, assistant, final, command, file, result, title, branch, cwd, entry (a line that
 counts for start and end) and line (one for each line). (line_no, block_no) orders the steps of a file.
 
+A dialect is registered with its layout, its steps, and two small questions about one entry that a reader of only the
+ends of files asks (see files); further dialects are added with register().
+
 Files are read line by line and in splits, so no file is held in memory. A line is parsed once: all its
 steps are made by one expression as an array, and exploded. Lines that aren't JSON objects, longer lines
 than MAX_LINE, unknown types and a last line without a line break give no steps.
@@ -17,7 +20,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -84,7 +88,7 @@ def _explode(lines: DataFrame, events: list[Column], arrays: Sequence[Column] =
     """A row for each event that isn't null; events of a line are made once."""
     line = _event("line", F.lit(None), F.lit(True))
     every = F.concat(F.array(line, *events), *(F.coalesce(a, F.array().cast(f"array<struct<{EVENT}>>")) for a in arrays))
-    keep = [c for c in lines.columns if c in ("path", "modified", "size", "bytes", "line_no")]
+    keep = [c for c in lines.columns if c in ("path", "modified", "size", "bytes", "line_no", "whole")]
     out = lines.select(*keep, F.explode(F.filter(every, lambda e: e.isNotNull())).alias("e"))
     return out.select(*keep, *(F.col(f"e.{f}").alias(f) for f in FIELDS))
 
@@ -220,7 +224,83 @@ def rollout_steps(lines: DataFrame) -> DataFrame:
     ], [patch_files(c("patch"), ts)])
 
 
-DIALECTS = {"blocks": blocks_steps, "rollout": rollout_steps}
+def _text(value: object) -> str:
+    return value if isinstance(value, str) else ""
+
+
+def _dict(value: object) -> dict:
+    return value if isinstance(value, dict) else {}
+
+
+def _texts(content: object, kinds: tuple[str, ...]) -> list[str]:
+    return [_text(b.get("text")) for b in content if isinstance(b, dict) and b.get("type") in kinds] if isinstance(content, list) else []
+
+
+def blocks_seen(entry: dict) -> str | None:
+    """Whether an entry is a prompt or a message, as its steps are."""
+    content = _dict(entry.get("message")).get("content")
+    if entry.get("isSidechain") is True:
+        return None
+    if entry.get("type") == "user" and entry.get("isMeta") is not True:
+        prompt = (content if isinstance(content, str) else "\n".join(t for t in _texts(content, ("text",)) if t)).strip()
+        return "prompt" if prompt and not prompt.startswith(NOT_PROMPTS) else None
+    return "message" if entry.get("type") == "assistant" and any(t.strip() for t in _texts(content, ("text",))) else None
+
+
+def blocks_cwd(entry: dict) -> str | None:
+    return _text(entry.get("cwd")) or None if entry.get("type") in ("user", "assistant") and entry.get("isSidechain") is not True else None
+
+
+def rollout_seen(entry: dict) -> str | None:
+    p = _dict(entry.get("payload"))
+    if entry.get("type") == "event_msg":
+        return "message" if p.get("type") == "task_complete" and _text(p.get("last_agent_message")).strip() else None
+    if entry.get("type") != "response_item" or p.get("type") != "message":
+        return None
+    said = "\n".join(t for t in _texts(p.get("content"), ("input_text", "output_text")) if t.strip()).strip()
+    if p.get("role") == "user":
+        return "prompt" if said and not said.startswith(INJECTED) else None
+    return "message" if said and p.get("role") == "assistant" else None
+
+
+def rollout_cwd(entry: dict) -> str | None:
+    return _text(_dict(entry.get("payload")).get("cwd")) or None if entry.get("type") in ("session_meta", "turn_context") else None
+
+
+@dataclass(frozen=True)
+class Dialect:
+    """What the engine knows of a kind of transcript. layout: `folders` (<root>/<project>/<file>) or `days`
+    (<root>/<y>/<m>/<d>/<file>); prefix: of its files, which end in .jsonl; steps: lines to steps; seen: whether an
+    entry (the JSON object of a line) is a "prompt" or a "message"; cwd: the working directory an entry names;
+    id_pattern: of the session's id in the file's stem, where that is not all of it."""
+
+    name: str
+    layout: str
+    steps: Callable[[DataFrame], DataFrame]
+    seen: Callable[[dict], str | None]
+    cwd: Callable[[dict], str | None]
+    prefix: str = ""
+    id_pattern: str | None = None
+
+    def __call__(self, lines: DataFrame) -> DataFrame:
+        return self.steps(lines)
+
+    def is_file(self, name: str) -> bool:
+        return name.startswith(self.prefix) and name.endswith(".jsonl")
+
+
+DIALECTS: dict[str, Dialect] = {}
+
+
+def register(dialect: Dialect) -> Dialect:
+    if dialect.layout not in ("folders", "days"):
+        raise ValueError("a layout is folders or days")
+    DIALECTS[dialect.name] = dialect
+    return dialect
+
+
+register(Dialect("blocks", "folders", blocks_steps, blocks_seen, blocks_cwd))
+register(Dialect("rollout", "days", rollout_steps, rollout_seen, rollout_cwd, prefix="rollout-", id_pattern=UUID))
 
 
 def file_stem(path: Column) -> Column:
@@ -228,9 +308,9 @@ def file_stem(path: Column) -> Column:
 
 
 def session_id(dialect: str, path: Column) -> Column:
-    """The file's stem; of a rollout the UUID at its end, if there is one."""
-    stem = file_stem(path)
-    return F.coalesce(F.nullif(F.regexp_extract(stem, UUID, 0), F.lit("")), stem) if dialect == "rollout" else stem
+    """The file's stem, or what the dialect's pattern finds in it."""
+    stem, pattern = file_stem(path), DIALECTS[dialect].id_pattern
+    return F.coalesce(F.nullif(F.regexp_extract(stem, pattern, 0), F.lit("")), stem) if pattern else stem
 
 
 def project_slug(path: str) -> str:
@@ -238,6 +318,13 @@ def project_slug(path: str) -> str:
     return re.sub("[^A-Za-z0-9]", "-", path)
 
 
+def folder_test(repos: Iterable[str]) -> Callable[[str], bool]:
+    """Whether a project folder can hold transcripts of those repositories or of directories in them: by their paths
+    as given, and with links resolved."""
+    slugs = {project_slug(p) for r in repos for p in (os.path.normpath(r), os.path.realpath(r))}
+    return lambda name: any(name == s or name.startswith(f"{s}-") for s in slugs)
+
+
 def folders(spark: SparkSession, at: str) -> list[str]:
     """Names of the folders in a folder; none if it doesn't exist."""
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
@@ -248,9 +335,9 @@ def folders(spark: SparkSession, at: str) -> list[str]:
 def places(spark: SparkSession, root: str, dialect: str, repos: Sequence[str] | None = None, since: datetime | None = None) -> list[str]:
     """The folders of a dialect's root that can hold transcripts of those repositories (their own and those of
     directories in them) and, of days, not two days or more before since. Only folders are listed here."""
-    if dialect == "blocks":
-        slugs = None if repos is None else {project_slug(p) for r in repos for p in (os.path.normpath(r), os.path.realpath(r))}  # as given, and links resolved
-        return [f"{root}/{name}" for name in folders(spark, root) if slugs is None or any(name == s or name.startswith(f"{s}-") for s in slugs)]
+    if DIALECTS[dialect].layout == "folders":
+        own = folder_test(repos) if repos is not None else None
+        return [f"{root}/{name}" for name in folders(spark, root) if own is None or own(name)]
     out = []
     for year in folders(spark, root):
         for month in folders(spark, f"{root}/{year}") if re.fullmatch("[0-9]+", year) else []:
@@ -269,7 +356,7 @@ def last_files(spark: SparkSession, folder: str, dialect: str, newest: int) -> l
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
     files = [(-s.getModificationTime(), s.getPath().toString()) for s in listed if s.isFile()]
-    named = [f for f in files if f[1].endswith(".jsonl") and (dialect == "blocks" or f[1].rpartition("/")[2].startswith("rollout-"))]
+    named = [f for f in files if DIALECTS[dialect].is_file(f[1].rpartition("/")[2])]
     return [name for _, name in sorted(named)[:newest]]
 
 
@@ -283,7 +370,7 @@ def discover(spark: SparkSession, root: str, dialect: str, since: datetime | Non
         found = [f for folder in found for f in last_files(spark, folder, dialect, newest)]
     if not found:
         return lines_of(spark.createDataFrame([], "path string, modified timestamp, size bigint, block bigint, line string"))
-    reader = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.jsonl" if dialect == "blocks" else "rollout-*.jsonl").option("ignoreMissingFiles", True)
+    reader = spark.read.option("lineSep", "\n").option("pathGlobFilter", f"{DIALECTS[dialect].prefix}*.jsonl").option("ignoreMissingFiles", True)
     if since is not None:
         # the reader wants later than to the second, in its session's zone; the exact bound is filtered on metadata
         reader = reader.option("modifiedAfter", (since - timedelta(seconds=1)).strftime("%Y-%m-%dT%H:%M:%S")).option("timeZone", "UTC")
