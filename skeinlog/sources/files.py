@@ -418,3 +418,30 @@ def read_whole(files: DataFrame) -> DataFrame:
             yield from read_ranges(ranges)
 
     return rows.mapInArrow(run, SCHEMA)
+
+
+def write_lines(lines: DataFrame, root: str) -> DataFrame:
+    """Writes lines (file, line_no, line) as files under root when it is run: a row of file and bytes for each. A file is
+    written by one task in order, as it comes; a task that is repeated writes it again."""
+    rows = lines.select("file", "line_no", "line").repartition("file").sortWithinPartitions("file", "line_no")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, out, done = None, None, []
+
+        def close() -> None:
+            if out is not None:
+                done.append((name, out.tell()))
+                out.close()
+
+        for batch in batches:
+            for file, line in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if file != name:
+                    close()
+                    store, at = store_of(f"{root}/{file}")
+                    store.create_dir(at.rpartition("/")[0], recursive=True)
+                    name, out = file, store.open_output_stream(at)
+                out.write(line.encode() + b"\n")
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([b for _, b in done], pa.int64())], names=["file", "bytes"])
+
+    return rows.mapInArrow(run, "file string, bytes bigint")

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from skeinlog.plans import standins
+from skeinlog.plans import standins, transcript_standins  # noqa: F401
 
 DATA = Path(os.environ.get("SKEINLOG_TEST_DATA", "/root/testdata/sf0.001"))
 
