@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_line, let
+from ..functions.text import built_once, first_line, let
 
 TAIL = 30
 HEAD_CHARS, BODY_CHARS = 120, 2000
@@ -80,17 +80,9 @@ def slim(steps: DataFrame, tail: bool) -> DataFrame:
     return steps.withColumn("text", F.when(F.col("kind") == "result", F.substring("text", 1, BODY_CHARS) if tail else F.lit("")).otherwise(F.col("text")))
 
 
-def partials(steps: DataFrame, tail: bool = False, keep: tuple[str, ...] = (), last_apart: bool = False) -> DataFrame:
-    """A partial digest (p) for each path and split of it; part, its first line_no, orders them. The columns named in
-    keep are the same in all steps of a path. last_apart: a split's last line is a part of its own, so that it can be left
-    out (see merged)."""
-    split = ["path", "split"]
-    rows = steps.withColumn("line_no", F.col("line_no").cast("bigint")).withColumn("split", F.shiftright("line_no", SPLIT_BITS))
-    rows = rows.repartition(*split)
-    last = (F.col("line_no") == F.max("line_no").over(Window.partitionBy(*split))).cast("int") if last_apart else F.lit(0)
-    rows = activities(with_results(rows.withColumn("part", F.col("split") * 2 + last), "split", "part"))
-    if tail:
-        rows = last_activities(rows, "split", "part")
+@built_once
+def _part_columns(tail: bool, sized: bool) -> tuple[list[str], list[str], list[Column], Column]:
+    """Of partials(): the names of heads and lists, the aggregates of a file in a part, and the part made of them."""
     kind, is_file = F.col("kind"), F.col("kind") == "file"
 
     def value(pick, kinds: tuple[str, ...], of: str = "text", only: Column | bool = True) -> Column:
@@ -109,21 +101,36 @@ def partials(steps: DataFrame, tail: bool = False, keep: tuple[str, ...] = (), l
         "tail": F.when(F.col("n") <= TAIL, F.struct(*AT, *entry())) if tail else F.lit(None).cast(PART["tail"][6:-1]),
         "lines": F.when(kind == "line", F.col("line_no")),
     }
-    # by file first, where steps of other kinds are a file of their own (null); then by part, all in place
-    rows = rows.withColumn("file", F.when(is_file, F.col("text")))
     touch = {"at": F.min(F.when(is_file, F.struct(*AT))), "count": F.count_if(is_file).cast("int"), "ops": F.collect_list(F.when(is_file, F.struct(*AT, "op")))}
-    bytes_, size = (F.col(c) if c in steps.columns else F.lit(None).cast("bigint") for c in ("bytes", "size"))
+    bytes_, size = (F.col(c) if sized else F.lit(None).cast("bigint") for c in ("bytes", "size"))
     sums = {"prompt_count": F.count_if(kind == "user"), "bytes": F.sum(F.when(kind == "line", bytes_ + 1)), "size": F.max(size)}
-    every = {"at_": F.min("line_no")} | found | {k: F.collect_list(v) for k, v in lists.items()} | touch | sums | {f"keep_{k}": F.max(k) for k in keep}
-    per = rows.groupBy(*split, "part", "file").agg(*(v.alias(k) for k, v in every.items()))
+    every = {"at_": F.min("line_no")} | found | {k: F.collect_list(v) for k, v in lists.items()} | touch | sums
+    values = {k: F.col(k) for k in PART}
+    values["files"] = F.transform("files", lambda f: F.struct(f["file"], f["at"]["line_no"], f["at"]["block_no"], f["ops"], f["count"]))
+    values["lines"] = F.slice("lines", 1, CWD_LINES)
+    return list(found), list(lists), [v.alias(k) for k, v in every.items()], F.struct(*(v.alias(k) for k, v in values.items())).cast(PART_TYPE)
+
+
+def partials(steps: DataFrame, tail: bool = False, keep: tuple[str, ...] = (), last_apart: bool = False) -> DataFrame:
+    """A partial digest (p) for each path and split of it; part, its first line_no, orders them. The columns named in
+    keep are the same in all steps of a path. last_apart: a split's last line is a part of its own, so that it can be left
+    out (see merged)."""
+    split = ["path", "split"]
+    rows = steps.withColumn("line_no", F.col("line_no").cast("bigint")).withColumn("split", F.shiftright("line_no", SPLIT_BITS))
+    rows = rows.repartition(*split)
+    last = (F.col("line_no") == F.max("line_no").over(Window.partitionBy(*split))).cast("int") if last_apart else F.lit(0)
+    rows = activities(with_results(rows.withColumn("part", F.col("split") * 2 + last), "split", "part"))
+    if tail:
+        rows = last_activities(rows, "split", "part")
+    found, lists, every, values = _part_columns(tail, {"bytes", "size"} <= set(steps.columns))
+    # by file first, where steps of other kinds are a file of their own (null); then by part, all in place
+    rows = rows.withColumn("file", F.when(F.col("kind") == "file", F.col("text")))
+    per = rows.groupBy(*split, "part", "file").agg(*every, *(F.max(k).alias(f"keep_{k}") for k in keep))
     per = per.withColumn("ops", ops_of("ops"))
     merged = [(F.min if k in FIRSTS else F.max)(k).alias(k) for k in found] + [F.sort_array(F.flatten(F.collect_list(k))).alias(k) for k in lists]
     merged += [F.sum("prompt_count").alias("prompt_count"), F.sum("bytes").alias("bytes"), F.max("size").alias("size"), files_of(F.col("file").isNotNull()).alias("files"), *(F.max(f"keep_{k}").alias(f"keep_{k}") for k in keep)]
     out = per.groupBy(*split, "part").agg(F.min("at_").alias("at_"), *merged)
-    values = {k: F.col(k) for k in PART}
-    values["files"] = F.transform("files", lambda f: F.struct(f["file"], f["at"]["line_no"], f["at"]["block_no"], f["ops"], f["count"]))
-    values["lines"] = F.slice("lines", 1, CWD_LINES)
-    return out.select("path", F.col("at_").alias("part"), F.struct(*(v.alias(k) for k, v in values.items())).cast(PART_TYPE).alias("p"), *(F.col(f"keep_{k}").alias(k) for k in keep))
+    return out.select("path", F.col("at_").alias("part"), values.alias("p"), *(F.col(f"keep_{k}").alias(k) for k in keep))
 
 
 def _opened(p: Column) -> Column:
@@ -176,6 +183,11 @@ def joined(parts: Column) -> Column:
     return let(parts, fold)
 
 
+@built_once
+def _joined_parts() -> Column:
+    return joined(F.col("parts"))
+
+
 def merged(parts: DataFrame, tail: bool = False, keep: tuple[str, ...] = (), complete: bool = True, all_paths: bool = False) -> DataFrame:
     """Digests of partials(): a row for each path with a user prompt (all_paths: for each path). complete=False: where
     lines and breaks don't add up to a file's size its last line has no break and is left out."""
@@ -185,12 +197,12 @@ def merged(parts: DataFrame, tail: bool = False, keep: tuple[str, ...] = (), com
         total = F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + F.coalesce(p["bytes"], F.lit(0)))
         cut = total != F.get("parts", F.lit(0))["size"]
         by = by.withColumn("parts", F.when(cut, F.slice("parts", F.lit(1), F.size("parts") - 1)).otherwise(F.col("parts"))).filter(F.size("parts") > 0)
-    return finished(by.select("path", joined(F.col("parts")).alias("p"), *(F.col(f"keep_{k}").alias(k) for k in keep)), tail, keep, all_paths)
+    return finished(by.select("path", _joined_parts().alias("p"), *(F.col(f"keep_{k}").alias(k) for k in keep)), tail, keep, all_paths)
 
 
-def finished(rows: DataFrame, tail: bool = False, keep: tuple[str, ...] = (), all_paths: bool = False) -> DataFrame:
-    """rows (path, p) whose p covers a whole file, as digests: title, branch, cwd, start, end, prompt_count, first_prompt,
-    last_prompt, last_message, files, commands, with tail the last activities, and keep."""
+@built_once
+def _digest_columns(tail: bool) -> list[Column]:
+    """A digest's columns from the part p that covers its file."""
     p = F.col("p")
     early = (F.size(p["lines"]) < CWD_LINES) | (p["cwd"]["line_no"] <= F.get(p["lines"], F.lit(CWD_LINES - 1)))
     heads = {k: p[k]["x"] for k in FIRSTS + LASTS} | {"cwd": F.when(early, p["cwd"]["x"]), "prompt_count": p["prompt_count"]}
@@ -198,9 +210,15 @@ def finished(rows: DataFrame, tail: bool = False, keep: tuple[str, ...] = (), al
     commands = F.transform(p["commands"], lambda c: F.struct(c["command"].alias("command"), c["failed"].alias("failed")))
     files = F.transform(F.sort_array(F.transform(p["files"], lambda f: F.struct(F.struct(f["line_no"], f["block_no"]).alias("at"), f["file"].alias("file"), f["ops"].alias("ops"), f["count"].alias("count")))), lambda f: F.struct(f["file"].alias("path"), f["ops"].alias("ops"), f["count"].alias("count")))
     last = F.transform(p["tail"], lambda t: F.struct(t["act"].alias("kind"), t["head"].alias("head"), t["body"].alias("body"), t["ts"].alias("at")))
+    return [*(heads[k].alias(k) for k in order), files.alias("files"), commands.alias("commands"), *[last.alias("tail")] * tail]
+
+
+def finished(rows: DataFrame, tail: bool = False, keep: tuple[str, ...] = (), all_paths: bool = False) -> DataFrame:
+    """rows (path, p) whose p covers a whole file, as digests: title, branch, cwd, start, end, prompt_count, first_prompt,
+    last_prompt, last_message, files, commands, with tail the last activities, and keep."""
     if not all_paths:
         rows = rows.filter("p.prompt_count > 0")
-    return rows.select("path", *(heads[k].alias(k) for k in order), files.alias("files"), commands.alias("commands"), *[last.alias("tail")] * tail, *keep)
+    return rows.select("path", *_digest_columns(tail), *keep)
 
 
 def sessions(steps: DataFrame, tail: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
