@@ -2,12 +2,12 @@
 
 Coded bytes are stored as they are in a WAVE file, so storing is lossless. Decoding expands mu-law and
 A-law by tables of 256 entries, and ADPCM blocks with numpy across blocks: all blocks of a batch take
-the same step at once. Decoded 8 kHz PCM is resampled to 16 kHz by linear interpolation in integers.
+the same step at once. Decoded 8 kHz PCM is resampled to 4 kHz in integers: a low-pass of (1, 2, 1) / 4, of which
+every second sample is kept.
 
-Media and PCM are stored as a table, and all that is reported is read back from it. PCM is stored
-losslessly in its predicted form: every second sample as its difference from the mean of its
-neighbours (nothing, if all are the mean), the others as they are (mu-law, A-law) or as differences
-(ADPCM), whichever compresses; and in a column for each codec, so that like is stored with like.
+Media and PCM are stored as a table, and all that is reported is read back from it. Every resampled sample
+is stored, as it is (mu-law, A-law) or as its difference from the one before (ADPCM), whichever compresses;
+in a column for each codec, so that like is stored with like.
 
 An ADPCM block is 64 bytes: a predictor (int16), a step index (taken modulo 89), a reserved byte, and
 120 codes of 4 bits, low half first; it decodes to 121 samples, the predictor first.
@@ -87,35 +87,21 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
 
 
 def resample(pcm: np.ndarray) -> np.ndarray:
-    """Twice the rate: between two samples their mean (rounded down), after the last one itself."""
-    out = np.repeat(pcm, 2)
-    if len(pcm) > 1:
-        out[1:-1:2] = (pcm[:-1].astype(np.int32) + pcm[1:]) >> 1
-    return out
+    """Half the rate: of every second sample the mean of its neighbours (at the ends: itself) and twice itself, rounded
+    to the nearest, halves up."""
+    wide = np.concatenate([pcm[:1], pcm, pcm[-1:]]).astype(np.int32)
+    return ((wide[:-2] + 2 * wide[1:-1] + wide[2:] + 2) >> 2)[::2].astype(np.int16) if len(pcm) else pcm
 
 
-def pack_pcm(up: np.ndarray, codec: str) -> bytes:
-    """The predicted form of resampled PCM: flags, the even samples (flag 1: as differences), and (flag 2) the odd
-    samples less the mean of their neighbours. All modulo 2 ** 16, so it is lossless for any PCM."""
-    even, odd = up[::2], up[1::2]
-    apart = odd - resample(even)[1::2][: len(odd)]
-    differs = codec == "ima_adpcm"
-    first = np.diff(even, prepend=np.int16(0)) if differs else even
-    keep = len(odd) != len(even) or bool(apart.any())
-    return bytes([differs + 2 * keep]) + first.astype("<i2").tobytes() + (apart.astype("<i2").tobytes() if keep else b"")
+def pack_pcm(pcm: np.ndarray, codec: str) -> bytes:
+    """All samples, little-endian; ADPCM's as differences modulo 2 ** 16."""
+    return (np.diff(pcm, prepend=np.int16(0)) if codec == "ima_adpcm" else pcm).astype("<i2").tobytes()
 
 
-def unpack_pcm(packed: bytes) -> np.ndarray:
-    """The inverse of pack_pcm: 16 kHz samples."""
-    both = np.frombuffer(packed, "<i2", offset=1).astype(np.int16)
-    keep = packed[0] & 2
-    half = (len(both) + 1) // 2 if keep else len(both)
-    even = np.cumsum(both[:half], dtype=np.int16) if packed[0] & 1 else both[:half]
-    up = resample(even)
-    if keep:
-        up = up[: len(both)]
-        up[1::2] += both[half:]
-    return up
+def unpack_pcm(packed: bytes, codec: str) -> np.ndarray:
+    """The inverse of pack_pcm."""
+    samples = np.frombuffer(packed, "<i2").astype(np.int16)
+    return np.cumsum(samples, dtype=np.int16) if codec == "ima_adpcm" else samples
 
 
 def payload(text: bytes) -> bytes:
@@ -162,15 +148,15 @@ def decode_batch(coded: list[tuple[str, bytes]]) -> list[np.ndarray]:
     return out
 
 
-def feature(codec: str, pcm: np.ndarray, up: np.ndarray) -> str:
-    """Codec, samples, peak, sum of magnitudes, sign changes, and the crc32 of the resampled PCM; all exact."""
-    wide = pcm.astype(np.int64)
+def feature(codec: str, pcm: np.ndarray) -> str:
+    """Of resampled PCM: codec, samples, peak, sum of magnitudes, sign changes, and the crc32 of the samples; all exact."""
+    size = np.abs(pcm.astype(np.int64))
     crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    return f"{codec};{len(pcm)};{int(np.abs(wide).max(initial=0))};{int(np.abs(wide).sum())};{crossings};{zlib.crc32(up.astype('<i2').tobytes())}"
+    return f"{codec};{len(pcm)};{int(size.max(initial=0))};{int(size.sum())};{crossings};{zlib.crc32(pcm.astype('<i2').tobytes())}"
 
 
 def encode_media(df: DataFrame, text: str = "text", doc_id: str = "doc_id", codecs: tuple[str, ...] = CODECS) -> DataFrame:
-    """doc_id, n_bytes, media (the WAVE file that holds the text's payload) and its packed 16 kHz samples in the
+    """doc_id, n_bytes, media (the WAVE file that holds the text's payload) and its packed 4 kHz samples in the
     pcm_ column of its codec."""
     columns = [f"pcm_{c}" for c in CODECS]
 
@@ -201,19 +187,19 @@ OUTPUTS = {
 
 def read_media(stored: DataFrame, outputs: tuple[str, ...] = ("codec", "payload", "feature")) -> DataFrame:
     """doc_id, n_bytes and, read out of the stored files and samples, any of OUTPUTS: codec, payload, feature (of the
-    PCM), pcm (little-endian 16-bit samples at 16 kHz), and sizes and digests."""
+    PCM), pcm (little-endian 16-bit samples at 4 kHz), and sizes and digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, size=PIECE):
             files = batch.column(2).to_pylist()
             coded = [read_wave(x) for x in files]
             packed = {c: col.to_pylist() for c, col in zip(CODECS, batch.columns[3:], strict=True)}
-            up = [unpack_pcm(packed[c][i]) for i, (c, _) in enumerate(coded)]
+            pcm = [unpack_pcm(packed[c][i], c) for i, (c, _) in enumerate(coded)]
             make = {
                 "codec": lambda: [c for c, _ in coded],
                 "payload": lambda: [d for _, d in coded],
-                "feature": lambda: [feature(c, u[::2], u) for (c, _), u in zip(coded, up, strict=True)],
-                "pcm": lambda: [u.astype("<i2").tobytes() for u in up],
+                "feature": lambda: [feature(c, x) for (c, _), x in zip(coded, pcm, strict=True)],
+                "pcm": lambda: [x.astype("<i2").tobytes() for x in pcm],
                 "payload_bytes": lambda: [len(d) for _, d in coded],
                 "payload_sha256": lambda: [hashlib.sha256(d).hexdigest() for _, d in coded],
                 "tail_crc32": lambda: [zlib.crc32(d[-BLOCK:]) for _, d in coded],
