@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
-from functools import wraps
+from functools import cache, wraps
 
 from pyspark import SparkContext
 from pyspark.sql import Column
@@ -33,6 +34,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+@cache
+def _folds() -> tuple[str, str]:
+    """Each character that simple case folding changes, and what it becomes: one character for another. The standard
+    library knows full folding; where that gives more than one character, lower case is the simple form if it has one."""
+    pairs = []
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        to = c.casefold()
+        to = to if len(to) == 1 else c.lower()
+        if to != c and len(to) == 1:
+            pairs.append((c, to))
+    ascii_ = [(chr(i), chr(i + 32)) for i in range(65, 91)]
+    return "".join(a for a, _ in ascii_ + pairs), "".join(b for _, b in ascii_ + pairs)
+
+
+def fold_case(s: Column) -> Column:
+    """s under simple case folding: equal for two strings that differ in case only, also where lower case differs (long s,
+    the Kelvin sign, final sigma, titlecase digraphs)."""
+    return F.translate(s, *_folds())
+
+
 def trim_space(s: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")

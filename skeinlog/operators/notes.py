@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.redact import redact
-from ..functions.text import basename, inline, repo_key, trim_bytes
+from ..functions.text import basename, fold_case, inline, repo_key, trim_bytes
 
 MAX_BODY = 64 << 10
 STAMP = "yyyy-MM-dd'T'HH-mm-ss'Z'"
@@ -60,7 +60,7 @@ def listing(notes: DataFrame, registry: DataFrame, project: str | None = None, l
     """Notes with the project they belong to, newest first and numbered; the limit is 50 at most."""
     rows = of_projects(notes, registry)
     if project is not None:
-        rows = rows.filter(F.lower("project") == project.lower())
+        rows = rows.filter(fold_case(F.col("project")) == fold_case(F.lit(project)))
     rows = rows.orderBy(F.desc("at"), "note_id", "key").limit(max(0, min(limit, 50)))
     number = F.row_number().over(Window.orderBy(F.desc("at"), "note_id", "key"))
     return rows.select(number.alias("n"), "note_id", "project", F.col("_root").alias("root"), "agent", "at", title(F.col("body")).alias("title"))

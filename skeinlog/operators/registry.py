@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import age_days
+from ..functions.text import age_days, fold_case
 
 # Files whose change makes a card stale (README* stands for any name that begins so).
 KEY_FILES = ("README*", "CLAUDE.md", "AGENTS.md", "package.json", "go.mod", "pyproject.toml", "Cargo.toml")
@@ -77,7 +77,7 @@ def active(items: DataFrame, now: Column, days: int = ACTIVE_DAYS, current: str
 
 def find(registry: DataFrame, name_or_path: str) -> DataFrame:
     """The first entry of that name in any case, else of that path."""
-    named = F.lower("name") == name_or_path.lower()
+    named = fold_case(F.col("name")) == fold_case(F.lit(name_or_path))
     hit = registry.filter(named | ((F.col("path") == name_or_path) if name_or_path.startswith("/") else F.lit(False)))
     return hit.orderBy(F.desc(named), "position").limit(1)
 

@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import built_once, collapse, first_sentence, relative_time, repo_key, tilde, trim_space
+from ..functions.text import built_once, collapse, first_sentence, fold_case, relative_time, repo_key, tilde, trim_space
 from ..operators import cards as card_ops
 from ..operators import digest, notes as note_ops, registry as reg_ops, select
 from ..sources import files, transcripts
@@ -274,7 +274,7 @@ def update_profile(profile: Column, header: str, entry: str, append: bool = True
     """The profile with an entry in the section of that header, in any case: appended, or instead of what is
     there; a new section comes last."""
     sections = profile_sections(profile)
-    same = lambda s: F.lower(s["header"]) == header.lower()
+    same = lambda s: fold_case(s["header"]) == fold_case(F.lit(header))
     line = f"- {entry}\n"
     body = lambda s: F.concat(F.regexp_replace(s["body"], "\n+$", ""), F.when(trim_space(s["body"]) == "", "").otherwise("\n"), F.lit(line)) if append else F.lit(line)
     text = lambda s: F.concat(F.when(s["header"] == "", "").otherwise(F.concat(F.lit("## "), s["header"], F.lit("\n"))), s["body"])
