@@ -378,17 +378,17 @@ def two_phase_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH old AS (SELECT o_custkey, 'c' || o_custkey AS path, 'g' || o_custkey AS remote, 'n' || o_custkey AS name, max(o_orderdate) AS t FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),
+WITH old AS (SELECT o_custkey, 'c' || o_custkey AS path, 'g' || o_custkey AS remote, 'n' || o_custkey AS name, max(o_orderdate) AS t FROM orders WHERE o_orderstatus <> 'O' GROUP BY o_custkey),
 new AS (SELECT o_custkey, CASE WHEN o_custkey % 4 = 0 THEN 'moved' ELSE 'c' END || o_custkey AS path, CASE WHEN o_custkey % 2 = 0 THEN 'g' || o_custkey ELSE '' END AS remote, 'm' || o_custkey AS name, max(o_orderdate) AS t FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey)
 SELECT coalesce(new.path, old.path) AS path, coalesce(nullif(new.remote, ''), old.remote) AS remote, coalesce(old.name, new.name) AS name,
        {ISO.format('CASE WHEN old.t IS NULL OR new.t > old.t THEN new.t ELSE old.t END')} AS last_seen
 FROM old FULL JOIN new ON old.o_custkey = new.o_custkey
 """)
 def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.max("o_orderdate").alias("last_seen"))
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey", (F.col("o_orderstatus") == "O").alias("is_new")).agg(F.max("o_orderdate").alias("last_seen"))
     key = F.col("o_custkey")
-    old = o.filter("o_orderstatus = 'F'").select(F.concat(F.lit("c"), key).alias("path"), F.concat(F.lit("g"), key).alias("remote"), F.concat(F.lit("n"), key).alias("name"), "last_seen")
-    new = o.filter("o_orderstatus = 'O'").select(F.concat(F.when(key % 4 == 0, "moved").otherwise("c"), key).alias("path"), F.when(key % 2 == 0, F.concat(F.lit("g"), key)).otherwise("").alias("remote"), F.concat(F.lit("m"), key).alias("name"), "last_seen")
+    old = o.filter("not is_new").select(F.concat(F.lit("c"), key).alias("path"), F.concat(F.lit("g"), key).alias("remote"), F.concat(F.lit("n"), key).alias("name"), "last_seen")
+    new = o.filter("is_new").select(F.concat(F.when(key % 4 == 0, "moved").otherwise("c"), key).alias("path"), F.when(key % 2 == 0, F.concat(F.lit("g"), key)).otherwise("").alias("remote"), F.concat(F.lit("m"), key).alias("name"), "last_seen")
     return registry.upsert(old, new).withColumn("last_seen", iso("last_seen"))
 
 
@@ -818,17 +818,21 @@ def output_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- briefs -------------------------------------------------------------------------------------
 
 
-def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = session_digest(spark, sf_dir)
+def as_briefs(d: DataFrame) -> DataFrame:
+    """Rows (session_id, first_prompt, last_prompt, last_message and others) as what a brief is rendered from."""
     null = {"agent": F.lit("dialect a"), "title": F.lit(""), "branch": F.concat(F.lit("b"), F.col("session_id")), "end": F.lit("2024-01-31 22:00:00"), "files": F.lit(None), "commands": F.lit(None), "tail": F.lit(None)}
     fields = [f.split(":", 1) for f in ("agent:string", "title:string", "branch:string", "end:timestamp", "first_prompt:string", "last_prompt:string", "last_message:string", f"files:{brief.FILES}", f"commands:{brief.COMMANDS}", f"tail:{brief.TAIL}")]
     primary = F.struct(*[null.get(k, F.col(k)).cast(t).alias(k) for k, t in fields])
     return d.select(
-        F.concat(F.lit("repo "), F.col("session_id")).alias("repo"), now().alias("now"), primary.alias("primary"), F.lit(None).cast(f"array<{brief.DIGEST}>").alias("others"),
-        F.lit(None).cast("struct<agent:string,at:timestamp,body:string>").alias("note"), F.struct(F.lit(3).alias("uncommitted"), F.lit(1).alias("commits")).alias("git"), F.lit(None).cast("struct<names:array<string>,card_state:string,reason:string>").alias("projects"), "session_id",
+        "*", F.concat(F.lit("repo "), F.col("session_id")).alias("repo"), now().alias("now"), primary.alias("primary"), F.lit(None).cast(f"array<{brief.DIGEST}>").alias("others"),
+        F.lit(None).cast("struct<agent:string,at:timestamp,body:string>").alias("note"), F.struct(F.lit(3).alias("uncommitted"), F.lit(1).alias("commits")).alias("git"), F.lit(None).cast("struct<names:array<string>,card_state:string,reason:string>").alias("projects"),
     )
 
 
+def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_briefs(session_digest(spark, sf_dir))
+
+
 _BRIEF = rf"""
 WITH c AS (SELECT conv_id, turn, role, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS text FROM conversations),
 d AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS fp, arg_max(text, turn) FILTER (WHERE role = 'user') AS lp,
@@ -848,7 +852,7 @@ def inject_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH c AS (SELECT *, regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE conv_id % 2 = 0),
+WITH c AS (SELECT *, regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations),
 k AS (SELECT * FROM c WHERE NOT (conv_id % 3 = 0 AND r = 1) AND t <> ''),
 d AS (SELECT conv_id, arg_min(t, turn) FILTER (WHERE role = 'user') AS fp, arg_max(t, turn) FILTER (WHERE role = 'user') AS lp, coalesce(arg_max(text, turn) FILTER (WHERE role = 'assistant'), '') AS lm
       FROM k GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'user') > 0),
@@ -862,7 +866,8 @@ FROM i JOIN n USING (conv_id)
 """)
 def handoff_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole call: lines to digests, repositories, ranks, scrubbing, repository state, briefs."""
-    d = api.digests(conversation_lines(spark, sf_dir, "blocks"), "blocks", tail=True)
+    parts = [api.digests(conversation_lines(spark, sf_dir, d), d, tail=True) for d in ("blocks", "rollout")]
+    d = parts[0].unionByName(parts[1])
     d = d.withColumns({"cwd": F.concat(F.lit("/srv/"), "path", F.lit("/src")), "agent": F.lit("agent a"), "session_id": F.col("path"), "source_order": F.lit(0)})
     roots = d.select(F.concat(F.lit("/srv/"), "path").alias("root"), F.concat(F.lit("repo "), "path").alias("name"))
     none = spark.createDataFrame([], "key string, note_id string, agent string, at timestamp, body string")
@@ -882,6 +887,27 @@ def budget_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session_id", brief.first_that_fits(ladder, F.lit(1000)).alias("inject"))
 
 
+# every other letter of this text takes three bytes
+_WIDE = "translate(coalesce(text, ''), 'aeiounstrl', '愛絵位尾卯雲葉空山川')"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, 'w' || doc_id AS session_id, {_WIDE} AS fp, substr({_WIDE}, 150) AS lp, substr({_WIDE}, 40) AS lm FROM documents),
+i AS (SELECT *, {sql_inline('fp')} AS f, {sql_inline('lp')} AS l, {sql_inline('lm')} AS m FROM d),
+p AS (SELECT doc_id, '## skeinlog — unfinished work in repo ' || session_id || chr(10) || '{brief.PREAMBLE}' || chr(10) || 'Last: dialect a · 2h ago · branch b' || session_id
+             || CASE WHEN f <> '' THEN ' · "' || {sql_cut('f', 60)} || '"' ELSE '' END || chr(10) AS head,
+             coalesce('Goal: ' || nullif({sql_cut('f', 300)}, '') || chr(10), '') AS goal, coalesce(CASE WHEN lp <> fp THEN 'Latest ask: ' || nullif({sql_cut('l', 300)}, '') || chr(10) END, '') AS ask,
+             coalesce('Ended with: ' || nullif({sql_cut('m', 800)}, '') || chr(10), '') AS e800, coalesce('Ended with: ' || nullif({sql_cut('m', 300)}, '') || chr(10), '') AS e300,
+             'Now: 3 uncommitted files, 1 commits since that session' || chr(10) || '→ details: call skeinlog MCP tool get_handoff' || chr(10) AS foot FROM i)
+SELECT doc_id, CASE WHEN strlen(head || goal || ask || e800 || foot) <= 3072 THEN head || goal || ask || e800 || foot WHEN strlen(head || goal || e800 || foot) <= 3072 THEN head || goal || e800 || foot ELSE head || goal || e300 || foot END AS inject FROM p
+""")
+def inject_over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compact briefs of documents as sessions, of which many pass the limit of 3,072 bytes."""
+    wide = F.translate(F.coalesce("text", F.lit("")), "aeiounstrl", "愛絵位尾卯雲葉空山川")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("w"), F.col("doc_id")).alias("session_id"), wide.alias("first_prompt"), F.substring(wide, 150, 1 << 30).alias("last_prompt"), F.substring(wide, 40, 1 << 30).alias("last_message"))
+    return brief.render_inject(as_briefs(rows)).select("doc_id", "inject")
+
+
 def with_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """briefs() with the last turns of each conversation as activities."""
     t = digest.tails(conversation_steps(spark, sf_dir)).select(F.col("path").alias("session_id"), "tail")
