@@ -253,17 +253,26 @@ def join_trees(texts: DataFrame, width: int, p: int, q: int, levels: np.ndarray)
 
 
 def deal(rows: DataFrame, near: DataFrame) -> DataFrame:
-    """The texts of near (component, own1, own2, first, rep_id, rep_key, trees), a row for each of a text's trees,
-    those of a tree in a row, `first` ones first."""
-    rows = common.flag_likely(rows, F.xxhash64("doc_id", "row_key"), near, F.xxhash64("rep_id", "rep_key"), "likely").filter("likely")
-    texts = rows.join(near, rows["doc_id"].eqNullSafe(near["rep_id"]) & (rows["row_key"] == near["rep_key"]))
+    """The texts of near (component, own1, own2, first, rep_id, rep_key, repeated, trees), a row for each of a text's
+    trees, those of a tree in a row, `first` ones first. Where rows repeat a text under one doc_id, one of them goes."""
+
+    def texts_of(near: DataFrame) -> DataFrame:
+        likely = common.flag_likely(rows, F.xxhash64("doc_id", "row_key"), near, F.xxhash64("rep_id", "rep_key"), "likely").filter("likely")
+        texts = likely.join(near, likely["doc_id"].eqNullSafe(near["rep_id"]) & (likely["row_key"] == near["rep_key"]))
+        return texts.select("component", "own1", "own2", "first", "rep_id", "rep_key", "trees", "text")
+
+    texts = texts_of(near.filter("not repeated"))
+    several = near.filter("repeated")
+    if not several.isEmpty():  # with partial aggregates, so that a row that a third of all rows repeat is one row per task
+        one = texts_of(several).groupBy("component", "own1", "own2", "first", "rep_id", "rep_key", "trees").agg(F.min("text").alias("text"))
+        texts = texts.unionByName(one.select(*texts.columns))
     texts = texts.select("component", "own1", "own2", "first", F.explode("trees").alias("at"), "text").select("component", "at.i", "at.j", "at.asks", "own1", "own2", "text", "first")
     texts = texts.repartition(common.partitions(rows.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", F.desc("first"))
     return texts.drop("first")
 
 
 def tree_groups(rows: DataFrame, near: DataFrame, width: int, p: int, q: int, levels: np.ndarray, block: int) -> tuple[DataFrame, DataFrame]:
-    """near (component, node, node2, n, rare, rep_id, rep_key), whose sets are to be joined within components.
+    """near (component, node, node2, n, rare, rep_id, rep_key, repeated), whose sets are to be joined within components.
 
     Two tables: the sets (node, node2) that are part of another's group (to1, to2), and of those groups the ones
     that are part of a further group (g, to)."""
@@ -284,7 +293,7 @@ def tree_groups(rows: DataFrame, near: DataFrame, width: int, p: int, q: int, le
     near = with_total(near, total).withColumns({"blocks": F.coalesce("blocks", F.lit(1).cast("bigint")), "first": F.coalesce((F.col("node") == F.col("hub.node")) & (F.col("node2") == F.col("hub.node2")), F.lit(False))})
     near = common.store(near.withColumn("block", F.pmod(F.xxhash64("node", "node2"), F.col("blocks"))))
     trees = F.when(F.col("first"), F.transform(upto("blocks"), lambda i: tree(i, zero, yes))).otherwise(F.array(tree(F.col("block"), zero, yes))).cast(TREES)
-    asked = near.select("component", F.col("node").alias("own1"), F.col("node2").alias("own2"), "first", "rep_id", "rep_key", trees.alias("trees"))
+    asked = near.select("component", F.col("node").alias("own1"), F.col("node2").alias("own2"), "first", "rep_id", "rep_key", "repeated", trees.alias("trees"))
     found = common.store(join_trees(deal(rows, asked), width, p, q, levels))
 
     # sets of cut components that no tree joined with the hub look for links in every block
@@ -295,7 +304,7 @@ def tree_groups(rows: DataFrame, near: DataFrame, width: int, p: int, q: int, le
     home = F.transform(upto("pieces"), lambda j: tree(F.col("block"), j, F.coalesce(F.col("piece") == j, F.lit(False))))
     away = F.when(F.col("outside"), F.transform(F.filter(upto("blocks"), lambda i: i != F.col("block")), lambda i: tree(i, F.col("piece"), yes)))
     trees = F.concat(home.cast(TREES), F.coalesce(away.cast(TREES), F.array().cast(TREES)))
-    asked = common.store(near.select("component", "own1", "own2", "first", "rep_id", "rep_key", trees.alias("trees")))
+    asked = common.store(near.select("component", "own1", "own2", "first", "rep_id", "rep_key", "repeated", trees.alias("trees")))
     if asked.isEmpty():
         return found, None
     edges = join_trees(deal(rows, asked), width, p, q, levels).select(F.struct("node", "node2").alias("a"), F.struct(F.col("to1").alias("node"), F.col("to2").alias("node2")).alias("b"))
@@ -311,11 +320,11 @@ def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     facts = common.store(tied(sign_texts(rows, width, p, q, frequent(counters))))
     docs = facts.filter(F.col("kind") == ROW).select("row.*")
     own_id = F.struct("doc_id", "row_key")
-    classes = docs.filter("n > 0").groupBy("node", "node2").agg(F.max("n").alias("n"), F.max("rare").alias("rare"), F.min(own_id).alias("any"), F.min(F.when(F.col("doc_id").isNotNull(), own_id)).alias("rep"))
+    classes = docs.filter("n > 0").groupBy("node", "node2").agg(F.max("n").alias("n"), F.max("rare").alias("rare"), F.min(own_id).alias("any"), F.min(F.when(F.col("doc_id").isNotNull(), own_id)).alias("rep"), (F.count("*") > 1).alias("repeated"))
     classes = common.store(classes)
 
     near = connected_components(star_edges(facts)).join(classes, "node")
-    near = near.select("component", "node", "node2", "n", "rare", F.col("any.doc_id").alias("rep_id"), F.col("any.row_key").alias("rep_key"))
+    near = near.select("component", "node", "node2", "n", "rare", F.col("any.doc_id").alias("rep_id"), F.col("any.row_key").alias("rep_key"), "repeated")
     found, further = tree_groups(rows, near, width, p, q, level_of(counters), block)
 
     labels = classes.join(found, ["node", "node2"], "left")

@@ -184,3 +184,23 @@ def test_families_across_blocks(spark, seed):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r["doc_id"]: r["component_id"] for r in m.similar_groups(docs, width=3, p=4, q=5, block=900).collect()}
     assert got == {i: least[r] for (i, _), r in zip(rows, roots)}
+
+
+def test_repeated_rows_are_one_in_a_tree(spark, monkeypatch):
+    """20,000 rows of one doc_id and text, and a near copy: two texts are dealt, and the groups are right."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(500)}" for _ in range(120)]
+    other = [*words[:-1], "x"]
+    rows = [(5, " ".join(words))] * 20_000 + [(9, " ".join(other)), (9, " ".join(other)), (11, "alone in the world of words")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    dealt, real = [], m.deal
+
+    def deal(rows, near):
+        out = real(rows, near)
+        dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(m, "deal", deal)
+    got = {(r["doc_id"], r["component_id"]) for r in m.similar_groups(df).collect()}
+    assert got == {(5, 5), (9, 5), (11, 11)} and dealt[0] == 2
+    assert sorted(r["doc_id"] for r in m.keep_one(df).collect()) == [5, 11]
