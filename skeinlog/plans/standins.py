@@ -57,10 +57,12 @@ def sql_cut(s: str, n: int) -> str:
     return f"CASE WHEN length({s}) > {n} THEN rtrim(left({s}, {n})) || '…' ELSE {s} END"
 
 
+# eight characters at least, one of them a digit or sign: the pattern language has no look-ahead
+_EIGHT = "|".join([*(f"[A-Za-z._~-]{{{k}}}[0-9+/=][A-Za-z0-9+/=._~-]{{{7 - k},}}" for k in range(7)), "[A-Za-z._~-]{7,}[0-9+/=][A-Za-z0-9+/=._~-]*"])
 _RE = [
     (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "[redacted]"), (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*", "[redacted]"),
     (r"(^|[^A-Za-z0-9])sk-[A-Za-z0-9_-]{10,}", r"\1[redacted]"), (r"([a-z][a-z0-9+.-]*://[^/\s:@]+:)[^@\s/]+@", r"\1[redacted]@"),
-    (r"(?i)(--(?:token|password|passwd|secret|api-key|apikey)[= ])\S+", r"\1[redacted]"), (r"\b(Basic|Token|Bearer)(\s+)[A-Za-z._~-]*[0-9+/=][A-Za-z0-9+/=._~-]*", r"\1\2[redacted]"),
+    (r"(?i)(--(?:token|password|passwd|secret|api-key|apikey)[= ])\S+", r"\1[redacted]"), (rf"\b(Basic|Token|Bearer)(\s+)(?:{_EIGHT})", r"\1\2[redacted]"),
     (r"gh[pousr]_[A-Za-z0-9]{20,}", "[redacted]"), (r"github_pat_[A-Za-z0-9_]{20,}", "[redacted]"), (r"xox[abprs]-[A-Za-z0-9-]{8,}", "[redacted]"), (r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", "[redacted]"),
     (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[redacted]"), (r"\b(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{10,}", "[redacted]"), (r"\bAIza[0-9A-Za-z_-]{30,}", "[redacted]"), (r"\bnpm_[A-Za-z0-9]{30,}", "[redacted]"),
     (r"(?i)([A-Za-z0-9_.-]*(?:secret|password|passwd|token|api[_-]?key|private[_-]?key|credential|auth)[A-Za-z0-9_.-]*[\"']?\s*[:=]\s*[\"']?)[^\s\",']+", r"\1[redacted]"),

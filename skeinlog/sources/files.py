@@ -39,7 +39,7 @@ from . import transcripts
 SPLIT_BYTES, SPLIT_BITS = 32 << 20, 33
 #: The windows at a file's end: the first and the largest; lines at its start that may name a working directory.
 WINDOW, MAX_WINDOW, PROBE_LINES = 256 << 10, 4 << 20, 64
-BLOCK, BATCH_BYTES, FILES_PER_TASK = 256 << 10, 4 << 20, 64
+BLOCK, BATCH_BYTES, FILES_PER_TASK, LISTED_HERE = 256 << 10, 4 << 20, 64, 64
 
 SCHEMA = "folder string, day date, path string, modified timestamp, size bigint, line_no bigint, bytes bigint, line string, whole boolean"
 FILE = pa.schema({"folder": pa.string(), "day": pa.date32(), "path": pa.string(), "modified": pa.timestamp("us", "UTC"), "size": pa.int64()})
@@ -105,36 +105,38 @@ def micros(t: datetime) -> int:
     return (whole.days * 86_400 + whole.seconds) * 1_000_000 + whole.microseconds
 
 
-def list_files(root: str, dialect: str, bounds: Bounds | None = None) -> list[File]:
-    """The files of a dialect's root; folders that the bounds rule out are not listed."""
-    d, bounds, root = transcripts.DIALECTS[dialect], bounds or Bounds(), root.rstrip("/")
-    out = []
-
-    def add(folder: str | None, day: date | None, at: str) -> None:
-        bounds.seen.append(at)
-        for name, is_folder, modified, size in _listed(at):
-            if not is_folder and d.is_file(name) and bounds.allow(path=f"{at}/{name}", modified=modified):
-                out.append(File(folder, day, f"{at}/{name}", modified, size))
-
+def list_folders(root: str, dialect: str, bounds: Bounds) -> list[tuple[str | None, date | None, str]]:
+    """folder, day and path of the folders of a dialect's root that the bounds leave; only what is above them is listed."""
+    root = root.rstrip("/")
     names = lambda at: [n for n, is_folder, _, _ in _listed(at) if is_folder]
-    if d.layout == "folders":
-        for name in names(root):
-            if bounds.allow(folder=name, day=None):
-                add(name, None, f"{root}/{name}")
-        return out
+    if transcripts.DIALECTS[dialect].layout == "folders":
+        return [(name, None, f"{root}/{name}") for name in names(root) if bounds.allow(folder=name, day=None)]
     numbers = lambda at: [n for n in names(at) if re.fullmatch("[0-9]+", n)]
+    out = []
     for y in numbers(root):
         for m in numbers(f"{root}/{y}"):
-            for d_ in numbers(f"{root}/{y}/{m}"):
+            for d in numbers(f"{root}/{y}/{m}"):
                 try:
-                    day = date(int(y), int(m), int(d_))
+                    day = date(int(y), int(m), int(d))
                 except ValueError:
                     continue
                 if bounds.allow(day=day, folder=None):
-                    add(None, day, f"{root}/{y}/{m}/{d_}")
+                    out.append((None, day, f"{root}/{y}/{m}/{d}"))
     return out
 
 
+def files_in(folder: str | None, day: date | None, at: str, d: transcripts.Dialect, bounds: Bounds) -> list[File]:
+    return [File(folder, day, f"{at}/{name}", modified, size) for name, is_folder, modified, size in _listed(at) if not is_folder and d.is_file(name) and bounds.allow(path=f"{at}/{name}", modified=modified)]
+
+
+def list_files(root: str, dialect: str, bounds: Bounds | None = None) -> list[File]:
+    """The files of a dialect's root; folders that the bounds rule out are not listed."""
+    bounds = bounds or Bounds()
+    folders = list_folders(root, dialect, bounds)
+    bounds.seen += [at for _, _, at in folders]
+    return [f for folder in folders for f in files_in(*folder, transcripts.DIALECTS[dialect], bounds)]
+
+
 def line_number(start: int) -> int:
     return (start // SPLIT_BYTES) << SPLIT_BITS | start % SPLIT_BYTES
 
@@ -350,13 +352,27 @@ def stream(spark: SparkSession, root: str, dialect: str, since: float | None = N
 
 
 def listing(spark: SparkSession, root: str, dialect: str, bounds: Bounds | None = None, repos: Iterable[str] | None = None) -> DataFrame:
-    """folder, day, path, modified and size of the files, as a listing tells; repos: only folders of these roots."""
+    """folder, day, path, modified and size of the files, as a listing tells; repos: only folders of these roots. The
+    driver lists what is above the folders, and these too where they are few; else each is listed by a task."""
     bounds = bounds or Bounds()
     if repos is not None:
         own = transcripts.folder_test(repos)
         bounds.kept.append(lambda at, x: at != "folder" or x is None or own(x))
-    rows = [_row(f) for f in list_files(root, dialect, bounds)]
-    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(FILE)], schema=FILE))
+    folders, d = list_folders(root, dialect, bounds), transcripts.DIALECTS[dialect]
+    if len(folders) <= LISTED_HERE:
+        return spark.createDataFrame(_table([_row(f) for folder in folders for f in files_in(*folder, d, bounds)]))
+    each = spark.createDataFrame(folders, "folder string, day date, at string").repartition(min(len(folders), 1000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from _table([_row(f) for f in files_in(*folder, d, bounds)]).to_batches()
+
+    return each.mapInArrow(run, "folder string, day date, path string, modified timestamp, size bigint")
+
+
+def _table(rows: list[list]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(FILE)], schema=FILE)
 
 
 def _map_files(files: DataFrame, run: Callable[[Iterator[list]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -108,6 +108,16 @@ def test_what_filters_rule_out_is_neither_listed_nor_opened(folder):
     assert [at.rpartition("/")[2] for at in reader.bounds.seen] == ["-srv-pond"]
 
 
+def test_many_folders_are_listed_by_tasks(spark, folder, monkeypatch):
+    for agent, dialect, repos in (("a", "blocks", None), ("a", "blocks", ["/srv/pond"]), ("b", "rollout", None)):
+        here = sorted(map(tuple, m.listing(spark, f"{folder}/{agent}", dialect, repos=repos).collect()))
+        monkeypatch.setattr(m, "LISTED_HERE", 0)
+        there = m.listing(spark, f"{folder}/{agent}", dialect, repos=repos)
+        assert "MapInArrow" in there._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, there.collect())) == here and here
+        monkeypatch.undo()
+
+
 def padded(n, more=()):
     """A long transcript: a prompt, n long results, then more."""
     return lines([says("the first ask", cwd="/srv/long")]) + lines([message(block("tool_result", tool_use_id="t", content="y" * 900), role="user")] * n) + lines(more)

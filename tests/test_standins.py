@@ -1,12 +1,14 @@
 """Every query that has SQL gives that SQL's rows, on the smallest tables."""
 
 import os
+import sys
 from pathlib import Path
 
 import pytest
 
 from skeinlog.plans import standins, transcript_standins  # noqa: F401
 
+sys.path.insert(0, os.path.dirname(__file__))
 DATA = Path(os.environ.get("SKEINLOG_TEST_DATA", "/root/testdata/sf0.001"))
 
 
@@ -37,3 +39,16 @@ def test_entry_survives_without_llm():
 
     assert set(standins.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_sql_redacts_as_the_engine_does(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from pyspark.sql import functions as F
+    from test_text import MASKED, PLAIN
+
+    from skeinlog.functions.redact import redact
+
+    cases = [*MASKED, *PLAIN, "Token 5", "Bearer a1", "Token abcdef1", "Token abcdefg1", "Basic 1234567", "Basic 12345678.", "Bearer abc.def-ghi/jkl"]
+    got = [r["r"] for r in spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string").orderBy("i").select(redact(F.col("c")).alias("r")).collect()]
+    want = [duckdb.execute(f"SELECT {standins.sql_redact('c')} FROM (SELECT ? AS c)", [c]).fetchone()[0] for c in cases]
+    assert got == want
