@@ -105,11 +105,15 @@ def micros(t: datetime) -> int:
     return (whole.days * 86_400 + whole.seconds) * 1_000_000 + whole.microseconds
 
 
-def list_folders(root: str, dialect: str, bounds: Bounds) -> list[tuple[str | None, date | None, str]]:
+def dialect_of(dialect: str | transcripts.Dialect) -> transcripts.Dialect:
+    return transcripts.DIALECTS[dialect] if isinstance(dialect, str) else dialect
+
+
+def list_folders(root: str, dialect: str | transcripts.Dialect, bounds: Bounds) -> list[tuple[str | None, date | None, str]]:
     """folder, day and path of the folders of a dialect's root that the bounds leave; only what is above them is listed."""
     root = root.rstrip("/")
     names = lambda at: [n for n, is_folder, _, _ in _listed(at) if is_folder]
-    if transcripts.DIALECTS[dialect].layout == "folders":
+    if dialect_of(dialect).layout == "folders":
         return [(name, None, f"{root}/{name}") for name in names(root) if bounds.allow(folder=name, day=None)]
     numbers = lambda at: [n for n in names(at) if re.fullmatch("[0-9]+", n)]
     out = []
@@ -129,12 +133,12 @@ def files_in(folder: str | None, day: date | None, at: str, d: transcripts.Diale
     return [File(folder, day, f"{at}/{name}", modified, size) for name, is_folder, modified, size in _listed(at) if not is_folder and d.is_file(name) and bounds.allow(path=f"{at}/{name}", modified=modified)]
 
 
-def list_files(root: str, dialect: str, bounds: Bounds | None = None) -> list[File]:
+def list_files(root: str, dialect: str | transcripts.Dialect, bounds: Bounds | None = None) -> list[File]:
     """The files of a dialect's root; folders that the bounds rule out are not listed."""
     bounds = bounds or Bounds()
     folders = list_folders(root, dialect, bounds)
     bounds.seen += [at for _, _, at in folders]
-    return [f for folder in folders for f in files_in(*folder, transcripts.DIALECTS[dialect], bounds)]
+    return [f for folder in folders for f in files_in(*folder, dialect_of(dialect), bounds)]
 
 
 def line_number(start: int) -> int:
@@ -279,7 +283,7 @@ def split(ranges: Iterable[tuple[File, int, int]]) -> list[Ranges]:
 
 
 class LineReader(DataSourceReader):
-    def __init__(self, root: str, dialect: str):
+    def __init__(self, root: str, dialect: str | transcripts.Dialect):
         self.root, self.dialect, self.bounds = root, dialect, Bounds()
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -293,7 +297,7 @@ class LineReader(DataSourceReader):
 
 
 class LineStream(DataSourceStreamReader):
-    def __init__(self, root: str, dialect: str, since: float | None):
+    def __init__(self, root: str, dialect: str | transcripts.Dialect, since: float | None):
         self.root, self.dialect, self.since = root, dialect, since
 
     def initialOffset(self) -> dict:
@@ -326,12 +330,22 @@ class LineSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
+    def dialect(self) -> transcripts.Dialect:
+        """What a listing has to know of the dialect: sources are planned in a process of their own, where a dialect that
+        was registered in this one is unknown."""
+        name = self.options.get("dialect", "blocks")
+        known = transcripts.DIALECTS.get(name)
+        layout, prefix = self.options.get("layout", known and known.layout), self.options.get("prefix", known and known.prefix)
+        if layout is None:
+            raise ValueError(f"dialect {name!r} is not known: give its layout and prefix as options, as files.lines does")
+        return transcripts.Dialect(name, layout, None, None, None, prefix or "")
+
     def reader(self, schema) -> LineReader:
-        return LineReader(self.options["path"], self.options.get("dialect", "blocks"))
+        return LineReader(self.options["path"], self.dialect())
 
     def streamReader(self, schema) -> LineStream:
         since = self.options.get("since")
-        return LineStream(self.options["path"], self.options.get("dialect", "blocks"), float(since) if since else None)
+        return LineStream(self.options["path"], self.dialect(), float(since) if since else None)
 
 
 def register(spark: SparkSession) -> SparkSession:
@@ -341,13 +355,18 @@ def register(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _told(reader, dialect: str):
+    d = transcripts.DIALECTS[dialect]
+    return reader.format("skeinlog").option("dialect", dialect).option("layout", d.layout).option("prefix", d.prefix)
+
+
 def lines(spark: SparkSession, root: str, dialect: str) -> DataFrame:
     """The lines of a dialect's root; filter it to have it list and read less."""
-    return register(spark).read.format("skeinlog").option("dialect", dialect).load(root)
+    return _told(register(spark).read, dialect).load(root)
 
 
 def stream(spark: SparkSession, root: str, dialect: str, since: float | None = None) -> DataFrame:
-    reader = register(spark).readStream.format("skeinlog").option("dialect", dialect)
+    reader = _told(register(spark).readStream, dialect)
     return (reader if since is None else reader.option("since", str(since))).load(root)
 
 
