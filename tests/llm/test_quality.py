@@ -223,3 +223,57 @@ def test_ranking_without_labels(docs, no_docs, spark):
 
 def test_judge_of_an_empty_table(no_docs):
     assert weak_rules.judge(no_docs).collect() == []
+
+
+def plain_votes(text):
+    """The votes on a text, counted by hand from the text itself."""
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+    n = len(words)
+    chars = "".join(words)
+    count = lambda kinds: sum(c in kinds for c in text or "")
+    upper, lower = sum("A" <= c <= "Z" for c in chars), sum("a" <= c <= "z" for c in chars)
+    letters = upper + lower + sum("0" <= c <= "9" for c in chars) + sum(ord(c) > 127 for c in chars)
+    lines = [x for x in (text or "").split("\n") if x.strip("\x20\x09\x0a\x0b\x0c\x0d")]
+    windows = {}
+    for i in range(n - 4):
+        windows.setdefault(tuple(words[i : i + 5]), []).append(i)
+    repeated = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(5)}
+
+    def vote(part, of, good, bad, asked=True):
+        if n < 10 or not asked or not of:
+            return 0
+        ratio = part / of
+        return -1 if bad(ratio) else 1 if good(ratio) else 0
+
+    return {
+        "symbols": vote(count("#*$%&|<>"), n, lambda r: r < 0.02, lambda r: r > 0.1),
+        "pipes": vote(count("|"), n, lambda r: r < 0.005, lambda r: r > 0.05),
+        "letters": vote(letters, len(chars), lambda r: r > 0.95, lambda r: r < 0.9),
+        "upper": vote(upper, upper + lower, lambda r: 0.005 < r < 0.12, lambda r: r > 0.25),
+        "bangs": vote(count("!"), n, lambda r: r < 0.02, lambda r: r > 0.2),
+        "stutter": vote(sum(a == b for a, b in zip(words, words[1:])), n, lambda r: r < 0.03, lambda r: r > 0.08),
+        "distinct": vote(len(set(words)), (n * min(n, 400)) ** 0.5, lambda r: r > 0.6, lambda r: r < 0.4, n >= 50),
+        "repeats": vote(len(repeated), n, lambda r: r < 0.05, lambda r: r > 0.1),
+        "lines": vote(len(lines) - len(set(lines)), len(lines), lambda r: r < 0.1, lambda r: r > 0.4, len(lines) >= 3),
+        "stops": vote(count(".!?"), n, lambda r: 0.03 < r < 0.5, lambda r: r < 0.01 or r >= 0.5),
+        "length": vote(len(chars), n, lambda r: 3 < r < 8, lambda r: r > 10 or r < 2),
+        "short": vote(n, 1, lambda r: r >= 40, lambda r: r < 20),
+    }
+
+
+def test_votes_are_those_counted_by_hand(spark, texts):
+    rng = random.Random(6)
+    some = list(texts)
+    for share in (0, 0.005, 0.01, 0.015, 0.03, 0.06, 0.09, 0.15, 0.3, 0.45, 0.7):
+        for change in (lambda w, p: w + "#", lambda w, p: w + "|", lambda w, p: w.upper(), lambda w, p: w + "!", lambda w, p: p, lambda w, p: w + ".", lambda w, p: w * 4, lambda w, p: w[:1], lambda w, p: "same", lambda w, p: w + "\nagain and again\n"):
+            n, out = rng.choice([12, 30, 60, 200]), []
+            for w in (f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice('aeiou')}{rng.choice('xyz')}" for _ in range(n)):
+                out.append(change(w, out[-1] if out else w) if rng.random() < share else w)
+            some.append(" ".join(out))
+    got = {r["doc_id"]: r for r in weak_rules.judge(spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string")).collect()}
+    seen = {}
+    for i, text in enumerate(some):
+        for rule, vote in plain_votes(text).items():
+            assert got[i][f"vote_{rule}"] == vote, (rule, text)
+            seen.setdefault(rule, set()).add(vote)
+    assert all(v == {-1, 0, 1} for v in seen.values()), seen
