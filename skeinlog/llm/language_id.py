@@ -18,7 +18,8 @@ that costs is false positives, which are corrected for, and no trigram.
 
 Defined results: a null text, and a text without a letter, is `und` with score 0, and so is every
 text if nothing was learned; whole texts count, however long; rows without a language teach nothing;
-repeated rows count as often as they occur; null ids are ids like others; an empty table gives an empty
+repeated rows count as often as they occur; null ids are ids like others; columns that are not kept are left out,
+whatever their names, and those that are kept should not be called lang_pred or score; an empty table gives an empty
 table.
 """
 

@@ -11,7 +11,8 @@ is heavy.
 
 Defined results: a null or empty text is one empty line; whole texts count, however long; keys shorter than `min_chars` never go;
 a document is a doc_id: rows that repeat a doc_id count once and lose the same lines; null doc_ids
-are not counted as documents and keep no common line; two lines are the same if their 128-bit hashes are;
+are not counted as documents and keep no common line; of rows of one doc_id none comes before another, they all keep the
+line or all lose it; two lines are the same if their 128-bit hashes are;
 extra columns are kept, whatever their names; an empty table gives an empty table.
 """
 

@@ -8,7 +8,9 @@ library once, and ids are joined back by position. The table belongs to a task a
 before it would pass `table_words` entries (or the words of one batch of texts), so memory is bounded and no word occurrence is ever shuffled.
 
 Defined results: null and empty texts have no ids and decode to the empty text; texts of any length
-are encoded whole; repeated rows give repeated results; an empty table gives an empty table.
+are encoded whole; repeated rows give repeated results; null ids are ids like others; a row depends on its own text
+only, so there are no ties; columns that are not kept are left out, whatever their names, and keeping one that would
+clash with a result is an error; an empty table gives an empty table.
 """
 
 from __future__ import annotations

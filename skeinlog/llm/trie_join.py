@@ -3,6 +3,11 @@
 Sets are stored in a trie under one global order of elements, and sets to look up walk it together,
 a level at a time: the overlap of a set with a path is counted once for all sets below that path, and a
 subtree is left as soon as its sizes, or the overlap so far and what can still come, cannot do.
+
+Which subtrees a set enters is told by an index of each set's last elements, the infrequent ones at the trie's leaves:
+linked sets share one of those, so a walk is led to the leaves that may do and leaves the others' branches untouched.
+The bounds on size and overlap then prune on the way down, for all sets that take a path at once. Without the index a
+walk from the root by the bounds alone would enter every branch of frequent elements before they bite.
 """
 
 from __future__ import annotations
