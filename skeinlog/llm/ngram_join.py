@@ -13,7 +13,9 @@ found in one.
    weakest signed part is stronger: one of the slack + 1 equal parts is signed by it, and hence by
    the other too. Sets are signed for the size class they are in and those their larger partners can be in.
 3. Sets that sign the same part are tied in a star around the least of them, first within each task,
-   so that only one row per task and part is shuffled, then for each part. Connected components of
+   so that a part is sent once by a task, then for each part. What is sent is ten bytes for a part: 40 bits of
+   its hash besides those that tell its bucket, and its least node; a row holds what a task has for a bucket.
+   Signatures or nodes that agree by chance are candidates more, no links. Connected components of
    the stars hold every link. Copies of a set are one node from the start.
 4. One text of each node goes to its component's tree. A component that weighs more than `block` is dealt
    to several trees, and its hub, the set with the fewest infrequent shingles, goes to all of them: what is
@@ -24,7 +26,7 @@ found in one.
 Defined results: words are runs of what isn't ASCII white space, with A-Z lower-cased; a text of
 fewer words than the width is one shingle; null, empty and blank texts have none and are linked with
 nothing. Whole texts count, however long; one that weighs more than `block` is a block of its own. Sets
-are compared by 64-bit shingle hashes and known by a 128-bit digest. A row whose doc_id is null takes
+are compared by 64-bit shingle hashes and known by 104 bits of a digest. A row whose doc_id is null takes
 part in links; its group is the smallest id reachable, or null. Repeated rows get equal results, and
 ties of any kind are broken by digest, id and hash of the text. Extra columns never clash. An empty table
 gives an empty table.
@@ -37,7 +39,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -47,7 +50,8 @@ from .trie_join import components
 
 COUNTER_BITS = 22
 SLICES = 256
-FLUSH = 1 << 18
+#: Signatures that a task ties and sends at once, buckets that they are dealt to, and bits of a node.
+FLUSH, BUCKETS, NODE_BITS = 1 << 20, 1 << 12, 40
 #: What the sets of a tree weigh: their shingles and SET_WEIGHT for each set.
 BLOCK = 100_000
 SET_WEIGHT = 200
@@ -79,9 +83,9 @@ def count_shingles(texts: DataFrame, width: int, bits: int = COUNTER_BITS) -> np
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype("<u4").tobytes() for x in sums.values()], pa.binary())], names=["slice", "counters"])
 
-    shares = common.map_arrow(texts, share, "slice int, counters binary").repartition(min(SLICES, common.partitions(texts.sparkSession)), "slice")
     out = np.zeros((SLICES, step), np.int64)
     with common.small_batches(texts.sparkSession):
+        shares = common.map_arrow(texts, share, "slice int, counters binary").repartition(min(SLICES, common.partitions(texts.sparkSession)), "slice")
         sums = common.map_arrow(shares, add, "slice int, counters binary").collect()  # SLICES rows, of fixed size
     for row in sums:
         out[row["slice"]] = np.frombuffer(row["counters"], "<u4")
@@ -153,39 +157,69 @@ def stars(signs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return signs[first], least, edges[:, 0], edges[:, 1]
 
 
-FACTS = "kind int, key bigint, b bigint, row struct<doc_id:bigint,row_key:bigint,n:bigint,node:bigint,node2:bigint,rare:bigint>"
+FACTS = "kind int, bucket int, a bigint, b bigint, row struct<doc_id:bigint,row_key:bigint,n:bigint,node:bigint,node2:bigint,rare:bigint>, signs binary"
 ROW, EDGE, SIGN = 0, 1, 2
 ROW_TYPE = pa.struct([(k, pa.int64()) for k in ("doc_id", "row_key", "n", "node", "node2", "rare")])
+BUCKET_SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 
 
-def sign_texts(rows: DataFrame, width: int, p: int, q: int, often: np.ndarray) -> DataFrame:
-    """rows (doc_id, row_key, text) to facts. ROW: row has the ids, n, node and node2 (the set's digest) and rare (its
-    infrequent shingles); key spreads them. EDGE: nodes key and b are tied. SIGN: node b signs key."""
-    packed = np.packbits(often).tobytes()
+def facts(kind: int, bucket: np.ndarray, a: np.ndarray | None = None, b: np.ndarray | None = None, row: pa.Array | None = None, signs: pa.Array | None = None) -> pa.RecordBatch:
+    n = len(bucket)
+    cols = [pa.array(np.full(n, kind, np.int32)), pa.array(bucket.astype(np.int32)), *(pa.nulls(n, pa.int64()) if x is None else pa.array(x) for x in (a, b))]
+    cols += [pa.nulls(n, ROW_TYPE) if row is None else row, pa.nulls(n, pa.binary()) if signs is None else signs]
+    return pa.RecordBatch.from_arrays(cols, names=["kind", "bucket", "a", "b", "row", "signs"])
+
+
+def edge_facts(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return facts(EDGE, mix(a.view(np.uint64)) >> BUCKET_SHIFT, a, b)
+
+
+def packed(signs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Buckets of sorted signs, and for each its signs and their nodes, five bytes either."""
+    bucket = signs >> BUCKET_SHIFT
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    both = np.empty((len(signs), 10), np.uint8)
+    both[:, :5] = signs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    both[:, 5:] = nodes.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5]
+    at = np.append(first, len(signs)).astype(np.int32) * 10
+    return bucket[first], pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(both)])
+
+
+def unpacked(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The signs, without their buckets, and nodes of some rows of packed()."""
+    both = np.frombuffer(b"".join(data), np.uint8).reshape(-1, 10)
+    wide = np.zeros((2, len(both), 8), np.uint8)
+    wide[0, :, :5], wide[1, :, :5] = both[:, :5], both[:, 5:]
+    return wide[0].reshape(-1).view("<u8"), wide[1].reshape(-1).view("<i8")
 
-    def facts(kind: int, key: np.ndarray, b: np.ndarray, row: pa.Array | None = None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(b), pa.nulls(len(key), ROW_TYPE) if row is None else row], names=["kind", "key", "b", "row"])
+
+def sign_texts(rows: DataFrame, width: int, p: int, q: int, often: np.ndarray) -> DataFrame:
+    """rows (doc_id, row_key, text) to facts. ROW: row has the ids, n, node and node2 (of the set's digest) and rare (its
+    infrequent shingles); bucket spreads them. EDGE: nodes a and b are tied. SIGN: packed() signs of a bucket."""
+    shared = np.packbits(often).tobytes()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, signer = WordHashes(), Signer(p, q, np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool))
+        words, signer = WordHashes(), Signer(p, q, np.unpackbits(np.frombuffer(shared, np.uint8)).astype(bool))
         signs, nodes, held, place = [], [], 0, 0
 
         def ties() -> Iterator[pa.RecordBatch]:
             sign, node, a, b = stars(np.concatenate(signs), np.concatenate(nodes))
-            yield facts(EDGE, a, b)
-            for i in range(0, len(sign), 1 << 16):
-                yield facts(SIGN, sign[i : i + (1 << 16)].view(np.int64), node[i : i + (1 << 16)])
+            yield edge_facts(a, b)
+            bucket, data = packed(sign, node)
+            for i in range(0, len(bucket), common.BATCH_ROWS):
+                yield facts(SIGN, bucket[i : i + common.BATCH_ROWS], signs=data[i : i + common.BATCH_ROWS])
 
         with np.errstate(over="ignore"):
             for batch in batches:
                 sets = shingle_sets(batch.column(2).cast(pa.binary()).to_pylist(), width, words)
                 digests = np.array([set_digest(s) if len(s) else (0, 0) for s in sets], np.int64).reshape(-1, 2)
+                digests[:, 0] &= (1 << NODE_BITS) - 1
                 size = np.array([len(s) for s in sets], np.int64)
                 rare = np.array([signer.rare(s) for s in sets], np.int64)
                 row = pa.StructArray.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (size, digests[:, 0], digests[:, 1], rare))], fields=list(ROW_TYPE))
-                spread = mix(digests[:, 1].view(np.uint64) + np.arange(place, place + len(sets), dtype=np.uint64)).view(np.int64)
+                spread = mix(digests[:, 1].view(np.uint64) + np.arange(place, place + len(sets), dtype=np.uint64)) >> BUCKET_SHIFT
                 place += len(sets)
-                yield facts(ROW, spread, np.zeros(len(sets), np.int64), row)
+                yield facts(ROW, spread, row=row)
                 for s, v in zip(sets, digests[:, 0], strict=True):
                     if len(s):
                         signs.append(signer(s))
@@ -200,18 +234,40 @@ def sign_texts(rows: DataFrame, width: int, p: int, q: int, often: np.ndarray) -
     return common.map_arrow(rows, sign, FACTS)
 
 
-def tied(facts: DataFrame) -> DataFrame:
-    """facts with the parts that are signed once left out, and hub: of a SIGN, the least node that signs the same. A
-    task has sent a part once, with its least node, so that a part which a third of all sets sign is a row for each
-    task here. Signs are shuffled, but not stored."""
-    hub = F.min("b").over(Window.partitionBy("kind", "key").orderBy("b"))  # a running minimum: no group is held in memory
-    return facts.withColumn("hub", hub).filter((F.col("kind") != SIGN) | (F.col("b") != F.col("hub")))
+def tied(signed: DataFrame) -> DataFrame:
+    """The facts of sign_texts() with edges for signs: those that sets of several tasks have in common. A task has sent
+    a part once, with its least node, so a part that a third of all sets sign is ten bytes for each task here. Signs
+    are shuffled, but not stored; a bucket of them is in memory at a time."""
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, data, edges, held = None, [], [np.zeros((0, 2), np.int64)], 0
 
+        def end() -> None:
+            nonlocal held
+            if len(data) > 1:
+                edges.append(np.stack(stars(*unpacked(data))[2:], axis=1))
+                held += len(edges[-1])
 
-def star_edges(facts: DataFrame) -> DataFrame:
-    """Edges (a, b) of tied()."""
-    signed = F.col("kind") == SIGN
-    return facts.filter(F.col("kind") != ROW).select(F.when(signed, F.col("b")).otherwise(F.col("key")).alias("a"), F.when(signed, F.col("hub")).otherwise(F.col("b")).alias("b"))
+        def found() -> pa.RecordBatch:
+            return edge_facts(*np.unique(np.concatenate(edges), axis=0).T.copy())
+
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                signs = pc.equal(batch.column(0), SIGN)
+                yield batch.filter(pc.invert(signs))
+                for bucket, blob in zip(*batch.filter(signs).select(["bucket", "signs"]).columns, strict=True):
+                    if bucket.as_py() != last:
+                        end()
+                        last, data = bucket.as_py(), []
+                    data.append(blob.as_py())
+                if held >= FLUSH:
+                    yield found()
+                    edges, held = edges[:1], 0
+            end()
+            yield found()
+
+    dealt = signed.repartition(common.partitions(signed.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return common.map_arrow(dealt, tie, FACTS).drop("bucket", "signs")
 
 
 TREES = "array<struct<i:bigint,j:bigint,asks:boolean>>"
@@ -317,13 +373,13 @@ def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     row_key that stands for the group)."""
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row_key"), F.col(text).alias("text"))
     counters = count_shingles(rows.select("text"), width)
-    facts = common.store(tied(sign_texts(rows, width, p, q, frequent(counters))))
-    docs = facts.filter(F.col("kind") == ROW).select("row.*")
+    stored = common.store(tied(sign_texts(rows, width, p, q, frequent(counters))))
+    docs = stored.filter(F.col("kind") == ROW).select("row.*")
     own_id = F.struct("doc_id", "row_key")
     classes = docs.filter("n > 0").groupBy("node", "node2").agg(F.max("n").alias("n"), F.max("rare").alias("rare"), F.min(own_id).alias("any"), F.min(F.when(F.col("doc_id").isNotNull(), own_id)).alias("rep"), (F.count("*") > 1).alias("repeated"))
     classes = common.store(classes)
 
-    near = connected_components(star_edges(facts)).join(classes, "node")
+    near = connected_components(stored.filter(F.col("kind") == EDGE).select("a", "b")).join(classes, "node")
     near = near.select("component", "node", "node2", "n", "rare", F.col("any.doc_id").alias("rep_id"), F.col("any.row_key").alias("rep_key"), "repeated")
     found, further = tree_groups(rows, near, width, p, q, level_of(counters), block)
 

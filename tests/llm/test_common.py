@@ -1,3 +1,4 @@
+import time
 from types import SimpleNamespace
 
 import pyarrow as pa
@@ -40,3 +41,15 @@ def test_mask_misses_no_key(spark, bits):
     assert bits < 24 or sum(r["likely"] for r in got) == 20
     none = common.flag_likely(rows, F.xxhash64("id"), keys.limit(0), F.xxhash64("id"), "likely", bits)
     assert none.filter("likely").count() == 0
+
+
+def test_shuffles_of_a_stored_table_go_at_once(spark):
+    def shuffled():
+        return sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+
+    before, setting = shuffled(), spark.conf.get(common.CLEANUP)
+    out = common.store(spark.range(10_000).repartition(4, "id"))
+    deadline = time.time() + 20
+    while shuffled() > before and time.time() < deadline:
+        time.sleep(0.1)
+    assert shuffled() <= before and out.count() == 10_000 and spark.conf.get(common.CLEANUP) == setting

@@ -204,3 +204,23 @@ def test_repeated_rows_are_one_in_a_tree(spark, monkeypatch):
     got = {(r["doc_id"], r["component_id"]) for r in m.similar_groups(df).collect()}
     assert got == {(5, 5), (9, 5), (11, 11)} and dealt[0] == 2
     assert sorted(r["doc_id"] for r in m.keep_one(df).collect()) == [5, 11]
+
+
+def test_a_signature_is_ten_bytes_and_comes_back():
+    rng = np.random.default_rng(4)
+    signs, nodes = np.sort(rng.integers(0, 1 << 64, 50_000, dtype=np.uint64)), rng.integers(0, 1 << m.NODE_BITS, 50_000)
+    bucket, data = m.packed(signs, nodes)
+    assert data.nbytes <= 11 * len(signs) and len(set(bucket.tolist())) == len(bucket) <= m.BUCKETS
+    keys, back = m.unpacked(data.to_pylist())
+    assert back.tolist() == nodes.tolist() and keys.tolist() == (signs & np.uint64((1 << 40) - 1)).tolist()
+    assert np.repeat(bucket, [len(x) // 10 for x in data.to_pylist()]).tolist() == (signs >> m.BUCKET_SHIFT).tolist()
+
+
+def test_signs_of_several_tasks_are_tied(spark):
+    """One row for each set, edges of sets that sign the same, and no signature is kept."""
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = spark.createDataFrame([(i, i, text + f" x{i}") for i in range(8)] + [(8, 8, " ".join(f"y{i}" for i in range(300)))], "doc_id bigint, row_key bigint, text string").repartition(4)
+    out = m.tied(m.sign_texts(rows, 5, 4, 5, np.zeros(1 << 10, bool))).collect()
+    nodes = {r["row"]["doc_id"]: r["row"]["node"] for r in out if r["kind"] == m.ROW}
+    assert sorted(nodes) == list(range(9)) and {r["kind"] for r in out} == {m.ROW, m.EDGE}
+    assert {x for r in out if r["kind"] == m.EDGE for x in (r["a"], r["b"])} == {nodes[i] for i in range(8)}
