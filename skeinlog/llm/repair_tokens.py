@@ -17,7 +17,9 @@ end (u64), symbols.
 
 Encoding: a text is cut at spaces; no token of a byte-level vocabulary crosses from one such chunk to the next unless
 white space follows the space and precedes it, and such texts are encoded whole, as are those that hold a special
-token. Marks between a word and a space are cut off too. Each distinct chunk is encoded by the library once per worker, as long as the worker's table remembers it.
+token. Marks between a word and a space are cut off too, and so is a line break between two other characters. Each
+distinct chunk is encoded by the library once per worker, as long as the worker's table remembers it; one that is a
+word of letters is a single pre-token, which the library's model takes as it is.
 
 Defined results: a null text is empty, an empty text has its end id only; rows of one doc_id come in the order of
 their texts' hashes, null doc_ids last; repeated rows are documents of their own; a text of any length is one document
@@ -26,6 +28,7 @@ of one shard; extra columns are left out, whatever their names; an empty table g
 
 from __future__ import annotations
 
+import re
 import struct
 import sys
 import types
@@ -52,8 +55,14 @@ HEAD = "<4sHHIIIQ"
 #: White space, and what other libraries may take for it, before a space and after it (or the end): such texts are encoded whole.
 _WHITE = "[\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{180E}\\x{2000}-\\x{200F}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{2060}\\x{3000}\\x{FEFF}]"
 WHOLE = f"{_WHITE} (?:{_WHITE}|$)|\\x{{01}}"
-#: Marks after a word are a token of their own and get chunks of their own, which have fewer distinct words then.
-MARKS, APART = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([.,;:!?]+)( |$)", "\\1 \x01\\2\\3"
+#: Marks after a word are a token of their own and get chunks of their own, which have fewer distinct words then. So does
+#: a line break with no white space beside it. The apostrophe isn't among the marks: it may begin a token with letters.
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
+MARKS, APART = f"({LETTERS})([!-&(-/:-@\\[-`{{-~]+)( |$)", "\\1 \x01\\2\\3"
+BREAK, BROKEN = f"([^{_WHITE[1:]})\n([^{_WHITE[1:]})", "\\1 \x01\n \x01\\2"
+#: Chunks that are one pre-token, and how a byte-level vocabulary writes the bytes of UTF-8 that aren't printed as they are.
+WORD = re.compile(f" ?{LETTERS}+")
+BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -82,12 +91,23 @@ class Chunks:
         self.tokenizer, self.limit = tokenizer, limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        cut, added = tokenizer.pre_tokenizer, tokenizer.get_added_tokens_decoder().values()
+        plain = type(cut).__name__ == "ByteLevel" and cut.use_regex and not cut.add_prefix_space and tokenizer.normalizer is None
+        self.direct = plain and not any(WORD.fullmatch(t.content) for t in added)
 
     def _encode(self, new: list[str]) -> list[bytes]:
-        """By the library, some at a time: what it returns for a chunk is a kilobyte."""
-        out = []
-        for at in range(0, len(new), AT_ONCE):
-            out += [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new[at : at + AT_ONCE], add_special_tokens=False)]
+        """By the library: words of letters by its model, others some at a time, as what it returns for one is a kilobyte."""
+        out: list[bytes] = [b""] * len(new)
+        rest, tokenize = [], self.tokenizer.model.tokenize
+        for i, c in enumerate(new):
+            if self.direct and WORD.fullmatch(c):
+                out[i] = array("i", [t.id for t in tokenize(c.encode().decode("latin-1").translate(BYTES))]).tobytes()
+            else:
+                rest.append(i)
+        for at in range(0, len(rest), AT_ONCE):
+            some = rest[at : at + AT_ONCE]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([new[i] for i in some], add_special_tokens=False), strict=True):
+                out[i] = array("i", e.ids).tobytes()
         return out
 
     def ids(self, chunks: list[str]) -> list[bytes]:
@@ -120,7 +140,7 @@ def encode_texts(chunks: Chunks, texts: pa.Array, specials: tuple[str, ...] = ()
     whole = pc.match_substring_regex(texts, WHOLE)
     for s in specials:
         whole = pc.or_(whole, pc.match_substring(texts, s))
-    cut = pc.split_pattern(pc.replace_substring_regex(pc.if_else(whole, "", texts), MARKS, APART), " ")
+    cut = pc.split_pattern(pc.replace_substring_regex(pc.replace_substring_regex(pc.if_else(whole, "", texts), BREAK, BROKEN), MARKS, APART), " ")
     offsets = cut.offsets.to_numpy()
     words = cut.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     at = (offsets - offsets[0]).astype(np.int64)
@@ -129,7 +149,7 @@ def encode_texts(chunks: Chunks, texts: pa.Array, specials: tuple[str, ...] = ()
     heads = [names[i] for i in index[at[:-1]].tolist()]
     for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
         heads[i] = texts[int(i)].as_py()
-    # a word after a space is another chunk than the first word of a text, and marks follow no space; the last entry is the end
+    # a word after a space is another chunk than the first word of a text, and what was cut off follows no space; the last entry is the end
     first: dict[str, int] = {}
     index[at[:-1]] = [len(names) + first.setdefault(h, len(first)) for h in heads]
     coded = [*chunks.ids([w[1:] if w[:1] == "\x01" else " " + w for w in names]), *chunks.ids(list(first)), struct.pack("<i", end)]

@@ -27,6 +27,29 @@ def test_chunks_equal_the_library(tokenizer):
         assert len(chunks.young) <= limit
 
 
+def test_words_breaks_and_marks_equal_the_library(tokenizer):
+    """Words that the model takes as they are, line breaks and marks that are cut off: the library's ids for the text."""
+    rng = random.Random(6)
+    parts = ["word", "Été", "ÿ", "ɏŁ", "Ω", "漢", "1", "'s", "'", "&&&", "#", "_", "-", "<|", "~", "\n", "\n\n", "\r\n", "\t", "\u0085", "\u00a0", "\u2028", "\x1c", "\u200b", " ", "  ", "\x01", "×", "ª"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(6000)] + ["a.\nB&&& c", "a\nb\nc", "x" * 5000]
+    ids, counts = m.encode_texts(m.Chunks(tokenizer), pa.array(texts, pa.string()), ("<|endoftext|>",))
+    want = [[*e.ids, m.END] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_few_chunks_reach_the_batches_of_the_library(tokenizer):
+    class Counted(m.Chunks):
+        asked = []
+
+        def ids(self, chunks):
+            self.asked += chunks
+            return super().ids(chunks)
+
+    chunks = Counted(tokenizer)
+    m.encode_texts(chunks, pa.array(["see end.\nNext&&& word."]))
+    assert sorted(chunks.asked) == sorted(["see", " see", " end", ".", "\n", "Next", "&&&", " word"]) and chunks.direct
+
+
 def documents(rng, n, kinds):
     docs = [[*(rng.randrange(kinds) for _ in range(rng.randrange(0, 200))), m.END] for _ in range(n)]
     docs += [docs[0]] * 5 + [[7] * 1000 + [m.END], [1, 2, 1, 2, 2, 2, 2], [m.END]]
