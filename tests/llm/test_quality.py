@@ -277,3 +277,42 @@ def test_votes_are_those_counted_by_hand(spark, texts):
             assert got[i][f"vote_{rule}"] == vote, (rule, text)
             seen.setdefault(rule, set()).add(vote)
     assert all(v == {-1, 0, 1} for v in seen.values()), seen
+
+
+def test_every_labelled_document_counts(spark):
+    """Fitted in blocks by Spark: gradient descent on all pairs within the blocks ends at the same model, whatever label is
+    rare, and no labelled row is left out."""
+    rng = np.random.default_rng(3)
+    for n_bad, block in ((150, 100), (9, 50), (291, 60)):
+        x = rng.normal(size=(300, 3))
+        good = np.argsort(np.argsort(x @ [1.0, -2.0, 0.5] + rng.normal(size=300))) >= n_bad
+        draw = np.arange(300) * 7919 % 1009
+        got = spark.createDataFrame([(bool(g), [float(v) for v in r], int(d)) for g, r, d in zip(good, x, draw)], "good boolean, x array<double>, draw bigint").repartition(5)
+        model = bradley_terry.fit_blocks(got, 300, int(good.sum()), block, ridge=0.01)
+        z = (x - x.mean(axis=0)) / x.std(axis=0)
+        rare = min(n_bad, 300 - n_bad)
+        all_over = rare < 16 * (300 // block) and rare <= block
+        blocks = 300 // block if all_over else min(300 // block, rare // 16)
+        meets = lambda i, j: all_over or draw[i] % blocks == draw[j] % blocks
+        d = np.array([z[i] - z[j] for i in np.flatnonzero(good) for j in np.flatnonzero(~good) if meets(i, j)])
+        assert not all_over or len(d) == n_bad * (300 - n_bad)
+        w = np.zeros(3)
+        for _ in range(2000):
+            w = w - 0.5 * (-(d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) + 0.01 * w)
+        assert np.abs(w - model.weights).max() < 1e-3
+        assert abs(model.threshold - np.quantile(z @ model.weights, 1 - good.mean())) < 1e-9
+
+
+def test_order_statistics(spark):
+    values = [0.0] * 50 + [1e-300, 5e-324, 1.0, 1.0 + 2**-52, -7.5, 1e9] + [i / 7 for i in range(40)]
+    at = [0, 1, 49, 51, 52, 60, len(values) - 1]
+    assert bradley_terry.order_statistics(spark.createDataFrame([(v,) for v in values], "s double"), at) == [sorted(values)[k] for k in at]
+
+
+def test_many_labels_are_all_fitted(spark, monkeypatch):
+    seen, real = [], bradley_terry.fit_blocks
+    monkeypatch.setattr(bradley_terry, "fit_blocks", lambda got, *a: seen.append(got.count()) or real(got, *a))
+    docs = spark.createDataFrame([(i, ("plain words here. " if i % 3 else "### $$$ ! ") * (i % 7 + 1)) for i in range(400)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)], "doc_id bigint, quality int")
+    got = {r["doc_id"]: r["score"] for r in bradley_terry.rank(docs, labels, at_once=50, block=40, buckets=8).collect()}
+    assert seen == [200] and all((s >= 0.5) == (i % 3 > 0) for i, s in got.items()) and len(got) == 400
