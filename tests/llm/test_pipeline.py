@@ -107,3 +107,9 @@ def test_each_stage_on_rows_with_clashing_columns(spark, docs):
 def test_empty_table(spark, tmp_path, no_docs):
     no_docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_python_gets_small_batches_whatever_the_session_allows(spark, docs):
+    """What comes from Python is stored with the library's own limits when a stage returns."""
+    for stage in (corpus_pipeline.language_stage, corpus_pipeline.encoding_stage):
+        assert "MapInArrow" not in stage(spark, docs, "")._jdf.queryExecution().toString()
